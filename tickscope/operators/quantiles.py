@@ -43,12 +43,14 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: s
         covered = (F.col("_start") <= F.col(position)) & (F.col(position) < F.col("_start") + F.col("_c"))
         return F.max(F.when(covered, F.col(value)))
 
-    low, high = F.col("_low_value"), F.col("_high_value")
+    # interpolated from the nearer end, so that the result does not drift at the upper one
+    low, high, part = F.col("_low_value"), F.col("_high_value"), F.col("_part")
+    blend = F.when(part >= 0.5, high - (high - low) * (1 - part)).otherwise(low + (high - low) * part)
     return (
         counted.join(wanted, [*keys, "_bucket"])
         .withColumn("_start", start)
         .groupBy(*keys)
         .agg(at("_low").alias("_low_value"), at("_high").alias("_high_value"),
              F.max("_part").alias("_part"), F.max("n").alias("n"))
-        .select(*keys, (low + (high - low) * F.col("_part")).alias(name), "n")
+        .select(*keys, blend.alias(name), "n")
     )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tickscope.plans import item_queries  # noqa: F401
+from tickscope.plans import ingest_queries, item_queries, tick_queries, trade_queries  # noqa: F401
 from tickscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

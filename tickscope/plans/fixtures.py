@@ -21,8 +21,10 @@ _FUNCTIONS = {
         "k": "CAST(get_json_object({0}, '$.k') AS BIGINT)",
         "second": "(unix_micros(CAST({0} AS TIMESTAMP)) div 1000000)",
         "ts": "CAST({0} AS TIMESTAMP)",
-        "stickers": "CASE WHEN {0} % 5 = 0 THEN array(named_struct('name', 'sticker-' || {0})) ELSE "
-                    "CAST(array() AS ARRAY<STRUCT<name: STRING>>) END",
+        "stickers": "CASE WHEN {0} % 10 = 0 THEN "
+                    "array(named_struct('name', 'sticker-' || {0}), named_struct('name', 'sticker-' || ({0} div 2))) "
+                    "WHEN {0} % 5 = 0 THEN array(named_struct('name', 'sticker-' || {0})) "
+                    "ELSE CAST(array() AS ARRAY<STRUCT<name: STRING>>) END",
         "days": "(unix_micros(CAST({0} AS TIMESTAMP)) / 86400000000.0D)",
     },
     "duckdb": {
@@ -30,7 +32,9 @@ _FUNCTIONS = {
         "k": "CAST(json_extract({0}, '$.k') AS BIGINT)",
         "second": "(epoch_us({0}) // 1000000)",
         "ts": "{0}",
-        "stickers": "CASE WHEN {0} % 5 = 0 THEN [{{'name': 'sticker-' || {0}}}] ELSE [] END",
+        "stickers": "CASE WHEN {0} % 10 = 0 THEN "
+                    "[{{'name': 'sticker-' || {0}}}, {{'name': 'sticker-' || ({0} // 2)}}] "
+                    "WHEN {0} % 5 = 0 THEN [{{'name': 'sticker-' || {0}}}] ELSE [] END",
         "days": "(CAST(epoch_us({0}) AS DOUBLE) / 86400000000.0)",
     },
 }

@@ -34,8 +34,12 @@ def macro_sql(history: str, ties: str) -> str:
                sum(CASE WHEN rn <= 30 THEN median_price_cents END) AS s,
                sum(CASE WHEN rn <= 30 THEN median_price_cents * median_price_cents END) AS ss,
                avg(CASE WHEN rn <= 30 THEN volume_sold END) AS volume,
-               quantile_cont(median_price_cents, 0.1) AS floor, count(*) AS points
+               list_sort(list(median_price_cents)) AS prices, count(*) AS points,
+               (count(*) - 1) * CAST(0.1 AS DOUBLE) AS pos
         FROM ranked GROUP BY item_id),
+      ends AS (
+        SELECT *, prices[CAST(floor(pos) AS BIGINT) + 1] AS low, prices[CAST(ceil(pos) AS BIGINT) + 1] AS high,
+               pos - floor(pos) AS part FROM moments),
       macro AS (
         SELECT item_id, latest AS latest_price_cents, CAST(round_even(r30, 0) AS BIGINT) AS rolling_30d_avg_cents,
                CAST(round_even(r90, 0) AS BIGINT) AS rolling_90d_avg_cents,
@@ -43,8 +47,10 @@ def macro_sql(history: str, ties: str) -> str:
                CAST(round_even(coalesce(CASE WHEN n > 1 THEN
                  sqrt(CAST(n * ss - s * s AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE)) END, 0.0), 0) AS BIGINT)
                  AS volatility_cents,
-               volume AS avg_volume_30d, CAST(round_even(floor, 0) AS BIGINT) AS support_floor_cents, points
-        FROM moments)"""
+               volume AS avg_volume_30d, CAST(round_even(CASE WHEN part >= 0.5
+                 THEN high - (high - low) * (1 - part) ELSE low + (high - low) * part END, 0) AS BIGINT)
+                 AS support_floor_cents, points
+        FROM ends)"""
 
 
 MACRO = macro_sql("fx_history", "l_orderkey,l_linenumber")

@@ -35,18 +35,27 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
 
 
 def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
-    """Newest snapshot whose write was committed (Spark leaves ``_SUCCESS`` on commit)."""
+    """Number of the newest committed snapshot."""
+    return max(_committed(spark, f"{root}/{table}"), default=None)
+
+
+def epochs_before(spark: SparkSession, folder: str, epoch: int) -> list[int]:
+    """Committed ``epoch=<n>`` folders below ``epoch``, in order."""
+    return sorted(n for n in _committed(spark, folder) if n < epoch)
+
+
+def _committed(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the ``name=<n>`` folders whose write was committed (Spark leaves ``_SUCCESS``)."""
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    done = [
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return [
         int(status.getPath().getName().split("=")[1])
-        for status in fs.listStatus(folder)
+        for status in fs.listStatus(path)
         if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
     ]
-    return max(done, default=None)
 
 
 def _struct(spark: SparkSession, table: str):
