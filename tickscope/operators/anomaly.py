@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tickscope.functions.scoring import (
     DEFAULTS, Tuning, anomaly_trigger, estimated_profit, opportunity, z_score,
 )
-from tickscope.operators.dedup import dedup_ticks
+from tickscope.operators.dedup import accepted_windows
 from tickscope.operators.joins import lookup
-from tickscope.operators.ordering import GROUP_ROWS, with_frames
+from tickscope.operators.ordering import GROUP_ROWS
+from tickscope.session import stored
 
 BASELINE_COLUMNS = [
     "support_floor_cents", "latest_price_cents", "rolling_30d_avg_cents", "volatility_cents",
@@ -18,19 +19,6 @@ BASELINE_COLUMNS = [
 ]
 
 
-def price_windows(
-    ticks: DataFrame, key: str = "market_hash_name", size: int = DEFAULTS.window_size, limit: int = GROUP_ROWS
-) -> DataFrame:
-    """Moments ``n``, ``sx``, ``sxx`` of the up to ``size - 1`` prices before each tick of an item."""
-    price = F.col("price_cents")
-
-    def over(value):
-        return lambda window: F.coalesce(value.over(window.rowsBetween(-(size - 1), -1)), F.lit(0))
-
-    columns = {"n": over(F.count(price)), "sx": over(F.sum(price)), "sxx": over(F.sum(price * price))}
-    return with_frames(ticks, [key], ["timestamp", "id"], size - 1, columns, limit)
-
-
 def with_baseline(ticks: DataFrame, baselines: DataFrame) -> DataFrame:
     """Left lookup of the published baseline; ``has_baseline`` tells whether there was one."""
     table = baselines.select("market_hash_name", *BASELINE_COLUMNS, F.lit(True).alias("_found"))
@@ -61,9 +49,10 @@ def sticker_value(ticks: DataFrame, sticker_prices: DataFrame) -> DataFrame:
 def judge(scored: DataFrame, sticker_prices: DataFrame, tuning: Tuning = DEFAULTS) -> DataFrame:
     """Decision per triggered tick. Stickers are only priced for ticks that triggered."""
     count = F.coalesce(F.size("stickers"), F.lit(0))
-    hits = scored.filter(
+    # few rows, used twice
+    hits = stored(scored.filter(
         anomaly_trigger(F.col("score.z"), F.col("score.mean"), F.col("price_cents"), count, tuning)
-    )
+    ))
     valued = hits.join(sticker_value(hits, sticker_prices), "id", "left").withColumn(
         "sticker_value_cents", F.coalesce("sticker_value_cents", F.lit(0))
     )
@@ -85,8 +74,7 @@ def detect_anomalies(
     tuning: Tuning = DEFAULTS, limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """Batch form of the hot path: one decision row per anomaly in ``ticks``."""
-    accepted = dedup_ticks(ticks, window_s=tuning.dedup_window_s, limit=limit)
-    windowed = price_windows(accepted, size=tuning.window_size, limit=limit)
+    windowed = accepted_windows(ticks, tuning.dedup_window_s, tuning.window_size, limit)
     return judge(with_score(with_baseline(windowed, baselines), tuning), sticker_prices, tuning)
 
 

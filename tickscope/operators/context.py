@@ -73,7 +73,10 @@ def market_context(
     )
     steam = steam_baseline(history).withColumnRenamed("item_id", "base_id")
     live = source_baseline(ticks, source).withColumnRenamed("item_id", "versioned_id")
-    joined = lookup(lookup(lookup(resolved, steam, "base_id"), live, "versioned_id"), macro, "versioned_id")
+    # one row per item on both sides: no key repeats, so plain joins stay even
+    joined = (
+        resolved.join(steam, "base_id", "left").join(live, "versioned_id", "left").join(macro, "versioned_id", "left")
+    )
     same_entry = (F.col("r.base_name") == F.col("e.base_name")) & F.col("r.version").eqNullSafe(F.col("e.version"))
     rows = joined.alias("r").join(entries.alias("e"), same_entry, "left").select("r.*", "e.entry")
 

@@ -1,4 +1,4 @@
-"""Greedy duplicate suppression of ticks.
+"""Greedy duplicate suppression of ticks, and the price window before each accepted tick.
 
 A tick is a duplicate when its price equals the last *accepted* price of its item and it comes
 less than ``window_s`` seconds after that accepted tick. Duplicates do not move the reference.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickscope.functions.scoring import DEFAULTS
-from tickscope.operators.ordering import GROUP_ROWS, largest_group, stage_ordered
+from tickscope.operators.ordering import GROUP_ROWS, largest_group, stage_ordered, with_frames
 
 DUPLICATE = "is_duplicate"
 
@@ -93,13 +93,65 @@ def _flagger(key: str, price: str, second: str, window_s: int, carries: dict[int
                 batch = batch.select(names)
             started = True
             accepted, carry = accept(*_arrays(batch, key, price, second), window_s, carry)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(~accepted)], names=[*batch.schema.names, DUPLICATE]
-            )
+            yield _with(batch, {DUPLICATE: pa.array(~accepted)})
 
     return flag
 
 
+def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns, *columns.values()], names=[*batch.schema.names, *columns]
+    )
+
+
+def trailing_moments(keys, prices, back: int, tail: np.ndarray, tail_key) -> dict[str, np.ndarray]:
+    """Count, sum and sum of squares of the up to ``back`` earlier prices of each row's key.
+
+    ``tail`` holds the last prices of ``tail_key`` before these rows.
+    """
+    lead = len(tail) if len(keys) and keys[0] == tail_key else 0
+    values = np.concatenate([tail[len(tail) - lead:], prices])
+    # running sums stay exact: beyond 64 bits they are kept as Python integers
+    if len(values) and int(np.abs(values).max()) ** 2 * len(values) >= 2**63:
+        values = values.astype(object)
+    change = np.ones(len(keys), dtype=bool)
+    change[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(change) + lead
+    if lead:
+        starts[0] = 0
+    here = np.arange(lead, len(values))
+    low = np.maximum(starts[np.cumsum(change) - 1], here - back)
+
+    def between(numbers):
+        running = np.concatenate([[0], np.cumsum(numbers)])
+        return (running[here] - running[low]).astype(np.int64)
+
+    return {"n": here - low, "sx": between(values), "sxx": between(values * values)}
+
+
+def _windower(key: str, price: str, second: str, window_s: int, back: int):
+    """Accepted rows of sorted partitions with the moments of their window."""
+
+    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, tail, tail_key = None, np.empty(0, dtype=np.int64), None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            accepted, carry = accept(*_arrays(batch, key, price, second), window_s, carry)
+            batch = batch.filter(pa.array(accepted))
+            if batch.num_rows == 0:
+                continue
+            keys, prices, _ = _arrays(batch, key, price, second)
+            moments = trailing_moments(keys, prices, back, tail, tail_key)
+            same = np.flatnonzero(keys != keys[-1])
+            own = prices[same[-1] + 1:] if len(same) else prices
+            tail = np.concatenate([tail, own]) if not len(same) and keys[0] == tail_key else own
+            tail, tail_key = tail[-back:], keys[-1]
+            yield _with(batch, {name: pa.array(column, type=pa.int64()) for name, column in moments.items()})
+
+    return window
+
+
 _SUMMARY = (
     "part BIGINT, first_price BIGINT, first_second BIGINT, last_price BIGINT, last_second BIGINT, "
     "accepted BIGINT, exits ARRAY<BIGINT>"
@@ -187,10 +239,14 @@ def flag_duplicates(
     tie: str = "id",
     window_s: int = DEFAULTS.dedup_window_s,
     limit: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """All ticks with ``is_duplicate``, judged in (second, tie) order per key."""
+    """All ticks with ``is_duplicate``, judged in (second, tie) order per key.
+
+    ``largest`` is the size of the largest item where the caller already knows a bound.
+    """
     schema = T.StructType([*ticks.schema.fields, T.StructField(DUPLICATE, T.BooleanType())])
-    if largest_group(ticks, [key]) <= limit:
+    if (largest_group(ticks, [key]) if largest is None else largest) <= limit:
         placed = ticks.repartition(key).sortWithinPartitions(key, second, tie)
         return placed.mapInArrow(_flagger(key, price, second, window_s, None), schema)
     staged = stage_ordered(ticks, [key], [second, tie])
@@ -202,6 +258,39 @@ def flag_duplicates(
     return staged.mapInArrow(_flagger(key, price, second, window_s, _carries(rows, window_s)), schema)
 
 
+def accepted_windows(
+    ticks: DataFrame, window_s: int = DEFAULTS.dedup_window_s, size: int = DEFAULTS.window_size, limit: int = GROUP_ROWS
+) -> DataFrame:
+    """Accepted ticks with the moments ``n``, ``sx``, ``sxx`` of the ``size - 1`` prices before.
+
+    Both need an item's ticks in order, so they share one shuffle and one pass. With a hot item,
+    suppression and windows are two steps over cut items.
+    """
+    columns = {"key": "market_hash_name", "price": "price_cents", "second": "timestamp"}
+    largest = largest_group(ticks, ["market_hash_name"])
+    if largest > limit:
+        kept = dedup_ticks(ticks, window_s=window_s, limit=limit, largest=largest)
+        return price_windows(kept, size=size, limit=limit, largest=largest)
+    moments = [T.StructField(name, T.LongType()) for name in ("n", "sx", "sxx")]
+    placed = ticks.repartition("market_hash_name").sortWithinPartitions("market_hash_name", "timestamp", "id")
+    window = _windower(**columns, window_s=window_s, back=size - 1)
+    return placed.mapInArrow(window, T.StructType([*ticks.schema.fields, *moments]))
+
+
+def price_windows(
+    ticks: DataFrame, key: str = "market_hash_name", size: int = DEFAULTS.window_size, limit: int = GROUP_ROWS,
+    largest: int | None = None,
+) -> DataFrame:
+    """Moments ``n``, ``sx``, ``sxx`` of the up to ``size - 1`` prices before each tick of an item."""
+    price = F.col("price_cents")
+
+    def over(value):
+        return lambda window: F.coalesce(value.over(window.rowsBetween(-(size - 1), -1)), F.lit(0))
+
+    columns = {"n": over(F.count(price)), "sx": over(F.sum(price)), "sxx": over(F.sum(price * price))}
+    return with_frames(ticks, [key], ["timestamp", "id"], size - 1, columns, limit, largest)
+
+
 def dedup_ticks(ticks: DataFrame, **options) -> DataFrame:
     """Only the accepted ticks; see ``flag_duplicates``."""
     return flag_duplicates(ticks, **options).filter(~F.col(DUPLICATE)).drop(DUPLICATE)

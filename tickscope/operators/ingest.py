@@ -12,6 +12,7 @@ from tickscope.functions.names import item_type
 from tickscope.functions.pricing import to_cents
 from tickscope.operators.joins import lookup
 from tickscope.operators.ordering import GROUP_ROWS, number_rows
+from tickscope.session import stored
 
 # Fixed values.
 BATCH_TICKS = 2500
@@ -129,7 +130,7 @@ def classify_batches(batches: DataFrame, ledger: DataFrame) -> DataFrame:
         F.min(F.struct("pos", "digest")).alias("_first")
     )
     owners = first.join(ledger.select("batch_id", F.col("payload_sha256").alias("_stored")), "batch_id", "left")
-    known = lookup(checked, owners, "batch_id")
+    known = lookup(checked, owners, "batch_id", derived=True)
     empty = F.size("ticks") == 0
     owns = F.col("batch_id").isNull() | (F.col("_stored").isNull() & (F.col("_first.pos") == F.col("pos")))
     status = (
@@ -153,7 +154,7 @@ def upsert_items(names: DataFrame, items: DataFrame, limit: int = GROUP_ROWS) ->
         F.when(F.col("_touched"), item_type(named)).otherwise(F.col("item_type")).alias("item_type"), "rarity",
     )
     top = items.agg(F.max("id")).first()[0]
-    fresh = wanted.join(items.select("market_hash_name"), "market_hash_name", "left_anti")
+    fresh = stored(wanted.join(items.select("market_hash_name"), "market_hash_name", "left_anti"))
     numbered = number_rows(fresh, [], ["market_hash_name"], "_rn", limit).select(
         (F.col("_rn") + F.lit(0 if top is None else top)).alias("id"), "market_hash_name",
         item_type(named).alias("item_type"), F.lit(None).cast("string").alias("rarity"),
@@ -163,7 +164,7 @@ def upsert_items(names: DataFrame, items: DataFrame, limit: int = GROUP_ROWS) ->
 
 def ingest_tick_batches(batches: DataFrame, items: DataFrame, ledger: DataFrame, received_at: Column) -> Ingest:
     """Ticks to store, items afterwards, new ledger rows and the status of every batch."""
-    classified = classify_batches(batches, ledger)
+    classified = stored(classify_batches(batches, ledger))
     new = classified.filter(F.col("status") == "SUCCESS")
     ticks = new.select(
         "batch_id", F.col("source").alias("marketplace_source"), F.explode("ticks").alias("_t")
@@ -171,9 +172,9 @@ def ingest_tick_batches(batches: DataFrame, items: DataFrame, ledger: DataFrame,
         "batch_id", "_t.market_hash_name", "_t.price_cents", "marketplace_source",
         F.timestamp_seconds("_t.timestamp").alias("inserted_at"),
     )
-    items_after = upsert_items(ticks, items)
+    items_after = stored(upsert_items(ticks, items))
     ids = items_after.select("market_hash_name", F.col("id").alias("item_id"))
-    stored = lookup(ticks, ids, "market_hash_name").select(
+    rows = lookup(ticks, ids, "market_hash_name").select(
         "batch_id", "item_id", "price_cents", "marketplace_source", "inserted_at"
     )
     registered = classified.filter(F.col("status").isin("SUCCESS", "SKIPPED") & F.col("batch_id").isNotNull()).select(
@@ -182,7 +183,7 @@ def ingest_tick_batches(batches: DataFrame, items: DataFrame, ledger: DataFrame,
     )
     processed = F.when(F.col("status") == "SUCCESS", F.size("ticks")).otherwise(F.lit(0)).cast("bigint")
     statuses = classified.select("pos", "batch_id", "source", "status", processed.alias("records_processed"))
-    return Ingest(stored, items_after, registered, statuses)
+    return Ingest(rows, items_after, registered, statuses)
 
 
 def split_malformed(raw: DataFrame) -> EnvelopeSplit:
@@ -237,18 +238,18 @@ def replay_dead_letters(
     if limit < 1:
         raise ValueError("limit must be at least 1")
     valid, quarantine = split_malformed(dead)
-    attempts = valid.orderBy(*record_order(F.col("record_id"))).limit(limit)
-    # at most ``limit`` rows, numbered in replay order
+    attempts = stored(valid.orderBy(*record_order(F.col("record_id"))).limit(limit))
+    milliseconds, sequence, _ = record_order(F.col("record_id"))
     ordered = number_rows(
-        attempts.withColumns({"_ms": record_order(F.col("record_id"))[0], "_seq": record_order(F.col("record_id"))[1]}),
-        [], ["_ms", "_seq", "record_id"], "pos",
+        attempts.withColumns({"_ms": milliseconds, "_seq": sequence}), [], ["_ms", "_seq", "record_id"], "pos",
+        largest=limit,
     ).drop("_ms", "_seq")
     ingest = ingest_tick_batches(ordered, items, ledger, received_at)
     done = ordered.select("record_id", "pos").join(ingest.statuses.filter(F.col("status").isin(STORED)), "pos")
-    stored = F.col("status").isin(STORED)
+    succeeded = F.col("status").isin(STORED)
     summary = ingest.statuses.agg(
-        F.count(F.lit(1)).alias("attempted"), F.count_if(stored).alias("succeeded"),
-        F.count_if(~stored).alias("failed"),
+        F.count(F.lit(1)).alias("attempted"), F.count_if(succeeded).alias("succeeded"),
+        F.count_if(~succeeded).alias("failed"),
     )
     remaining = valid.join(done.select("record_id"), "record_id", "left_anti").select(
         "source_stream", "record_id", "payload"

@@ -43,10 +43,10 @@ def stage_ordered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], order: list[str], name: str, limit: int = GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[str], name: str, limit: int = GROUP_ROWS, largest: int | None = None
 ) -> DataFrame:
     """Dense row number from 1 per key (or over everything when ``keys`` is empty)."""
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     staged = stage_ordered(df, keys, order)
     local = W.partitionBy("_part", *keys).orderBy("_pos")
@@ -78,18 +78,20 @@ def with_frames(
     back: int,
     columns: dict[str, object],
     limit: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add window columns that look back at most ``back`` rows within a key.
 
     ``columns`` maps a name to a function of the window spec (ordered, without a frame). A key
     beyond ``limit`` is cut into runs of ``limit`` rows; each run also receives the ``back``
-    rows before it, which are dropped after the window.
+    rows before it, which are dropped after the window. ``largest`` is the size of the largest
+    group where the caller already knows a bound.
     """
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         window = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns({name: build(window) for name, build in columns.items()})
     run = max(limit, back)
-    numbered = number_rows(df, keys, order, "_rn", limit)
+    numbered = number_rows(df, keys, order, "_rn", limit, largest)
     own = F.expr(f"(_rn - 1) div {run}")
     tail = F.col("_rn") % run
     needed_next = (tail == 0) | (tail > run - back)

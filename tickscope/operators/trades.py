@@ -23,7 +23,7 @@ def latest_tick(ticks: DataFrame, source: str | None = None) -> DataFrame:
 
 
 def trades_with_wear(trades: DataFrame, items: DataFrame, ticks: DataFrame) -> DataFrame:
-    return lookup(trade_items(trades, items), latest_tick(ticks), "item_id")
+    return lookup(trade_items(trades, items), latest_tick(ticks), "item_id", derived=True)
 
 
 def audit_features(trades: DataFrame, items: DataFrame, ticks: DataFrame, context: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def audit_features(trades: DataFrame, items: DataFrame, ticks: DataFrame, contex
                    F.col("snipe_threshold_cents")).alias("live_floor_cents"),
         F.coalesce("real_time_skinport_median_cents", F.lit(0)).alias("recent_sale_cents"),
     )
-    rows = lookup(trades_with_wear(trades, items, ticks), prices, "market_hash_name")
+    rows = lookup(trades_with_wear(trades, items, ticks), prices, "market_hash_name", derived=True)
     quality = float_quality(F.col("float_value"))
     paid, floor = F.col("purchase_price_cents"), F.col("live_floor_cents")
     return rows.withColumn("_q", quality).select(

@@ -8,6 +8,9 @@ dialect; ``#name`` stands for a driver table.
 from __future__ import annotations
 
 import re
+import zlib
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -159,7 +162,7 @@ def _needed(text: str) -> list[str]:
     return [name for name in VIEWS if name in found]
 
 
-def render(sql: str, dialect: str, sf_dir: str = "") -> str:
+def render(sql: str, dialect: str, prefix: str = "") -> str:
     """``sql`` (a SELECT, or further WITH members before one) preceded by the views it uses."""
     views = ", ".join(f"{name} AS ({VIEWS[name]})" for name in _needed(sql))
     if sql.lstrip().upper().startswith("WITH RECURSIVE "):
@@ -169,10 +172,25 @@ def render(sql: str, dialect: str, sf_dir: str = "") -> str:
         text = "WITH " + (views + ", " if views else "") + sql.lstrip()[len("WITH "):]
     else:
         text = (f"WITH {views} " if views else "") + sql
-    table = r"parquet.`" + sf_dir.rstrip("/") + r"/\1.parquet`" if dialect == "spark" else r"\1"
-    return re.sub(r"#(\w+)", table, _apply(text, dialect))
+    tables = r"\1" if dialect == "duckdb" else rf"{prefix}\1"
+    return re.sub(r"#(\w+)", tables, _apply(text, dialect))
+
+
+def _register_tables(spark: SparkSession, sf_dir: str) -> str:
+    """Temporary views of the driver tables; their files are listed once per session."""
+    prefix = f"t{zlib.crc32(sf_dir.encode()):08x}_"
+    known = {t.name for t in spark.catalog.listTables(pattern=f"{prefix}*")}
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        if prefix + path.stem not in known:
+            spark.read.parquet(str(path)).createOrReplaceTempView(prefix + path.stem)
+    return prefix
+
+
+@lru_cache(maxsize=None)
+def _view(spark: SparkSession, application: str, sf_dir: str, name: str) -> DataFrame:
+    return spark.sql(render(f"SELECT * FROM {name}", "spark", _register_tables(spark, sf_dir)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view (or a driver table given as ``#name``) as a DataFrame."""
-    return spark.sql(render(f"SELECT * FROM {name}", "spark", sf_dir))
+    return _view(spark, spark.sparkContext.applicationId, str(sf_dir), name)

@@ -10,6 +10,7 @@ from tickscope.operators import ingest as I
 from tickscope.operators import monitoring as M
 from tickscope.plans.item_queries import ntz
 from tickscope.plans.registry import Views, query
+from tickscope.session import stored
 from tickscope.sources import listings as L
 
 CHUNK = 500
@@ -84,7 +85,7 @@ ARRIVALS = f"""
 
 def arrivals(v: Views) -> tuple[DataFrame, DataFrame]:
     """Incoming batches and the ledger before them."""
-    base = chunks(v).withColumn(
+    base = stored(chunks(v)).withColumn(
         "slot", F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source")) + 10 * F.col("chunk")
     )
     raised = F.transform("ticks", lambda t: t.withField("price_cents", t["price_cents"] + 1))
@@ -173,7 +174,7 @@ def batch_outcomes(v: Views) -> DataFrame:
 
 def stored_records(v: Views) -> DataFrame:
     """Stream records: good batches, spoilt envelopes, and chat turns in place of a payload."""
-    base = chunks(v)
+    base = stored(chunks(v))
     good = F.to_json(F.struct("batch_id", "source", "ticks"))
 
     def records(kind: str, payload) -> DataFrame:

@@ -11,11 +11,13 @@ from tickscope.operators import baselines as B
 from tickscope.operators import context as C
 from tickscope.operators import monitoring as M
 from tickscope.operators.dedup import dedup_ticks as accepted_ticks
-from tickscope.operators.dedup import flag_duplicates
+from tickscope.operators.dedup import accepted_windows, flag_duplicates
+from tickscope.operators.dedup import price_windows as window_moments
 from tickscope.operators.ingest import validate_ticks as split_ticks
 from tickscope.operators.trades import latest_tick as newest_tick
 from tickscope.plans.item_queries import PUBLISHED, macro_sql, ntz
 from tickscope.plans.registry import Views, query
+from tickscope.session import stored
 
 
 def dedup_sql(source: str, window_s: int) -> str:
@@ -97,7 +99,7 @@ DECISION_COLUMNS = (
 
 
 def published(v: Views) -> DataFrame:
-    return B.publish_baselines(v.items, B.macro_baselines(v.sales, ["id"]))
+    return stored(B.publish_baselines(v.items, B.macro_baselines(v.sales, ["id"])))
 
 
 def decisions(v: Views) -> DataFrame:
@@ -161,13 +163,13 @@ WINDOW_SQL = """
 
 @query("price_windows", WINDOW_SQL)
 def price_windows(v: Views) -> DataFrame:
-    return A.price_windows(v.named_ticks).select("id", "n", "sx", "sxx")
+    return window_moments(v.named_ticks).select("id", "n", "sx", "sxx")
 
 
 @query("price_windows_split", WINDOW_SQL)
 def price_windows_split(v: Views) -> DataFrame:
     """The way taken for hot items: windows over runs of rows with a lead-in."""
-    return A.price_windows(v.named_ticks, limit=40).select("id", "n", "sx", "sxx")
+    return window_moments(v.named_ticks, limit=40).select("id", "n", "sx", "sxx")
 
 
 @query("baseline_lookup", f"""
@@ -192,13 +194,19 @@ def sticker_value(v: Views) -> DataFrame:
              AND (sticker_count > 0 OR mean_cents - price_cents >= 50), false) AS triggered
     FROM scored""")
 def z_scores(v: Views) -> DataFrame:
-    windowed = A.price_windows(accepted_ticks(v.live_ticks))
+    windowed = accepted_windows(v.live_ticks)
     scored = A.with_score(A.with_baseline(windowed, published(v)))
     trigger = scoring.anomaly_trigger(F.col("score.z"), F.col("score.mean"), F.col("price_cents"), F.size("stickers"))
     return scored.select("id", F.col("score.z").alias("z_score"), F.col("score.mean").alias("mean_cents"),
                          F.col("score.source").alias("source"), trigger.alias("triggered"))
 
 
+@query("detect_anomalies_split", f"WITH RECURSIVE {DECIDE} SELECT {DECISION_COLUMNS} FROM decisions")
+def detect_anomalies_split(v: Views) -> DataFrame:
+    """The same with the limits for hot items so low that every item is cut."""
+    return A.detect_anomalies(v.live_ticks, published(v), v.sticker_prices, limit=30)
+
+
 @query("detect_anomalies", f"WITH RECURSIVE {DECIDE} SELECT {DECISION_COLUMNS} FROM decisions")
 def detect_anomalies(v: Views) -> DataFrame:
     return decisions(v)

@@ -146,7 +146,7 @@ def audit_features(v: Views) -> DataFrame:
 @query("apply_verdicts", """
     WITH scores AS (
       SELECT CAST(d.doc_id AS VARCHAR) AS id, d.text,
-             CASE WHEN l.doc_id IS NULL THEN NULL ELSE l.quality * 80 + l.toxic * 30 END AS score
+             CAST(l.quality * 80 + l.toxic * 30 AS BIGINT) AS score
       FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id)
     SELECT t.id, coalesce(CASE WHEN score BETWEEN 0 AND 100 THEN score END, 0) AS confidence_score,
            regexp_replace(coalesce(text, 'no response'), '[^\\x00-\\x7F]', '', 'g') AS reasoning,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The shared checkpoint folder of the cluster, or a scratch one on a local master."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +28,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             configured = tempfile.mkdtemp(prefix="tickscope-")
         context.setCheckpointDir(configured)
-    return configured or context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -36,6 +36,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it from there.
+
+    For a computed table that is used more than once: it is computed in one job, survives lost
+    executors, and its size is known to the optimizer.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has no more than ``rows`` rows; stops counting just beyond."""
     return df.limit(rows + 1).count() <= rows

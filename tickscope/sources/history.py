@@ -11,14 +11,13 @@ from tickscope import schemas
 from tickscope.functions.names import item_name, item_type
 from tickscope.functions.pricing import to_cents
 from tickscope.operators.joins import lookup
+from tickscope.session import stored
 
 # Cell texts that read as missing.
 MISSING = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INTEGER = r"^\s*[+-]?\d+\s*$"
 
 
 class HistoryLoad(NamedTuple):
@@ -59,25 +58,28 @@ def list_history_files(spark: SparkSession, folder: str) -> DataFrame:
     return with_identity(paths.withColumn("file_name", F.element_at(F.split("path", "/"), -1)))
 
 
-def _text(name: str) -> Column:
+def _missing(name: str) -> Column:
     cell = F.col(f"`{name}`")
-    return F.when(~F.trim(cell).isin(MISSING), cell)
+    return cell.isNull() | F.trim(cell).isin(MISSING)
 
 
-def _number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+def _number(name: str) -> Column:
+    """The number a cell holds, or null. A number ends in a digit or a point; words and the
+    spellings ``1.5d`` or ``Infinity``, which the cast would take, do not."""
+    cell = F.col(f"`{name}`")
+    return F.when(F.ascii(F.right(F.trim(cell), F.lit(1))) <= ord("9"), cell.try_cast("double"))
 
 
 def clean_history(raw: DataFrame) -> DataFrame:
     """Rows with a numeric timestamp, typed: sale date, cents (ties to even), whole quantity."""
-    seconds = _number(_text("unix timestamp"))
+    seconds = _number("unix timestamp")
     rows = raw.filter(~F.col("is_header")) if "is_header" in raw.columns else raw
     kept = [c for c in raw.columns if c not in (*schemas.HISTORY_COLUMNS, "is_header")]
     return rows.filter(seconds.isNotNull()).select(
         *kept,
         F.timestamp_seconds(seconds).alias("sale_date"),
-        to_cents(_number(_text("price"))).alias("median_price_cents"),
-        _number(_text("quantity")).cast("bigint").alias("volume_sold"),
+        to_cents(_number("price")).alias("median_price_cents"),
+        _number("quantity").cast("bigint").alias("volume_sold"),
     )
 
 
@@ -87,37 +89,41 @@ def file_checks(raw: DataFrame) -> DataFrame:
     A price that is text anywhere spoils the file. On usable rows a missing price, a missing
     quantity, or, once the quantity column holds text, a quantity that is not an integer does too.
     """
-    header = F.col("is_header")
-    row = ~header
-    seconds, price, quantity = _text("unix timestamp"), _text("price"), _text("quantity")
-    usable = row & _number(seconds).isNotNull()
-
-    def anywhere(condition: Column) -> Column:
-        return F.coalesce(F.bool_or(condition), F.lit(False))
-
-    grouped = raw.groupBy("file_name", "market_hash_name", "item_type").agg(
-        anywhere(header).alias("has_header"),
-        F.count_if(row).alias("rows"),
-        F.count_if(usable).alias("clean_rows"),
-        anywhere(row & price.isNotNull() & _number(price).isNull()).alias("_text_price"),
-        anywhere(usable & price.isNull()).alias("_no_price"),
-        anywhere(usable & quantity.isNull()).alias("_no_quantity"),
-        anywhere(row & quantity.isNotNull() & _number(quantity).isNull()).alias("_text_quantity"),
-        anywhere(usable & ~F.coalesce(quantity.rlike(INTEGER), F.lit(False))).alias("_odd_quantity"),
+    row = ~F.col("is_header")
+    quantity = F.col("quantity")
+    # one pass that parses every cell once; the aggregate then only looks at flags
+    flags = raw.select(
+        "file_name", "is_header", row.alias("row"), (row & _number("unix timestamp").isNotNull()).alias("usable"),
+        _missing("price").alias("no_price"), (_number("price").isNull() & ~_missing("price")).alias("text_price"),
+        _missing("quantity").alias("no_quantity"),
+        (_number("quantity").isNull() & ~_missing("quantity")).alias("text_quantity"),
+        (quantity.contains(".") | quantity.try_cast("bigint").isNull()).alias("odd_quantity"),
+    )
+
+    def anywhere(condition: str) -> Column:
+        return F.coalesce(F.bool_or(F.expr(condition)), F.lit(False))
+
+    grouped = flags.groupBy("file_name").agg(
+        anywhere("is_header").alias("has_header"),
+        F.count_if("row").alias("rows"),
+        F.count_if("usable").alias("clean_rows"),
+        anywhere("row AND text_price").alias("_text_price"),
+        anywhere("usable AND no_price").alias("_no_price"),
+        anywhere("usable AND no_quantity").alias("_no_quantity"),
+        anywhere("row AND text_quantity").alias("_text_quantity"),
+        anywhere("usable AND coalesce(odd_quantity, true)").alias("_odd_quantity"),
     )
     bad_values = F.col("_text_price") | F.col("_no_price") | F.col("_no_quantity") | (
         F.col("_text_quantity") & F.col("_odd_quantity")
     )
     # values only matter once there are usable rows
     rejected = ~F.col("has_header") | ((F.col("clean_rows") > 0) & bad_values)
-    return grouped.select(
-        "file_name", "market_hash_name", "item_type", "has_header", "rows", "clean_rows", rejected.alias("rejected")
-    )
+    return grouped.select("file_name", "has_header", "rows", "clean_rows", rejected.alias("rejected"))
 
 
 def load_history(raw: DataFrame) -> HistoryLoad:
     """Rows of good files and the rejected files; one bad value rejects its whole file."""
-    rejected = file_checks(raw).filter("rejected").select("file_name")
+    rejected = stored(file_checks(raw).filter("rejected").select("file_name"))
     marked = lookup(raw, rejected.withColumn("_bad", F.lit(True)), "file_name")
     accepted = clean_history(marked.filter(F.col("_bad").isNull()).drop("_bad"))
     return HistoryLoad(accepted, rejected)
