@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from tickscope.plans import ingest_queries, item_queries, tick_queries, trade_queries  # noqa: F401
+from tickscope.plans import (  # noqa: F401
+    ingest_queries,
+    item_queries,
+    stream_queries,
+    tick_queries,
+    trade_queries,
+)
 from tickscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
