@@ -17,16 +17,15 @@ def validation_report(raw: DataFrame, files: DataFrame) -> DataFrame:
 
     Files without a readable header count in the total only. Prices are not checked here.
     """
-    readable = file_checks(raw).filter("has_header")
-    dropped = F.col("rows") - F.col("clean_rows")
-    rows = readable.agg(
-        F.count_if(dropped > 0).alias("files_with_drops"),
-        F.coalesce(F.sum(dropped), F.lit(0)).alias("rows_dropped"),
+    readable = file_checks(raw).filter("has_header").select(
+        "file_name", "clean_rows", (F.col("rows") - F.col("clean_rows")).alias("dropped")
+    )
+    return files.select("file_name").join(readable, "file_name", "left").agg(
+        F.count(F.lit(1)).alias("files_total"),
+        F.count_if(F.col("dropped") > 0).alias("files_with_drops"),
+        F.coalesce(F.sum("dropped"), F.lit(0)).alias("rows_dropped"),
         F.coalesce(F.sum("clean_rows"), F.lit(0)).alias("clean_rows"),
     )
-    total = files.agg(F.count(F.lit(1)).alias("files_total"))
-    one = F.lit(1).alias("_one")
-    return total.select("*", one).join(rows.select("*", one), "_one").drop("_one")
 
 
 def type_distribution(files: DataFrame) -> DataFrame:

@@ -12,16 +12,19 @@ BUCKET_BITS = 12
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
     """(keys, ``name``, ``n``): linearly interpolated quantile ``q`` of a BIGINT column.
 
+    Nulls in the value or the keys are left out.
+
     Rows are first counted per distinct value, which the map side combines. Buckets of 2^12
     neighbouring values then show where the wanted rank lies, and only those buckets are
     ordered by value. No task ever holds all rows of a key.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bucket", F.shiftright(value, BUCKET_BITS))
-    )
+    # the null checks the join would add to one branch only are spelled out, so that both uses
+    # of the counts share one scan and one exchange
+    bucket = F.shiftright(value, BUCKET_BITS)
+    present = df
+    for column in (F.col(value), bucket, *map(F.col, keys)):
+        present = present.filter(column.isNotNull())
+    counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_bucket", bucket)
     per_key = W.partitionBy(*keys)
     running = per_key.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     rank = (F.col("n") - 1) * F.lit(float(q))
