@@ -143,6 +143,26 @@ def test_ingest_epoch_can_run_again(spark, tmp_path):
     assert spark.read.parquet(f"{root}/ledger").count() == 1
 
 
+@pytest.mark.parametrize("rates", [M.anomaly_rates, M.decision_rates, M.confirmation_rate, M.trade_rates])
+def test_stream_rates_equal_batch_rates(spark, tmp_path, rates):
+    path = str(tmp_path / "in")
+    write_ticks(spark, path, [[tick(i, 5 + i, 25 * i) for i in range(20)], [tick(99, 5, 100_000)]])
+
+    def prepared(df):
+        return (df.withColumn("event_time", F.timestamp_seconds("timestamp")).withColumn("source", F.lit("local"))
+                .withColumn("approved", F.col("id") % 3 == 0).withColumnRenamed("price_cents", "estimated_profit_cents"))
+
+    streamed = rates(prepared(stream_of(spark, path)).withWatermark("event_time", "1 minute"))
+    name = rates.__name__
+    query = (streamed.writeStream.format("memory").queryName(name).outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    batch = rates(prepared(spark.read.schema(TICKS).option("recursiveFileLookup", True).parquet(path)))
+    closed = batch.filter(F.col("window_start") < F.timestamp_seconds(F.lit(90_000)))
+    assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, closed.collect()))
+    assert closed.count() > 5
+
+
 def test_rates_on_a_stream(spark, tmp_path):
     path = str(tmp_path / "in")
     write_ticks(spark, path, [[tick(1, 5, 0), tick(2, 6, 30)], [tick(3, 6, 61)], [tick(4, 6, 1000)]])

@@ -55,6 +55,8 @@ VIEWS = {
                CASE p_type WHEN 'PROMO' THEN 'Knife' WHEN 'LARGE' THEN 'Glove' WHEN 'SMALL' THEN 'Sticker'
                     WHEN 'ECONOMY' THEN 'Container/Collectible' ELSE 'Weapon Skin' END AS item_type,
                CASE WHEN p_type = 'PROMO' THEN p_partkey + 1000000000 ELSE p_partkey END AS live_id,
+               CASE WHEN p_type IN ('SMALL', 'ECONOMY') THEN replace(replace(stem, ' ', '%20'), '|', '%7C') || '.csv'
+                    ELSE replace(replace(stem || ' (' || wear || ')', ' ', '%20'), '|', '%7C') || '.csv' END AS file_name,
                p_size, p_retailprice
         FROM (SELECT *,
                      CASE p_type
@@ -127,7 +129,7 @@ VIEWS = {
         GROUP BY p.base_name, p.phase""",
     # raw file rows as text, with spoilt timestamps, prices and quantities that occur in the data
     "fx_raw_history": """
-        SELECT replace(replace(p.base_name, ' ', '%20'), '|', '%7C') || '.csv' AS file_name, p.base_name AS name,
+        SELECT p.file_name, p.base_name AS name,
                CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'garbage'
                     ELSE CAST(@second(l_shipdate) AS STRING) END AS stamp,
                CASE WHEN l_quantity = 50 AND l_tax = 0.08 AND l_discount = 0.1 THEN 'broken'

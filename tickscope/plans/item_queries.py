@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from tickscope.operators import context as C
 from tickscope.operators import quality as Q
 from tickscope.operators.ingest import upsert_items as register_names
 from tickscope.plans.registry import Views, query
+from tickscope.session import ensure_checkpoint_dir
 from tickscope.sources import history as H
+from tickscope.sources.tables import append_table, read_table
 
 TIES = ["l_orderkey", "l_linenumber"]
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -238,7 +242,7 @@ def raw_history(v: Views) -> DataFrame:
     rows = raw.select(
         "name", F.col("stamp").alias("unix timestamp"), "price", "quantity", "file_name", *TIES,
     )
-    headers = raw.select("file_name").distinct().select(
+    headers = v.parts.join(raw.select("file_name").distinct(), "file_name", "left_semi").select(
         *[F.lit(c).alias(c) for c in ("name", "unix timestamp", "price", "quantity")], "file_name",
         F.lit(None).cast("bigint").alias(TIES[0]), F.lit(None).cast("int").alias(TIES[1]),
     )
@@ -247,9 +251,7 @@ def raw_history(v: Views) -> DataFrame:
 
 def raw_files(v: Views) -> DataFrame:
     """All item files, also of items without any row."""
-    name = F.replace(F.replace("base_name", F.lit(" "), F.lit("%20")), F.lit("|"), F.lit("%7C"))
-    files = v.parts.select(F.concat(name, F.lit(".csv")).alias("file_name"), F.lit(100).cast("bigint").alias("length"))
-    return H.with_identity(files)
+    return H.with_identity(v.parts.select("file_name", F.lit(100).cast("bigint").alias("length")))
 
 
 CLEANED = """
@@ -288,8 +290,7 @@ def rejected_files(v: Views) -> DataFrame:
 
 @query("registered_items", f"""
     WITH {CLEANED}, wanted AS (
-      SELECT base_name FROM fx_parts
-      WHERE replace(replace(base_name, ' ', '%20'), '|', '%7C') || '.csv' NOT IN (SELECT file_name FROM rejected)),
+      SELECT base_name FROM fx_parts WHERE file_name NOT IN (SELECT file_name FROM rejected)),
     known AS (SELECT * FROM fx_items WHERE item_type = 'Knife')
     SELECT id, market_hash_name, item_type FROM known
     UNION ALL
@@ -318,10 +319,8 @@ def type_distribution(v: Views) -> DataFrame:
 
 
 @query("sample_decodes", """
-    WITH files AS (
-      SELECT replace(replace(base_name, ' ', '%20'), '|', '%7C') || '.csv' AS file_name, base_name, item_type
-      FROM fx_parts),
-    numbered AS (SELECT *, row_number() OVER (ORDER BY file_name) AS idx FROM files)
+    WITH numbered AS (
+      SELECT file_name, base_name, item_type, row_number() OVER (ORDER BY file_name) AS idx FROM fx_parts)
     SELECT file_name, base_name AS market_hash_name, item_type, idx FROM numbered
     WHERE idx <= 4 OR idx % 3000 = 0 ORDER BY idx LIMIT 6""")
 def sample_decodes(v: Views) -> DataFrame:
@@ -341,6 +340,18 @@ def upsert_items(v: Views) -> DataFrame:
     return register_names(v.parts.select("market_hash_name"), known)
 
 
+@query("table_snapshots", """
+    SELECT item_id, sale_date, median_price_cents, volume_sold FROM fx_part_history""")
+def table_snapshots(v: Views) -> DataFrame:
+    """The price table written, appended to and read back."""
+    ensure_checkpoint_dir(v.spark)
+    root = f"{v.spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    early = F.col("sale_date") < F.expr("TIMESTAMP '1997-01-01 00:00:00'")
+    for part in (v.part_history.filter(early), v.part_history.filter(~early)):
+        append_table(part, root, "historical_prices")
+    return ntz(read_table(v.spark, root, "historical_prices"), "sale_date")
+
+
 @query("steam_baseline", "SELECT item_id, avg(median_price_cents) AS avg_steam FROM fx_part_history GROUP BY item_id")
 def steam_baseline(v: Views) -> DataFrame:
     return C.steam_baseline(v.part_history)

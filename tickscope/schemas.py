@@ -23,6 +23,13 @@ INGESTION_BATCHES = (
     "batch_id STRING, source STRING, record_count BIGINT, payload_sha256 STRING, "
     "received_at TIMESTAMP"
 )
+# Lookups of the hot path, keyed by name.
+PUBLISHED_BASELINES = (
+    "market_hash_name STRING, support_floor_cents BIGINT, latest_price_cents BIGINT, "
+    "rolling_30d_avg_cents BIGINT, volatility_cents BIGINT, drift_percent DOUBLE, cv_published DOUBLE, "
+    "payload_json STRING"
+)
+STICKER_PRICES = "name STRING, price STRING"
 
 TABLES = {
     "market_items": MARKET_ITEMS,
@@ -31,6 +38,8 @@ TABLES = {
     "item_macro_baselines": ITEM_MACRO_BASELINES,
     "simulated_trades": SIMULATED_TRADES,
     "ingestion_batches": INGESTION_BATCHES,
+    "published_baselines": PUBLISHED_BASELINES,
+    "sticker_prices": STICKER_PRICES,
 }
 
 STICKERS = "ARRAY<STRUCT<name: STRING>>"

@@ -1,4 +1,4 @@
-"""The six tables as Parquet with fixed schemas.
+"""The six tables and the two published lookups as Parquet with fixed schemas.
 
 There is no table format with merge here, so a changed table is written as a new snapshot
 folder next to the old one; readers take the newest complete snapshot. A path is never
@@ -29,7 +29,7 @@ def write_snapshot(df: DataFrame, root: str, table: str) -> int:
 
 
 def append_table(df: DataFrame, root: str, table: str) -> None:
-    """Append to an insert-only table (ticks, trades, ledger), which stays in one folder."""
+    """Append to an insert-only table (prices, ticks, trades, ledger), which stays in one folder."""
     columns = [f.name for f in _struct(df.sparkSession, table)]
     df.select(*columns).write.mode("append").parquet(f"{root}/{table}/v={0:09d}")
 
