@@ -78,6 +78,13 @@ def test_lookup_ways_agree(spark, rows, how):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+@pytest.mark.parametrize("rows", [100, 1])
+def test_lookup_of_a_key_list(spark, rows):
+    facts = spark.createDataFrame([(i, f"k{i % 5}") for i in range(50)], "id INT, key STRING")
+    keys = spark.createDataFrame([("k1",), ("k2",), ("k9",)], "key STRING")
+    assert {r.key for r in lookup(facts, keys, "key", "inner", rows=rows, hot_keys=1).collect()} == {"k1", "k2"}
+
+
 def test_lookup_salt_stays_in_the_join_key(spark):
     facts = spark.createDataFrame([(i, "hot") for i in range(50)], "id INT, key STRING")
     table = spark.createDataFrame([("hot", 1), ("k", 2)], "key STRING, v INT")

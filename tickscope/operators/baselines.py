@@ -11,6 +11,7 @@ from tickscope.functions.scoring import sample_variance
 from tickscope.operators.joins import lookup
 from tickscope.operators.ordering import GROUP_ROWS, latest_rows, with_frames
 from tickscope.operators.quantiles import exact_quantile
+from tickscope.session import stored
 
 # Windows are row counts, not days.
 SHORT_ROWS, LONG_ROWS = 30, 90
@@ -122,7 +123,7 @@ def limit_items(items: DataFrame, n: int | None) -> DataFrame:
 
 def upsert_baselines(new: DataFrame, old: DataFrame, now: Column) -> DataFrame:
     """Replace the row of each analysed item, keep all others."""
-    fresh = new.select(*BASELINE_FIELDS, now.alias("updated_at"))
+    fresh = stored(new.select(*BASELINE_FIELDS, now.alias("updated_at")))  # used twice
     kept = old.select(*BASELINE_FIELDS, "updated_at").join(fresh.select("item_id"), "item_id", "left_anti")
     return fresh.unionByName(kept)
 

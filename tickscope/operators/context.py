@@ -73,7 +73,7 @@ def market_context(
     )
     steam = steam_baseline(history).withColumnRenamed("item_id", "base_id")
     live = source_baseline(ticks, source).withColumnRenamed("item_id", "versioned_id")
-    # one row per item on both sides: no key repeats, so plain joins stay even
+    # aggregated to one row per item; a requested base item repeats once per version only
     joined = (
         resolved.join(steam, "base_id", "left").join(live, "versioned_id", "left").join(macro, "versioned_id", "left")
     )

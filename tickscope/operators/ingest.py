@@ -228,6 +228,13 @@ def record_order(record_id: Column) -> list[Column]:
     return [F.get(parts, 0).try_cast("bigint"), F.get(parts, 1).try_cast("bigint"), record_id]
 
 
+def in_record_order(records: DataFrame, largest: int | None = None) -> DataFrame:
+    """Records numbered by age in ``pos``."""
+    milliseconds, sequence, _ = record_order(F.col("record_id"))
+    keyed = records.withColumns({"_ms": milliseconds, "_seq": sequence})
+    return number_rows(keyed, [], ["_ms", "_seq", "record_id"], "pos", largest=largest).drop("_ms", "_seq")
+
+
 def replay_dead_letters(
     dead: DataFrame, items: DataFrame, ledger: DataFrame, limit: int, received_at: Column
 ) -> Replay:
@@ -239,11 +246,7 @@ def replay_dead_letters(
         raise ValueError("limit must be at least 1")
     valid, quarantine = split_malformed(dead)
     attempts = stored(valid.orderBy(*record_order(F.col("record_id"))).limit(limit))
-    milliseconds, sequence, _ = record_order(F.col("record_id"))
-    ordered = number_rows(
-        attempts.withColumns({"_ms": milliseconds, "_seq": sequence}), [], ["_ms", "_seq", "record_id"], "pos",
-        largest=limit,
-    ).drop("_ms", "_seq")
+    ordered = in_record_order(attempts, largest=limit)
     ingest = ingest_tick_batches(ordered, items, ledger, received_at)
     done = ordered.select("record_id", "pos").join(ingest.statuses.filter(F.col("status").isin(STORED)), "pos")
     succeeded = F.col("status").isin(STORED)

@@ -35,7 +35,7 @@ def lookup(
     if at_most(table.select(key), rows):
         return facts.join(F.broadcast(table), key, how)
     values = [c for c in table.columns if c != key]
-    packed = table.select(key, F.struct(*values).alias("_row"))
+    packed = table.select(key, F.struct(F.lit(True).alias("_hit"), *values).alias("_row"))
     hot = stored(
         facts.filter(F.col(key).isNotNull()).groupBy(key).count().orderBy(F.desc("count"), key).limit(hot_keys)
     ).select(key)

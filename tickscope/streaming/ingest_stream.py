@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickscope import schemas
-from tickscope.operators.ingest import ingest_tick_batches, split_malformed
-from tickscope.operators.ordering import number_rows
+from tickscope.operators.ingest import in_record_order, ingest_tick_batches, split_malformed
 from tickscope.sources.tables import epochs_before
 
 ENVELOPE = (
@@ -39,7 +38,7 @@ def ingest_epoch(records: DataFrame, epoch: int, root: str, first_items: DataFra
 
     split = split_malformed(records)
     write(split.quarantine, "quarantine")
-    write(number_rows(split.valid, [], ["record_id"], "pos"), "batches")
+    write(in_record_order(split.valid), "batches")
     batches = spark.read.schema(ENVELOPE).parquet(f"{root}/batches/epoch={epoch}")
     result = ingest_tick_batches(batches, items, ledger, F.current_timestamp())
     write(result.items, "items")
