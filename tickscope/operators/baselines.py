@@ -55,7 +55,7 @@ def macro_baselines(history: DataFrame, ties: list[str] | None = None) -> DataFr
     """
     ties = ties or []
     newest = [F.col(c).desc() for c in ["sale_date", *ties]]
-    columns = ["item_id", "sale_date", *ties, "median_price_cents", "volume_sold"]
+    columns = dict.fromkeys(["item_id", "sale_date", *ties, "median_price_cents", "volume_sold"])
     tail = latest_rows(history.select(*columns), "item_id", newest, LONG_ROWS, "rn")
     price, recent = F.col("median_price_cents"), F.col("rn") <= SHORT_ROWS
     recent_price = F.when(recent, price)

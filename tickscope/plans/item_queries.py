@@ -17,7 +17,9 @@ from tickscope.session import ensure_checkpoint_dir
 from tickscope.sources import history as H
 from tickscope.sources.tables import append_table, read_table
 
-TIES = ["l_orderkey", "l_linenumber"]
+# (order, line) repeats in the larger tables; rows equal in all of these are interchangeable
+TIES = ["l_orderkey", "l_linenumber", "median_price_cents", "volume_sold"]
+LINE = TIES[:2]
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
@@ -57,8 +59,8 @@ def macro_sql(history: str, ties: str) -> str:
         FROM ends)"""
 
 
-MACRO = macro_sql("fx_history", "l_orderkey,l_linenumber")
-PART_MACRO = macro_sql("fx_part_history", "l_orderkey,l_linenumber")
+MACRO = macro_sql("fx_history", ",".join(TIES))
+PART_MACRO = macro_sql("fx_part_history", ",".join(TIES))
 PERSISTED = ", ".join(B.BASELINE_FIELDS)
 
 
@@ -76,10 +78,11 @@ def macro_baselines(v: Views) -> DataFrame:
     SELECT item_id, l_orderkey, l_linenumber,
            avg(median_price_cents) OVER (o ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS rolling_30d,
            avg(median_price_cents) OVER (o ROWS BETWEEN 89 PRECEDING AND CURRENT ROW) AS rolling_90d
-    FROM fx_history WINDOW o AS (PARTITION BY item_id ORDER BY sale_date, l_orderkey, l_linenumber)""")
+    FROM fx_history
+    WINDOW o AS (PARTITION BY item_id ORDER BY sale_date, l_orderkey, l_linenumber, median_price_cents, volume_sold)""")
 def rolling_averages(v: Views) -> DataFrame:
-    rolled = B.rolling_averages(v.history.drop("volume_sold"), TIES)
-    return rolled.select("item_id", *TIES, "rolling_30d", "rolling_90d")
+    rolled = B.rolling_averages(v.history, TIES)
+    return rolled.select("item_id", *LINE, "rolling_30d", "rolling_90d")
 
 
 @query("monthly_seasonality", """
@@ -240,11 +243,11 @@ def raw_history(v: Views) -> DataFrame:
     """File rows as the CSV reader gives them, a header per file included."""
     raw = v.raw_history
     rows = raw.select(
-        "name", F.col("stamp").alias("unix timestamp"), "price", "quantity", "file_name", *TIES,
+        "name", F.col("stamp").alias("unix timestamp"), "price", "quantity", "file_name", *LINE,
     )
     headers = v.parts.join(raw.select("file_name").distinct(), "file_name", "left_semi").select(
         *[F.lit(c).alias(c) for c in ("name", "unix timestamp", "price", "quantity")], "file_name",
-        F.lit(None).cast("bigint").alias(TIES[0]), F.lit(None).cast("int").alias(TIES[1]),
+        F.lit(None).cast("bigint").alias(LINE[0]), F.lit(None).cast("int").alias(LINE[1]),
     )
     return H.with_identity(H.mark_headers(rows.unionByName(headers)))
 
