@@ -12,7 +12,7 @@ from tickscope.operators import baselines as B
 from tickscope.operators import context as C
 from tickscope.operators import monitoring as M
 from tickscope.operators import trades as T
-from tickscope.plans.item_queries import TIES, macro_sql, ntz
+from tickscope.plans.item_queries import macro_sql, ntz
 from tickscope.plans.registry import Views, query
 from tickscope.plans.tick_queries import MULTIPLIER, QUALITY, TIERS
 
