@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import mixing, secrets
+from tickscope.llm import mixing, secrets, token_files
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -86,3 +86,17 @@ LEFT JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer file lies; a parameter of the operators, nothing is copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_token_files")
+def token_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    manifest = token_files.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_files(manifest, docs.schema["doc_id"].dataType.simpleString(), digest_only=True)
