@@ -28,9 +28,9 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def map_cells(cells: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]],
+def map_cells(cells: DataFrame, key: str, make: Callable[[], Callable[[pa.Table], Iterator[pa.RecordBatch]]],
               schema: str, partitions: int | None = None) -> DataFrame:
-    """Runs ``work`` once per value of ``key``, whose rows fit in memory by construction.
+    """Runs the function that ``make`` gives each task once per value of ``key``, whose rows fit in memory by construction.
 
     Cells are dealt by their key and sorted, then streamed: a task holds one cell at a time, however
     many cells it gets, and thousands of tiny cells cost no job or Pandas group each.
@@ -38,7 +38,7 @@ def map_cells(cells: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa
     dealt = cells.repartition(partitions, key) if partitions else cells.repartition(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        work, held = make(), []
         for batch in batches:
             keys = batch.column(key)
             start = 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import mixing, secrets, token_files
+from tickscope.llm import bpe_tree, mixing, secrets, token_files
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -100,3 +100,8 @@ def token_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     manifest = token_files.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(manifest, docs.schema["doc_id"].dataType.simpleString(), digest_only=True)
+
+
+@query("op9_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.round_trip_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
