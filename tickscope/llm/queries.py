@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import bpe_tree, mixing, secrets, token_files
+from tickscope.llm import bpe_tree, mixing, secrets, token_files, vectors
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -105,3 +105,26 @@ def token_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+    coalesce(label IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x for x in embedding if x <> 0]) > 0, false) AS fit
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM (FROM v WHERE fit) a JOIN (FROM v WHERE fit) b
+  ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+found AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, f.component_id, v.vec_id = f.component_id AS kept
+FROM v JOIN found f ON f.a = v.vec_id LEFT JOIN counts c ON c.a = v.vec_id
+"""
+
+
+@query("op1_embedding_near_dedup", VECTOR_SQL)
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
