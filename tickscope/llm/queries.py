@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import bpe_tree, mixing, secrets, token_files, vectors
+from tickscope.llm import ann, bpe_tree, mixing, secrets, token_files, vectors
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -128,3 +128,9 @@ FROM v JOIN found f ON f.a = v.vec_id LEFT JOIN counts c ON c.a = v.vec_id
 @query("op1_embedding_near_dedup", VECTOR_SQL)
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_nearest_vectors")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = read_table(spark, sf_dir, "embeddings")
+    return ann.nearest(embeddings, embeddings.where(F.col("vec_id") % 50 == 0))
