@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,13 @@ LEAF = 2048  # characters of a leaf; a pre-token with more is split
 WINDOW = 4  # tokens on each side of a join at first
 
 
+JOINTS = (b"", " ", " ")  # between the ids, the decimal ids and the decoded texts of neighbours
+
+
+def _add(a: tuple[bytes, str, str], b: tuple[bytes, str, str]) -> tuple[bytes, str, str]:
+    return tuple(by.join(parts) for by, parts in zip(JOINTS, zip(a, b))) if a[0] else b
+
+
 class Codec:
     """Encoder of pieces and of fragments of pre-tokens, for one worker.
 
@@ -35,28 +43,36 @@ class Codec:
         from tokenizers import models
 
         self.tokenizer, self.leaf = load_tokenizer(path), leaf
-        self.cache = PieceCache(self.tokenizer, self._value)
+        self.token = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         model = json.loads(self.tokenizer.to_str())["model"]
+        suffix = model.get("end_of_word_suffix") or ""
+        self.cache = PieceCache(self.tokenizer, self._values, _add, border=suffix)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        suffix = model.get("end_of_word_suffix")
         plain = {"vocab": model["vocab"], "merges": merges, "cache_capacity": 0}
         self.inside = models.BPE(**plain)
         self.ending = models.BPE(**plain, end_of_word_suffix=suffix) if suffix else self.inside
-        self.suffix = suffix or ""
-        self.token = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.suffix = suffix
         self.specials = re.compile("|".join(map(re.escape, self.cache.specials)) or r"(?!)")
 
-    def _value(self, ids: list[int]) -> tuple[list[int], str, str]:
-        return ids, " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
+    def _values(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[tuple[bytes, str, str]]:
+        packed, each = ids.astype(np.int32).tobytes(), ids.tolist()
+        decimal = list(map(str, each))
+        return [(packed[4 * b:4 * e], " ".join(decimal[b:e]), self.decoded(each[b:e])) for b, e in zip(begins, ends)]
+
+    def decoded(self, ids: list[int]) -> str:
+        """As ``decode(ids, skip_special_tokens=False)``; without a decoder that joins tokens by a space."""
+        if self.tokenizer.decoder is None:
+            return " ".join([self.token[i] for i in ids])
+        return self.tokenizer.decode(ids, skip_special_tokens=False)
 
-    def simple(self, texts: list[str]) -> Iterator[tuple[list[list[int]], list[str], list[str]]]:
-        """Per text without long pieces: ids, decimal ids and decoded texts of its pieces."""
-        split = [[p for p in t.split(" ") if p] for t in texts]
+    def simple(self, texts: list[str]) -> Iterator[tuple[bytes, str, str]]:
+        """Per text without long pieces: its ids as bytes, its decimal ids and its decoded text."""
+        split = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
         values, at = self.cache.values([p for pieces in split for p in pieces]), 0
         for pieces in split:
             own = [v for v in values[at:at + len(pieces)] if v[0]]
             at += len(pieces)
-            yield [v[0] for v in own], [v[1] for v in own], [v[2] for v in own]
+            yield tuple(by.join(parts) for by, parts in zip(JOINTS, zip(*own))) if own else (b"", "", "")
 
     def units(self, text: str) -> Iterator[tuple[list[int] | None, str]]:
         """The text in order: (ids, "") of what is short, (None, byte-level string) of a long pre-token."""
@@ -64,7 +80,7 @@ class Codec:
         for m in [*self.specials.finditer(text), None]:
             for piece in text[upto:m.start() if m else len(text)].split(" "):
                 if len(piece) <= self.leaf:
-                    yield (self.cache.values([piece])[0][0] if piece else []), ""
+                    yield (np.frombuffer(self.cache.values([piece])[0][0], np.int32).tolist() if piece else []), ""
                     continue
                 normal = self.tokenizer.normalizer.normalize_str(piece) if self.tokenizer.normalizer else piece
                 for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
@@ -97,6 +113,12 @@ class Codec:
             width *= 2
 
 
+@lru_cache(maxsize=2)
+def shared_codec(path: str, leaf: int) -> Codec:
+    """The codec of this worker process, with what it has cached in earlier tasks."""
+    return Codec(path, leaf)
+
+
 def _id_type(docs: DataFrame, id_col: str) -> str:
     return docs.schema[id_col].dataType.simpleString()
 
@@ -119,7 +141,7 @@ def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col:
                               F.monotonically_increasing_id().alias("row")))
 
     def cut(batches):
-        codec = Codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf)
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 out, held = [], []
@@ -141,7 +163,7 @@ def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col:
     leaves = rows.mapInArrow(cut, "row bigint, unit int, node bigint, ids array<int>, text string, ends boolean")
 
     def encode(batches):
-        codec = Codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf)
         for batch in batches:
             ids = [i if i is not None else codec.fragment(t, e) for i, t, e in zip(
                 batch.column("ids").to_pylist(), batch.column("text").to_pylist(), batch.column("ends").to_pylist())]
@@ -155,7 +177,7 @@ def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col:
                                ("ids", pa.list_(pa.int32())), ("ends", pa.bool_())])
 
     def joiner():
-        codec = Codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf)
 
         def join_pair(cell: pa.Table):
             first, *others = sorted(cell.to_pylist(), key=lambda r: r["node"])
@@ -189,10 +211,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
 
     def encode(batches):
-        codec = Codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf)
         for batch in batches:
-            ids = [np.concatenate([np.array(i, np.int32) for i in parts]) if parts else np.zeros(0, np.int32)
-                   for parts, _, _ in codec.simple([t.as_py() for t in batch.column("text")])]
+            ids = [np.frombuffer(i, np.int32) for i, _, _ in codec.simple(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     short = rows.where(~_long(F.col("text"), leaf)).mapInArrow(encode, f"doc_id {_id_type(docs, id_col)}, ids array<int>")
@@ -233,10 +254,10 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batches):
-        codec = Codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf)
         for batch in batches:
-            yield _digest(batch, ((sum(map(len, ids)), " ".join(decimal), " ".join(decoded))
-                                  for ids, decimal, decoded in codec.simple([t.as_py() for t in batch.column("text")])))
+            yield _digest(batch, ((len(ids) // 4, decimal, decoded)
+                                  for ids, decimal, decoded in codec.simple(batch.column("text").to_pylist())))
 
     def long(batches):
         tokenizer = load_tokenizer(tokenizer_path)

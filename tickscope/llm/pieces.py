@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
 
 PIECE = 64  # longer pieces are not kept
-GENERATION = 150_000  # pieces of the young half of the cache; the old half is dropped when it is full
+GENERATION = 350_000  # pieces of the young half of the cache; the old half is dropped when it is full
 CALL = 4096  # pieces in one call of the library
+TAILS = ",.;:!?"  # one of these behind a letter is a pre-token of its own
 
 
 def load_tokenizer(path: str):
@@ -28,15 +32,28 @@ def load_tokenizer(path: str):
 
 
 class PieceCache:
-    """``value(ids)`` of each piece; two generations, so that memory is bounded and frequent pieces stay."""
+    """What ``values_of(ids, begins, ends)`` makes of each piece's ids; two generations, so that memory is bounded and frequent pieces stay.
+
+    ``add`` joins the values of neighbouring pre-tokens: a new word with a comma is known if the word is.
+    """
 
-    def __init__(self, tokenizer, value: Callable[[list[int]], object], prefix: str = ""):
-        self.tokenizer, self.value, self.prefix = tokenizer, value, prefix
+    def __init__(self, tokenizer, values_of: Callable[[np.ndarray, list[int], list[int]], list],
+                 add: Callable[[object, object], object], prefix: str = "", border: str = ""):
+        """``border``: how tokens begin (with ``prefix``) or else end where one plain word meets the next."""
+        self.tokenizer, self.values_of, self.add, self.prefix = tokenizer, values_of, add, prefix
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.bounds = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.bounds[i] = bool(border) and (token.startswith(border) if prefix else token.endswith(border))
         added = json.loads(tokenizer.to_str())["added_tokens"]
         self.specials = [t["content"] for t in added]
         self.parting, self.parting_id = (added[0]["content"], added[0]["id"]) if added else (None, None)
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.tails = {t: self.value(tokenizer.encode(t, add_special_tokens=False).ids) for t in TAILS}
+
+    def value(self, ids: list[int]):
+        return self.values_of(np.array(ids, np.int64), [0], [len(ids)])[0]
 
     def values(self, pieces: list[str]) -> list:
         found = list(map(self.young.get, pieces))
@@ -50,14 +67,34 @@ class PieceCache:
     def _fill(self, pieces: set[str]) -> dict[str, object]:
         out = {p: v for p in pieces if (v := self.old.get(p)) is not None}
         new = [p for p in pieces if p not in out]
-        for start in range(0, len(new), CALL):
-            part = new[start:start + CALL]
+        tailed = [p for p in new if len(p) > 1 and p[-1] in self.tails and p[-2].isalpha()]
+        for p, core in zip(tailed, self.values([p[:-1] for p in tailed]) if tailed else []):
+            out[p] = self.add(core, self.tails[p[-1]])
+        new = [p for p in new if p not in out]
+        words = [p for p in new if p.isalpha()]
+        for start in range(0, len(words), CALL):
+            part = words[start:start + CALL]
+            out.update(zip(part, self._words(part)))
+        others = [p for p in new if not p.isalpha()]
+        for start in range(0, len(others), CALL):
+            part = others[start:start + CALL]
             out.update(zip(part, map(self.value, self._encode(part))))
         self.young.update((p, v) for p, v in out.items() if len(p) <= PIECE)
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
         return out
 
+    def _words(self, words: list[str]) -> list:
+        """Values of words of letters, encoded as one text and parted where tokens begin or end a word."""
+        text = "".join([self.prefix + w for w in words]) if self.prefix else " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.flatnonzero(self.bounds[ids])
+        if len(cuts) != len(words):  # no such border, or letters that normalise to several words
+            return list(map(self.value, self._encode(words)))
+        if self.prefix:
+            return self.values_of(ids, cuts.tolist(), [*cuts[1:].tolist(), len(ids)])
+        return self.values_of(ids, [0, *(cuts[:-1] + 1).tolist()], (cuts + 1).tolist())
+
     def _encode(self, pieces: list[str]) -> list[list[int]]:
         texts = [self.prefix + p for p in pieces]
         plain = self.parting is not None and not any(s in t for t in texts for s in self.specials)
@@ -77,24 +114,53 @@ class PieceCache:
 class TextEncoder:
     """Ids of whole texts as bytes of one unsigned type, for tokenizers that attach a space to the next word.
 
-    Runs of spaces and special tokens bind over piece borders; such texts go to the library whole.
+    Lines part at newlines between non-spaces, and lines at single spaces. Other runs of white space and
+    special tokens bind over piece borders; such texts go to the library whole.
     """
 
-    def __init__(self, tokenizer, pack: Callable[[Iterable[int]], bytes]):
-        self.tokenizer, self.pack = tokenizer, pack
-        self.first = PieceCache(self.tokenizer, pack)
-        self.inner = PieceCache(self.tokenizer, pack, prefix=" ")
+    def __init__(self, tokenizer, dtype: np.dtype):
+        self.tokenizer, self.dtype = tokenizer, dtype
+        self.first = PieceCache(tokenizer, self._slices, bytes.__add__)
+        self.inner = PieceCache(tokenizer, self._slices, bytes.__add__, prefix=" ", border="\u0120")
+        self.newline = self._whole("\n")
+
+    def _slices(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[bytes]:
+        packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        return [packed[b * width:e * width] for b, e in zip(begins, ends)]
+
+    def _whole(self, text: str) -> bytes:
+        return self.first.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _lines(self, text: str) -> list[list[str]] | None:
+        if "  " in text or any(s in text for s in self.first.specials):
+            return None
+        lines = text.split("\n")
+        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            return [text.split(" ")]
+        return [x.split(" ") for x in lines]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new pieces of all texts go to the library together."""
-        split = [None if "  " in t or any(s in t for s in self.first.specials) else t.split(" ") for t in texts]
-        heads = iter(self.first.values([p[0] for p in split if p]))
-        inner = self.inner.values([w for p in split if p for w in p[1:]])
+        split = [self._lines(t) for t in texts]
+        heads = iter(self.first.values([line[0] for p in split if p for line in p]))
+        inner = self.inner.values([w for p in split if p for line in p for w in line[1:]])
         out, at = [], 0
         for text, p in zip(texts, split):
             if p is None:
-                out.append(self.pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids))
-            else:
-                out.append(next(heads) + b"".join(inner[at:at + len(p) - 1]))
-                at += len(p) - 1
+                out.append(self._whole(text))
+                continue
+            parts = []
+            for line in p:
+                parts.append(next(heads) + b"".join(inner[at:at + len(line) - 1]))
+                at += len(line) - 1
+            out.append(self.newline.join(parts))
         return out
+
+
+@lru_cache(maxsize=2)
+def text_encoder(path: str, end_id: int) -> tuple[TextEncoder, np.dtype]:
+    """The encoder of this worker process, with what it has cached in earlier tasks, and the type of its ids."""
+    tokenizer = load_tokenizer(path)
+    large = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16
+    dtype = np.dtype("<u4" if large else "<u2")
+    return TextEncoder(tokenizer, dtype), dtype

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickscope.llm.common import bounded_batches, stored
-from tickscope.llm.pieces import TextEncoder, load_tokenizer
+from tickscope.llm.pieces import text_encoder
 from tickscope.session import ensure_checkpoint_dir
 
 SEQUENCE = 1024  # ids of one sequence
@@ -97,10 +97,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         store, path = _open_folder(folder)
         store.create_dir(path, recursive=True)
-        tokenizer = load_tokenizer(tokenizer_path)
-        large = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16
-        dtype = np.dtype("<u4" if large else "<u2")
-        encoder = TextEncoder(tokenizer, lambda ids: np.array(ids, dtype).tobytes())
+        encoder, dtype = text_encoder(tokenizer_path, end_id)
         end, start, writer, index = np.array([end_id], dtype).tobytes(), 0, None, None
         files = [f"{path}/{kind}-{part:06d}-{name}.arrow" for kind in ("tokens", "index")]
         n_docs = 0
