@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import ann, bpe_tree, mixing, secrets, token_files, vectors
+from tickscope.llm import ann, bpe_tree, mixing, secrets, token_files, units, vectors
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -134,3 +134,33 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = read_table(spark, sf_dir, "embeddings")
     return ann.nearest(embeddings, embeddings.where(F.col("vec_id") % 50 == 0))
+
+
+UNIT_SQL = r"""
+WITH units AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit,
+    unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS number
+  FROM documents),
+placed AS (
+  SELECT *, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS plain,
+    (sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY number) - length(unit) - 1)::BIGINT AS start
+  FROM units),
+ranked AS (
+  SELECT *, plain <> '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, number) > 1 AS gone FROM placed),
+kept AS (
+  SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY number) FILTER (NOT gone), '') AS text,
+    count(*)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
+    coalesce(string_agg(start || ':' || (start + length(unit)), ',' ORDER BY number) FILTER (gone), '') AS removed
+  FROM ranked GROUP BY doc_id)
+SELECT doc_id, n_units, n_removed, removed, length(text)::BIGINT AS kept_chars, sha256(text) AS kept_sha256 FROM kept
+"""
+
+
+@query("op10_line_dedup", UNIT_SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = units.dedup_units(read_table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    places = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return kept.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"),
+                       F.array_join(places, ",").alias("removed"), F.length(text).cast("long").alias("kept_chars"),
+                       F.sha2(text, 256).alias("kept_sha256"))
