@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import ann, bpe_tree, mixing, secrets, token_files, units, vectors
+from tickscope.llm import ann, bpe_tree, mixing, secrets, token_files, toxicity, units, vectors
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -164,3 +164,11 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"),
                        F.array_join(places, ",").alias("removed"), F.length(text).cast("long").alias("kept_chars"),
                        F.sha2(text, 256).alias("kept_sha256"))
+
+
+@query("op5_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
