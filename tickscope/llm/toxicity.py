@@ -16,7 +16,8 @@ from tickscope.llm.common import bounded_batches, stored
 
 SAMPLE = 4000  # labelled rows of each class, at most, from which weights are learned
 STEMS = (4, 5, 6)  # word beginnings that can carry a weight
-LEAST_CONTEXTS, LEAST_WEIGHT, MOST_WEIGHT = 3, 2.5, 6.0
+LEAST_CONTEXTS, LEAST_WEIGHT, MOST_WEIGHT = 3, 1.5, 6.0
+DEVIATIONS = 1.64  # a form counts if its weight less so many standard errors reaches LEAST_WEIGHT
 PRIOR = 2.5  # weight of a listed word that the labels say nothing about
 THRESHOLD = 0.3
 
@@ -87,12 +88,11 @@ def grammar() -> Transducer:
 
 @dataclass
 class Model:
-    """Weights of words and stems, and the line from a document's evidence to its log odds."""
+    """Weights of words and stems, and of a document's evidence (with an offset) in its log odds."""
 
     weights: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    slope: float = 1.0
-    offset: float = -4.0
+    line: tuple[float, ...] = (1.0, 1.0, 0.0, -4.0)
 
 
 class Scorer:
@@ -113,9 +113,8 @@ class Scorer:
             return (kind or INSULT, weight) if weight > 0 else None
         return kind, 0.0
 
-    def clauses(self, text: str) -> Iterator[float]:
+    def clauses(self, tokens: list[str]) -> Iterator[float]:
         """The score of each clause with a hostile word."""
-        tokens = TOKEN.findall(text.lower())
         if len(self.known) > self.KNOWN:
             self.known = {}
         known = self.known
@@ -139,12 +138,16 @@ class Scorer:
             if entry:
                 score += entry[1] * factor
 
-    def evidence(self, text: str) -> float:
-        scores = list(self.clauses(text))
-        return math.log1p(sum(scores)) + max(scores) / MOST_WEIGHT if scores else 0.0
+    def evidence(self, text: str) -> tuple[float, float, float]:
+        """The sum of the clause scores, the highest one, and the length of the text, in which words of a
+        learned stem also occur by chance; sum and length as logarithms."""
+        tokens = TOKEN.findall(text.lower())
+        scores = list(self.clauses(tokens))
+        return math.log1p(sum(scores)), max(scores, default=0.0) / MOST_WEIGHT, math.log1p(len(tokens)) if scores else 0.0
 
     def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.model.slope * self.evidence(text) + self.model.offset))))
+        odds = sum(w * x for w, x in zip(self.model.line, (*self.evidence(text), 1.0)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
 def held_out(doc_id) -> "F.Column":
@@ -194,8 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     forms = texts.mapInArrow(_contexts, "form string, before string, toxic int").distinct().groupBy("form").agg(
         F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     weight = F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1))
-    weighed = forms.withColumn("weight", F.least(weight, F.lit(MOST_WEIGHT)))
-    strong = ((F.col("pos") >= LEAST_CONTEXTS) & (F.col("weight") >= LEAST_WEIGHT)) | (
+    error = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    weighed = forms.withColumn("sure", weight - DEVIATIONS * error).withColumn("weight", F.least(weight, F.lit(MOST_WEIGHT)))
+    strong = ((F.col("pos") >= LEAST_CONTEXTS) & (F.col("sure") >= LEAST_WEIGHT)) | (
         F.col("form").isin(*known) & (F.col("pos") + F.col("neg") >= LEAST_CONTEXTS))
     rows = weighed.where(strong).collect()  # forms of the bounded sample
     known |= {r.form: max(0.0, r.weight) for r in rows if not r.form.endswith("-")}
@@ -205,26 +209,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         scorer = Scorer(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([scorer.evidence(t or "") for t in batch.column("text").to_pylist()], pa.float64()), batch.column("toxic")],
-                ["evidence", "toxic"])
+                [pa.array([scorer.evidence(t or "") for t in batch.column("text").to_pylist()], pa.list_(pa.float64())),
+                 batch.column("toxic")], ["evidence", "toxic"])
 
-    found = texts.select("text", "toxic").mapInArrow(evidence, "evidence double, toxic int").toPandas()
+    found = texts.select("text", "toxic").mapInArrow(evidence, "evidence array<double>, toxic int").toPandas()
     counts = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     y = found["toxic"].to_numpy(float)
     each = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, (1 - y).sum()))
-    model.slope, model.offset = _logistic(found["evidence"].to_numpy(), y, each / each.mean())
+    model.line = _logistic(np.stack(found["evidence"]), y, each / each.mean())
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression on one feature with a weak ridge, by Newton steps; the slope is not negative."""
-    design, beta = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
-    ridge = np.diag([0.1, 0.01])
+def _logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[float, ...]:
+    """Weighted logistic regression with a weak ridge, by Newton steps; returns the weights and the offset."""
+    design = np.column_stack([x, np.ones(len(x))])
+    beta, ridge = np.zeros(design.shape[1]), np.diag([0.1] * x.shape[1] + [0.01])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         step = np.linalg.solve((design.T * (each * p * (1 - p))) @ design + ridge, design.T @ (each * (y - p)) - ridge @ beta)
         beta += np.clip(step, -2, 2)
-    return max(0.0, float(beta[0])), float(beta[1])
+    return tuple(map(float, beta))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
