@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import ann, bpe_tree, mixing, secrets, token_files, toxicity, units, vectors
+from tickscope.llm import ann, bpe_tree, jaccard, mixing, secrets, token_files, toxicity, units, vectors
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -172,3 +172,29 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, [w for w in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if w <> ''] AS words FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM texts WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b USING (gram)
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 5 * c.n >= 4 * (x.n + y.n - c.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+found AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT f.a AS doc_id, coalesce(c.n, 0)::BIGINT AS n_links, f.component_id, f.a = f.component_id AS kept
+FROM found f LEFT JOIN counts c ON c.a = f.a
+"""
+
+
+@query("op4_jaccard_join", JACCARD_SQL)
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_links(read_table(spark, sf_dir, "documents")).drop("h")
