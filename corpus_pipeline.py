@@ -1,23 +1,53 @@
-"""The corpus pipeline: stages over ``documents``, each one of the training-data operators."""
+"""The corpus pipeline: five stages over ``documents``, each one of the training-data operators.
+
+Toxic documents go, one document of each group of near-duplicates stays, secrets are replaced by their
+kinds, sources are mixed to their targets (documents may repeat), and the mix is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickscope.llm import mixing, secrets
+from tickscope.llm import bpe_tree, jaccard, mixing, secrets, toxicity
 from tickscope.llm.common import read_table, stored
+from tickscope.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; weights come from the labelled ones among them."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts with a shingle similarity of 0.8 or more."""
+    return jaccard.without_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with ``[kind]`` in place of each secret and ``n_chars`` set to the new length."""
     return secrets.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
     return mixing.mixed_rows(docs)
 
 
-STAGES = [("secret_scan", redact_secrets), ("source_mix", mix)]
-# Regular-language scans with code-point offsets and byte-pair encoding are beyond SQL.
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of each row of the mix."""
+    encoded = bpe_tree.encode_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("source_mix", mix),
+    ("bpe_encoding", encode),
+]
+# Learned weights, code-point offsets of secrets and byte-pair encoding are beyond SQL.
 ORACLE_SQL = None
 
 
