@@ -131,22 +131,3 @@ def _boundaries(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         if level < LEVELS - 1:
             state = state.drop("words")
     return state.select("sid", F.col("prefix").alias("edge"), (F.col("words") - F.col("rest") < F.col("rest")).alias("with_edge"))
-
-
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs`` with their own columns, each as often as it is taken."""
-    names = {k: options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
-    taken = mix_sources(docs, **options)
-    # The decision is a function of (source, hash), so rows get it without an identifier of their own.
-    rule = taken.groupBy("source", "copies").agg(F.max("pick").alias("upto"), F.min("pick").alias("from_pick"))
-    per_source = rule.groupBy("source").agg(
-        F.min("copies").alias("__least"), F.max("copies").alias("__most"),
-        F.max_by("upto", "copies").alias("__edge"))
-    keys = per_source.withColumnRenamed("source", "__source")
-    copies = F.when(row_hash(F.col(names["id_col"]), F.col(names["text_col"])) <= F.col("__edge"),
-                    F.col("__most")).otherwise(F.col("__least"))
-    joined = docs.join(keys, docs[names["source_col"]].eqNullSafe(keys["__source"]))
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(0))))
-                                 ) if False else joined.withColumn(
-        "__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return repeated.select(*(repeated[c] for c in docs.columns))
