@@ -15,8 +15,9 @@ from functools import lru_cache
 import numpy as np
 
 PIECE = 64  # longer pieces are not kept
-GENERATION = 350_000  # pieces of the young half of the cache; the old half is dropped when it is full
+GENERATION = 300_000  # pieces of the young half of the cache; the old half is dropped when it is full
 CALL = 4096  # pieces in one call of the library
+TEXT = 128  # words in one text of such a call
 TAILS = ",.;:!?"  # one of these behind a letter is a pre-token of its own
 
 
@@ -38,9 +39,11 @@ class PieceCache:
     """
 
     def __init__(self, tokenizer, values_of: Callable[[np.ndarray, list[int], list[int]], list],
-                 add: Callable[[object, object], object], prefix: str = "", border: str = ""):
+                 add: Callable[[object, object], object], prefix: str = "", border: str = "",
+                 generation: int = GENERATION):
         """``border``: how tokens begin (with ``prefix``) or else end where one plain word meets the next."""
         self.tokenizer, self.values_of, self.add, self.prefix = tokenizer, values_of, add, prefix
+        self.generation = generation
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.bounds = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -65,12 +68,14 @@ class PieceCache:
         return found
 
     def _fill(self, pieces: set[str]) -> dict[str, object]:
-        out = {p: v for p in pieces if (v := self.old.get(p)) is not None}
-        new = [p for p in pieces if p not in out]
+        before = list(map(self.old.get, pieces)) if self.old else []
+        out = {p: v for p, v in zip(pieces, before) if v is not None}
+        new = [p for p in pieces if p not in out] if out else list(pieces)
         tailed = [p for p in new if len(p) > 1 and p[-1] in self.tails and p[-2].isalpha()]
         for p, core in zip(tailed, self.values([p[:-1] for p in tailed]) if tailed else []):
             out[p] = self.add(core, self.tails[p[-1]])
-        new = [p for p in new if p not in out]
+        if tailed:
+            new = [p for p in new if p not in out]
         words = [p for p in new if p.isalpha()]
         for start in range(0, len(words), CALL):
             part = words[start:start + CALL]
@@ -79,15 +84,18 @@ class PieceCache:
         for start in range(0, len(others), CALL):
             part = others[start:start + CALL]
             out.update(zip(part, map(self.value, self._encode(part))))
-        self.young.update((p, v) for p, v in out.items() if len(p) <= PIECE)
-        if len(self.young) > GENERATION:
+        self.young.update(out)
+        for p in [p for p in new if len(p) > PIECE]:
+            self.young.pop(p, None)
+        if len(self.young) > self.generation:
             self.old, self.young = self.young, {}
         return out
 
     def _words(self, words: list[str]) -> list:
-        """Values of words of letters, encoded as one text and parted where tokens begin or end a word."""
-        text = "".join([self.prefix + w for w in words]) if self.prefix else " ".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        """Values of words of letters, encoded as texts of many words and parted where tokens begin or end a word."""
+        parts = [words[s:s + TEXT] for s in range(0, len(words), TEXT)]
+        texts = [self.prefix + (self.prefix or " ").join(part) for part in parts]
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         cuts = np.flatnonzero(self.bounds[ids])
         if len(cuts) != len(words):  # no such border, or letters that normalise to several words
             return list(map(self.value, self._encode(words)))
@@ -121,7 +129,7 @@ class TextEncoder:
     def __init__(self, tokenizer, dtype: np.dtype):
         self.tokenizer, self.dtype = tokenizer, dtype
         self.first = PieceCache(tokenizer, self._slices, bytes.__add__)
-        self.inner = PieceCache(tokenizer, self._slices, bytes.__add__, prefix=" ", border="\u0120")
+        self.inner = PieceCache(tokenizer, self._slices, bytes.__add__, prefix=" ", border="\u0120", generation=2 * GENERATION)
         self.newline = self._whole("\n")
 
     def _slices(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[bytes]:
