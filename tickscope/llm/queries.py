@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import ann, bpe_tree, jaccard, mixing, secrets, token_files, toxicity, units, vectors
+from tickscope.llm import ann, bpe_tree, jaccard, mixing, secrets, suffixes, token_files, toxicity, units, vectors
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -198,3 +198,10 @@ FROM found f LEFT JOIN counts c ON c.a = f.a
 @query("op4_jaccard_join", JACCARD_SQL)
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_links(read_table(spark, sf_dir, "documents")).drop("h")
+
+
+@query("op8_repeated_bytes")
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
