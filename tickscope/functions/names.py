@@ -16,10 +16,6 @@ AGENT_WORDS = [
     "FBI", "SWAT", "Gendarmerie", "KSK", "Agent",
 ]
 CONTAINER_WORDS = ["Case", "Capsule", "Package", "Pin"]
-ITEM_TYPES = [
-    "Knife", "Glove", "Agent", "Weapon Skin", "Sticker", "Music Kit", "Patch",
-    "Container/Collectible",
-]
 
 WEAR_PATTERN = r"(\((?:" + "|".join(WEARS) + r")\))"
 # "<base> (<version>) (<wear>)" and "<base> (<wear>)"

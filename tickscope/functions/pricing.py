@@ -19,8 +19,8 @@ BASE_FACTOR, MAX_PENALTY = 0.85, 0.15
 
 
 def half_even(value: Column) -> Column:
-    """Round to an integer, ties to even."""
-    return F.rint(value).cast("bigint")
+    """Round to an integer, ties to even; null when it is beyond the integers."""
+    return F.rint(value).try_cast("bigint")
 
 
 def to_cents(usd: Column) -> Column:

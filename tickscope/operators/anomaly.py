@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tickscope.functions.scoring import (
     DEFAULTS, Tuning, anomaly_trigger, estimated_profit, opportunity, z_score,
 )
 from tickscope.operators.dedup import accepted_windows
+from tickscope.operators.ingest import upsert_items
 from tickscope.operators.joins import lookup
 from tickscope.operators.ordering import GROUP_ROWS
 from tickscope.session import stored
@@ -78,12 +81,21 @@ def detect_anomalies(
     return judge(with_score(with_baseline(windowed, baselines), tuning), sticker_prices, tuning)
 
 
-def append_trades(decisions: DataFrame, items: DataFrame) -> DataFrame:
-    """Trade rows of the approved decisions; z is kept to 4 decimals as the trade log does."""
-    table = items.select("market_hash_name", F.col("id").alias("item_id"))
-    return lookup(decisions.filter("approved"), table, "market_hash_name").select(
+class TradeLog(NamedTuple):
+    trades: DataFrame
+    items: DataFrame
+
+
+def append_trades(decisions: DataFrame, items: DataFrame) -> TradeLog:
+    """Trade rows of the approved decisions, and the items with those that the trades name for the first
+    time; z is kept to 4 decimals as the trade log does."""
+    approved = decisions.filter("approved")
+    items_after = stored(upsert_items(approved, items))
+    table = items_after.select("market_hash_name", F.col("id").alias("item_id"))
+    trades = lookup(approved, table, "market_hash_name", "inner").select(
         F.col("id").cast("string").alias("id"), "item_id",
         F.col("price_cents").alias("purchase_price_cents"), "estimated_profit_cents",
         F.bround("z_score", 4).alias("trigger_z_score"),
         F.timestamp_seconds("timestamp").alias("simulated_buy_timestamp"),
     )
+    return TradeLog(trades, items_after)

@@ -56,6 +56,7 @@ def validate_ticks(raw: DataFrame, now: Column) -> TickSplit:
         F.when(F.col("market_hash_name").isNull(), F.lit("name is missing"))
         .when(price.isNull() | F.isnan(price), F.lit("price is missing"))
         .when(price <= 0, F.lit("price must be positive"))
+        .when(to_cents(price).isNull(), F.lit("price is out of range"))
     )
     tagged = raw.withColumn("error", error)
     good = (
@@ -84,18 +85,24 @@ def canonical_uuid(text: Column) -> Column:
 def chunk_batches(ticks: DataFrame, n: int = BATCH_TICKS, limit: int = GROUP_ROWS) -> DataFrame:
     """Batches of ``n`` ticks per source in (timestamp, id) order, with stable batch ids.
 
-    A group is one batch, so it has at most ``n`` ticks however large the source is.
+    The id names the source, the first and the last tick and their number: a rerun over the same ticks gives
+    the same ids, and the chunks of a later run, which start from 0 again, get others. A group is one
+    batch, so it has at most ``n`` ticks however large the source is.
     """
     numbered = number_rows(ticks, ["source"], ["timestamp", "id"], "_rn", limit)
     tick = F.struct("_rn", "market_hash_name", "price_cents", "timestamp")
     grouped = (
         numbered.withColumn("chunk", F.expr(f"(_rn - 1) div {n}"))
         .groupBy("source", "chunk")
-        .agg(F.sort_array(F.collect_list(tick)).alias("_t"))
+        .agg(
+            F.sort_array(F.collect_list(tick)).alias("_t"),
+            F.min(F.struct("_rn", "timestamp", "id")).alias("_first"), F.max(F.struct("_rn", "timestamp", "id")).alias("_last"),
+        )
     )
+    content = [F.col(c).cast("string") for c in ("_first.timestamp", "_first.id", "_last.timestamp", "_last.id")]
     bare = F.transform("_t", lambda t: F.struct(t["market_hash_name"], t["price_cents"], t["timestamp"]))
     return grouped.select(
-        uuid_of(F.col("source"), F.col("chunk").cast("string")).alias("batch_id"), "source", "chunk",
+        uuid_of(F.col("source"), *content, F.size("_t").cast("string")).alias("batch_id"), "source", "chunk",
         bare.cast(schemas.BATCH_TICKS).alias("ticks"),
     )
 
@@ -172,7 +179,7 @@ def ingest_tick_batches(batches: DataFrame, items: DataFrame, ledger: DataFrame,
         "batch_id", "_t.market_hash_name", "_t.price_cents", "marketplace_source",
         F.timestamp_seconds("_t.timestamp").alias("inserted_at"),
     )
-    items_after = stored(upsert_items(ticks, items))
+    items_after = upsert_items(ticks, items)
     ids = items_after.select("market_hash_name", F.col("id").alias("item_id"))
     rows = lookup(ticks, ids, "market_hash_name").select(
         "batch_id", "item_id", "price_cents", "marketplace_source", "inserted_at"
@@ -228,11 +235,13 @@ def record_order(record_id: Column) -> list[Column]:
     return [F.get(parts, 0).try_cast("bigint"), F.get(parts, 1).try_cast("bigint"), record_id]
 
 
-def in_record_order(records: DataFrame, largest: int | None = None) -> DataFrame:
-    """Records numbered by age in ``pos``."""
-    milliseconds, sequence, _ = record_order(F.col("record_id"))
-    keyed = records.withColumns({"_ms": milliseconds, "_seq": sequence})
-    return number_rows(keyed, [], ["_ms", "_seq", "record_id"], "pos", largest=largest).drop("_ms", "_seq")
+def in_record_order(records: DataFrame) -> DataFrame:
+    """Records with their age as ``pos``, a struct that compares as record ids do.
+
+    Ingest needs minima and equality of ``pos`` only, so records are neither numbered nor gathered.
+    """
+    milliseconds, sequence, record_id = record_order(F.col("record_id"))
+    return records.withColumn("pos", F.struct(milliseconds.alias("ms"), sequence.alias("seq"), record_id.alias("record_id")))
 
 
 def replay_dead_letters(
@@ -246,7 +255,7 @@ def replay_dead_letters(
         raise ValueError("limit must be at least 1")
     valid, quarantine = split_malformed(dead)
     attempts = stored(valid.orderBy(*record_order(F.col("record_id"))).limit(limit))
-    ordered = in_record_order(attempts, largest=limit)
+    ordered = in_record_order(attempts)
     ingest = ingest_tick_batches(ordered, items, ledger, received_at)
     done = ordered.select("record_id", "pos").join(ingest.statuses.filter(F.col("status").isin(STORED)), "pos")
     succeeded = F.col("status").isin(STORED)

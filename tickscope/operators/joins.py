@@ -23,7 +23,7 @@ def lookup(
 ) -> DataFrame:
     """Join ``facts`` to a table whose ``key`` is unique (``how``: left or inner).
 
-    A table of at most ``rows`` rows is broadcast, and the facts are not shuffled. A larger one
+    A table of at most ``rows`` rows and ``BROADCAST_BYTES`` bytes is broadcast, and the facts are not shuffled. A larger one
     is joined by shuffle. There, the ``hot_keys`` most frequent keys get their (few) table rows
     by broadcast and are salted in the shuffle, so no key gathers in one reducer.
 
@@ -32,7 +32,7 @@ def lookup(
     """
     if derived:
         table = stored(table)
-    if at_most(table.select(key), rows):
+    if at_most(table, rows):
         return facts.join(F.broadcast(table), key, how)
     values = [c for c in table.columns if c != key]
     packed = table.select(key, F.struct(F.lit(True).alias("_hit"), *values).alias("_row"))

@@ -23,7 +23,8 @@ def latest_tick(ticks: DataFrame, source: str | None = None) -> DataFrame:
 
 
 def trades_with_wear(trades: DataFrame, items: DataFrame, ticks: DataFrame) -> DataFrame:
-    return lookup(trade_items(trades, items), latest_tick(ticks), "item_id", derived=True)
+    # one row per item on the right: a plain join, whose skewed partitions Spark splits at run time
+    return trade_items(trades, items).join(latest_tick(ticks), "item_id", "left")
 
 
 def audit_features(trades: DataFrame, items: DataFrame, ticks: DataFrame, context: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def audit_features(trades: DataFrame, items: DataFrame, ticks: DataFrame, contex
                    F.col("snipe_threshold_cents")).alias("live_floor_cents"),
         F.coalesce("real_time_skinport_median_cents", F.lit(0)).alias("recent_sale_cents"),
     )
-    rows = lookup(trades_with_wear(trades, items, ticks), prices, "market_hash_name", derived=True)
+    rows = trades_with_wear(trades, items, ticks).join(prices, "market_hash_name", "left")
     quality = float_quality(F.col("float_value"))
     paid, floor = F.col("purchase_price_cents"), F.col("live_floor_cents")
     return rows.withColumn("_q", quality).select(

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -131,10 +130,13 @@ VIEWS = {
     "fx_raw_history": """
         SELECT p.file_name, p.base_name AS name,
                CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'garbage'
+                    WHEN l_quantity = 33 AND l_tax = 0.07 AND l_discount = 0.03 THEN '1700000000000'
                     ELSE CAST(@second(l_shipdate) AS STRING) END AS stamp,
                CASE WHEN l_quantity = 50 AND l_tax = 0.08 AND l_discount = 0.1 THEN 'broken'
+                    WHEN l_quantity = 41 AND l_tax = 0.02 AND l_discount = 0.05 THEN '1e30'
                     ELSE CAST(l_extendedprice / l_quantity AS STRING) END AS price,
                CASE WHEN l_quantity = 1 AND l_tax = 0.0 AND l_linenumber = 1 THEN ''
+                    WHEN l_quantity = 37 AND l_tax = 0.04 AND l_discount = 0.06 THEN '1e30'
                     ELSE CAST(l_quantity AS STRING) END AS quantity,
                l_orderkey, l_linenumber
         FROM #lineitem JOIN fx_parts AS p ON p.part_id = l_partkey""",
@@ -182,9 +184,12 @@ def _register_tables(spark: SparkSession, sf_dir: str) -> str:
     """Temporary views of the driver tables; their files are listed once per session."""
     prefix = f"t{zlib.crc32(sf_dir.encode()):08x}_"
     known = {t.name for t in spark.catalog.listTables(pattern=f"{prefix}*")}
-    for path in sorted(Path(sf_dir).glob("*.parquet")):
-        if prefix + path.stem not in known:
-            spark.read.parquet(str(path)).createOrReplaceTempView(prefix + path.stem)
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir, "*.parquet")
+    store = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for path in (status.getPath() for status in store.globStatus(pattern)):
+        table = path.getName().removesuffix(".parquet")
+        if prefix + table not in known:
+            spark.read.parquet(path.toString()).createOrReplaceTempView(prefix + table)
     return prefix
 
 

@@ -21,7 +21,8 @@ CHUNKS = f"""
       numbered AS (
         SELECT *, row_number() OVER (PARTITION BY marketplace_source ORDER BY timestamp, id) AS rn FROM fx_named_ticks),
       chunks AS (
-        SELECT md5(marketplace_source || ':' || (rn - 1) // {CHUNK}) AS h, marketplace_source AS source,
+        SELECT md5(concat_ws(':', marketplace_source, arg_min(timestamp, rn), arg_min(id, rn), arg_max(timestamp, rn),
+                             arg_max(id, rn), count(*))) AS h, marketplace_source AS source,
                (rn - 1) // {CHUNK} AS chunk,
                list({{'market_hash_name': market_hash_name, 'price_cents': price_cents, 'timestamp': timestamp}}
                     ORDER BY rn) AS ticks
@@ -50,6 +51,36 @@ def chunk_batches(v: Views) -> DataFrame:
     )
 
 
+def _runs(part: str, condition: str) -> str:
+    chosen = CHUNKS.replace("FROM fx_named_ticks)", f"FROM fx_named_ticks WHERE {condition})")
+    return f"SELECT '{part}' AS run, * FROM (WITH {chosen} SELECT * FROM based)"
+
+
+@query("chunk_batches_two_runs", f"""
+    WITH runs AS (
+      {_runs("first", "id % 2 = 0")} UNION ALL {_runs("second", "id % 2 = 1")} UNION ALL {_runs("again", "id % 2 = 0")})
+    SELECT run, batch_id, CAST(len(ticks) AS BIGINT) AS record_count,
+           CASE WHEN list_bool_or(list_transform(ticks, lambda t: t.price_cents <= 0)) THEN 'REJECTED'
+                WHEN run = 'again' THEN 'DUPLICATE' ELSE 'SUCCESS' END AS status
+    FROM runs""")
+def chunk_batches_two_runs(v: Views) -> DataFrame:
+    """Two runs over different ticks meet one ledger, and the first one runs again."""
+    ticks = v.named_ticks.withColumn("source", F.col("marketplace_source"))
+    first, second = (
+        stored(I.chunk_batches(ticks.filter(F.col("id") % 2 == part), CHUNK).withColumn("pos", F.monotonically_increasing_id()))
+        for part in (0, 1)
+    )
+    ledger = I.ingest_tick_batches(first, v.items, v.spark.createDataFrame([], schemas.INGESTION_BATCHES), F.expr(NOW)).ledger
+    known = stored(ledger)
+    runs = {"first": I.classify_batches(first, known.limit(0)), "second": I.classify_batches(second, known),
+            "again": I.classify_batches(first, known)}
+    out = None
+    for run, found in runs.items():
+        rows = found.select(F.lit(run).alias("run"), "batch_id", F.size("ticks").cast("bigint").alias("record_count"), "status")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # Arrivals: every chunk, then a copy of chunk 0, a changed chunk 1, an empty batch, chunk 0 without an
 # id, chunk 1 under its id in capitals, and a batch with a blank source. Chunk 2 is already in the
 # ledger; so is chunk 3, with other content.

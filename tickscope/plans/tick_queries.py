@@ -219,7 +219,23 @@ def detect_anomalies(v: Views) -> DataFrame:
     FROM decisions AS d JOIN fx_items AS i ON i.market_hash_name = d.market_hash_name WHERE approved""")
 def append_trades(v: Views) -> DataFrame:
     # z is stored to 4 decimals, where the two engines treat exact ties differently
-    return ntz(A.append_trades(decisions(v), v.items).drop("trigger_z_score"), "simulated_buy_timestamp")
+    return ntz(A.append_trades(decisions(v), v.items).trades.drop("trigger_z_score"), "simulated_buy_timestamp")
+
+
+@query("append_trades_new_items", f"""
+    WITH RECURSIVE {DECIDE},
+    known AS (SELECT * FROM fx_items WHERE id % 3 <> 0),
+    fresh AS (
+      SELECT (SELECT max(id) FROM known) + row_number() OVER (ORDER BY name) AS id, name AS market_hash_name
+      FROM (SELECT DISTINCT market_hash_name AS name FROM decisions WHERE approved)
+      WHERE name NOT IN (SELECT market_hash_name FROM known)),
+    everyone AS (SELECT id, market_hash_name FROM known UNION ALL SELECT * FROM fresh)
+    SELECT CAST(d.id AS VARCHAR) AS id, i.id AS item_id, price_cents AS purchase_price_cents, estimated_profit_cents
+    FROM decisions AS d JOIN everyone AS i ON i.market_hash_name = d.market_hash_name WHERE approved""")
+def append_trades_new_items(v: Views) -> DataFrame:
+    """A third of the items is unknown before the trades name them."""
+    log = A.append_trades(decisions(v), v.items.filter("id % 3 <> 0"))
+    return log.trades.select("id", "item_id", "purchase_price_cents", "estimated_profit_cents")
 
 
 @query("latest_tick", """

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup table is broadcast only when it has at most this many rows.
+# A lookup table is broadcast only when it has at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -30,6 +33,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(configured)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``stored`` writes inside the block when it ends.
+
+    For work that has written its results by then, such as a micro-batch. A query that returns a lazy DataFrame
+    still reads its tables; those stay with the checkpoint folder of the application.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, _scratch.pop()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -45,15 +66,25 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; stops counting just beyond."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has no more than ``rows`` rows and about ``size`` bytes.
 
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row-count check; larger tables are left to a shuffle join."""
-    return F.broadcast(df) if at_most(df, rows) else df
+    One aggregate with a partial row per task. Texts and nested values count with their length as text, other
+    values with 8 bytes.
+    """
+    def width(name: str, kind: str):
+        if kind == "string":
+            return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        if kind.startswith(("array", "map", "struct")):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+        return F.lit(8)
+
+    bytes_of = sum((width(*c) for c in df.dtypes), F.lit(0).cast("bigint"))
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(bytes_of), F.lit(0)).alias("b")).first()
+    return found.n <= rows and found.b <= size

@@ -20,6 +20,10 @@ MISSING = [
 ]
 
 
+# Timestamps beyond what nanoseconds in 64 bits can hold (the years 1677 to 2262) spoil a file.
+LAST_SECOND = 9_223_372_036.0
+
+
 class HistoryLoad(NamedTuple):
     accepted: DataFrame
     rejected_files: DataFrame
@@ -81,15 +85,18 @@ def _number(name: str) -> Column:
 
 
 def clean_history(raw: DataFrame) -> DataFrame:
-    """Rows with a numeric timestamp, typed: sale date, cents (ties to even), whole quantity."""
+    """Rows with a numeric timestamp within range, typed: sale date, cents (ties to even), whole quantity.
+
+    A price or quantity beyond the integers is null here; ``file_checks`` rejects its file.
+    """
     seconds = _number("unix timestamp")
     rows = raw.filter(~F.col("is_header")) if "is_header" in raw.columns else raw
     kept = [c for c in raw.columns if c not in (*schemas.HISTORY_COLUMNS, "is_header")]
-    return rows.filter(seconds.isNotNull()).select(
+    return rows.filter(F.abs(seconds) <= LAST_SECOND).select(
         *kept,
         F.timestamp_seconds(seconds).alias("sale_date"),
         to_cents(_number("price")).alias("median_price_cents"),
-        _number("quantity").cast("bigint").alias("volume_sold"),
+        _number("quantity").try_cast("bigint").alias("volume_sold"),
     )
 
 
@@ -97,7 +104,8 @@ def file_checks(raw: DataFrame) -> DataFrame:
     """Per file: header found, rows, usable rows, and whether its content must be rejected.
 
     A price that is text anywhere spoils the file. On usable rows a missing price, a missing
-    quantity, or, once the quantity column holds text, a quantity that is not an integer does too.
+    quantity, a number or timestamp out of range, or, once the quantity column holds text, a quantity that is
+    not an integer does too.
     """
     row = ~F.col("is_header")
     quantity = F.col("quantity")
@@ -108,6 +116,11 @@ def file_checks(raw: DataFrame) -> DataFrame:
         _missing("quantity").alias("no_quantity"),
         (_number("quantity").isNull() & ~_missing("quantity")).alias("text_quantity"),
         (quantity.contains(".") | quantity.try_cast("bigint").isNull()).alias("odd_quantity"),
+        (
+            (F.abs(_number("unix timestamp")) > LAST_SECOND)
+            | (_number("price").isNotNull() & to_cents(_number("price")).isNull())
+            | (_number("quantity").isNotNull() & _number("quantity").try_cast("bigint").isNull())
+        ).alias("too_large"),
     )
 
     def anywhere(condition: str) -> Column:
@@ -122,8 +135,9 @@ def file_checks(raw: DataFrame) -> DataFrame:
         anywhere("usable AND no_quantity").alias("_no_quantity"),
         anywhere("row AND text_quantity").alias("_text_quantity"),
         anywhere("usable AND coalesce(odd_quantity, true)").alias("_odd_quantity"),
+        anywhere("usable AND coalesce(too_large, false)").alias("_too_large"),
     )
-    bad_values = F.col("_text_price") | F.col("_no_price") | F.col("_no_quantity") | (
+    bad_values = F.col("_text_price") | F.col("_no_price") | F.col("_no_quantity") | F.col("_too_large") | (
         F.col("_text_quantity") & F.col("_odd_quantity")
     )
     # values only matter once there are usable rows
@@ -133,9 +147,9 @@ def file_checks(raw: DataFrame) -> DataFrame:
 
 def load_history(raw: DataFrame) -> HistoryLoad:
     """Rows of good files and the rejected files; one bad value rejects its whole file."""
+    # one row per bad file, found in a pass of its own: whole files stand or fall
     rejected = stored(file_checks(raw).filter("rejected").select("file_name"))
-    marked = lookup(raw, rejected.withColumn("_bad", F.lit(True)), "file_name")
-    accepted = clean_history(marked.filter(F.col("_bad").isNull()).drop("_bad"))
+    accepted = clean_history(raw.join(rejected, "file_name", "left_anti"))
     return HistoryLoad(accepted, rejected)
 
 

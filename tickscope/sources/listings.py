@@ -17,8 +17,8 @@ def _no_stickers() -> Column:
 
 
 def snapshot_ticks(entries: DataFrame, now: Column) -> DataFrame:
-    """Entries (name, USD ``min_price``, version) that carry a price, as ticks."""
-    return entries.filter(F.col("min_price").isNotNull()).select(
+    """Entries (name, USD ``min_price``, version) that carry a price within range, as ticks."""
+    return entries.filter(to_cents(F.col("min_price")).isNotNull()).select(
         versioned_name(F.col("market_hash_name"), F.col("version")).alias("market_hash_name"),
         F.col("min_price").cast("double").alias("price_usd"),
         to_cents(F.col("min_price")).alias("price_cents"),
@@ -37,15 +37,15 @@ def read_listing_snapshot(spark: SparkSession, path: str, now: Column) -> DataFr
 def listing_ticks(messages: DataFrame, now: Column, raw_feed: bool = True) -> DataFrame:
     """Ticks from a ``value`` column of JSON listing messages (batch or stream).
 
-    Sales without a name or price are dropped and malformed messages skipped. Prices are cents.
+    Sales without a name or a price within range are dropped and malformed messages skipped. Prices are cents.
     ``raw_feed`` keeps only messages of the listed event; relayed messages carry no event type.
     """
     parsed = messages.select(F.from_json("value", schemas.LISTING_MESSAGE).alias("m"))
     if raw_feed:
         parsed = parsed.filter(F.col("m.eventType") == LISTED)
     sales = parsed.select(F.explode("m.sales").alias("s"))
-    usable = sales.filter((F.col("s.marketHashName") != "") & F.col("s.salePrice").isNotNull())
     price = F.col("s.salePrice") / F.lit(100.0)
+    usable = sales.filter((F.col("s.marketHashName") != "") & to_cents(price).isNotNull())
     return usable.select(
         versioned_name(F.col("s.marketHashName"), F.col("s.version")).alias("market_hash_name"),
         price.alias("price_usd"),

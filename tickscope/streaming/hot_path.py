@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tickscope import schemas
 from tickscope.functions.scoring import DEFAULTS, Tuning
 from tickscope.operators.anomaly import append_trades, judge, with_baseline, with_score
+from tickscope.session import scratch_tables
+from tickscope.sources.tables import epochs_before
 from tickscope.streaming.processor import OUTPUT, TickProcessor
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -48,7 +50,8 @@ def start_hot_path(
     tuning: Tuning = DEFAULTS,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Run the hot path into ``out``/ticks, /decisions and /trades.
+    """Run the hot path into ``out``/ticks, /decisions, /trades and /items (all items after a micro-batch
+    whose trades named new ones).
 
     ``lookups`` returns (items, published baselines, sticker prices) and is called for every
     micro-batch, so a refreshed table is used from the next one on. Every output folder is
@@ -59,12 +62,18 @@ def start_hot_path(
 
     def process(flagged: DataFrame, epoch: int) -> None:
         items, baselines, stickers = lookups()
+        spark = flagged.sparkSession
+        for known in epochs_before(spark, f"{out}/items", epoch)[-1:]:
+            named = spark.read.schema(schemas.MARKET_ITEMS).parquet(f"{out}/items/epoch={known}")
+            items = named.unionByName(items.join(named, "market_hash_name", "left_anti").select(*named.columns))
         # stored first, then read back: the stateful operator must run once per micro-batch
         write(flagged, "ticks", epoch)
-        stored = flagged.sparkSession.read.schema(OUTPUT).parquet(f"{out}/ticks/epoch={epoch}")
-        write(decide(stored, baselines, stickers, tuning), "decisions", epoch)
-        decided = flagged.sparkSession.read.parquet(f"{out}/decisions/epoch={epoch}")
-        write(append_trades(decided, items), "trades", epoch)
+        with scratch_tables(spark):
+            stored = spark.read.schema(OUTPUT).parquet(f"{out}/ticks/epoch={epoch}")
+            write(decide(stored, baselines, stickers, tuning), "decisions", epoch)
+            log = append_trades(spark.read.parquet(f"{out}/decisions/epoch={epoch}"), items)
+            write(log.trades, "trades", epoch)
+            write(log.items, "items", epoch)
 
     writer = windowed_ticks(ticks, tuning).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

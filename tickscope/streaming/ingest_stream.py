@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickscope import schemas
-from tickscope.operators.ingest import in_record_order, ingest_tick_batches, split_malformed
+from tickscope.operators.ingest import canonical_uuid, in_record_order, ingest_tick_batches, split_malformed
+from tickscope.session import scratch_tables
 from tickscope.sources.tables import epochs_before
 
 ENVELOPE = (
     f"source_stream STRING, record_id STRING, payload STRING, batch_id STRING, source STRING, "
-    f"ticks {schemas.BATCH_TICKS}, pos BIGINT"
+    f"ticks {schemas.BATCH_TICKS}, pos STRUCT<ms: BIGINT, seq: BIGINT, record_id: STRING>"
 )
 
 
-def _read(spark: SparkSession, root: str, name: str, epochs: list[int], ddl: str) -> DataFrame:
+def _read(spark: SparkSession, root: str, name: str, epochs: list[int], ddl: str, partitioned: bool = False) -> DataFrame:
     paths = [f"{root}/{name}/epoch={e}" for e in epochs]
-    return spark.read.schema(ddl).parquet(*paths) if paths else spark.createDataFrame([], ddl)
+    if not paths:
+        return spark.createDataFrame([], ddl)
+    if partitioned:  # the folders of an epoch are partitions, whose values come from the paths
+        return spark.read.schema(f"{ddl}, epoch BIGINT").option("basePath", f"{root}/{name}").parquet(*paths).drop("epoch")
+    return spark.read.schema(ddl).parquet(*paths)
+
+
+def _ledger_part(batch_id: str):
+    """The first two digits of the canonical id: 256 parts, at most."""
+    return F.substring(canonical_uuid(F.col(batch_id)), 1, 2).alias("part")
 
 
 def ingest_epoch(records: DataFrame, epoch: int, root: str, first_items: DataFrame) -> None:
@@ -30,21 +40,25 @@ def ingest_epoch(records: DataFrame, epoch: int, root: str, first_items: DataFra
     """
     spark = records.sparkSession
     known = epochs_before(spark, f"{root}/ledger", epoch)
-    ledger = _read(spark, root, "ledger", known, schemas.INGESTION_BATCHES)
+    ledger = _read(spark, root, "ledger", known, f"{schemas.INGESTION_BATCHES}, part STRING", partitioned=True)
     items = _read(spark, root, "items", known[-1:], schemas.MARKET_ITEMS) if known else first_items
 
     def write(df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
 
-    split = split_malformed(records)
-    write(split.quarantine, "quarantine")
-    write(in_record_order(split.valid), "batches")
-    batches = spark.read.schema(ENVELOPE).parquet(f"{root}/batches/epoch={epoch}")
-    result = ingest_tick_batches(batches, items, ledger, F.current_timestamp())
-    write(result.items, "items")
-    write(result.ticks, "ticks")
-    write(result.statuses, "statuses")
-    write(result.ledger, "ledger")
+    with scratch_tables(spark):
+        split = split_malformed(records)
+        write(split.quarantine, "quarantine")
+        write(in_record_order(split.valid), "batches")
+        batches = spark.read.schema(ENVELOPE).parquet(f"{root}/batches/epoch={epoch}")
+        # only the parts of the ledger that can know these batches are read
+        parts = [r.part for r in batches.select(_ledger_part("batch_id")).distinct().collect()]
+        result = ingest_tick_batches(batches, items, ledger.filter(F.col("part").isin(parts)).drop("part"), F.current_timestamp())
+        write(result.items, "items")
+        write(result.ticks, "ticks")
+        write(result.statuses, "statuses")
+        result.ledger.withColumn("part", _ledger_part("batch_id")).write.mode("overwrite").partitionBy("part").parquet(
+            f"{root}/ledger/epoch={epoch}")
 
 
 def start_ingest(

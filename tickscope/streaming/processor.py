@@ -39,8 +39,10 @@ class TickProcessor(StatefulProcessor):
         if self._window.exists():
             seconds, prices = self._window.get()
             members = [(s, f"{s}:{p}", p) for s, p in zip(seconds, prices)]
-        for frame in rows:
-            frame = frame.sort_values(["timestamp", "id"], kind="stable")
+        # All frames of the key are ordered together: where Arrow cuts them must not matter. What is held is one
+        # item's share of a micro-batch, which the source's rate limit bounds.
+        frames = list(rows)
+        for frame in [pd.concat(frames).sort_values(["timestamp", "id"], kind="stable")] if frames else []:
             state = []
             for price, second in zip(frame["price_cents"].tolist(), frame["timestamp"].tolist()):
                 if price == last_price and second - last_second < self.tuning.dedup_window_s:
