@@ -19,7 +19,7 @@ ROWS = 5  # MinHash values of a band: 32 bands miss a pair of similarity 0.8 wit
 BANDS = N_HASHES // ROWS
 STEP = 32  # MinHash values compared before the posterior is looked at again
 TOLERANCE = 1e-7  # a pair is dropped when it reaches the threshold with less probability
-BUCKET = 2048  # classes of a bucket that are compared in one cell; larger buckets become several cells
+BUCKET = 1024  # classes of a bucket that are compared in one cell; larger buckets become several cells
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # the same for verification, where whole texts meet
 
 

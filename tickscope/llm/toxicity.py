@@ -158,7 +158,7 @@ def held_out(doc_id) -> "F.Column":
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct (word or stem, word before it) of each sampled text."""
     for batch in batches:
-        found = set()
+        found: set[tuple] = set()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             before = ""
             for word in TOKEN.findall((text or "").lower()):
@@ -167,11 +167,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.add((word, before, toxic))
                 found.update((f"{word[:n]}-", before, toxic) for n in STEMS if len(word) > n)
                 before = word
-        rows = list(found)
-        for s in range(0, len(rows), 50_000):
-            part = rows[s:s + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.string()),
-                                              pa.array([r[2] for r in part], pa.int32())], ["form", "before", "toxic"])
+            if len(found) > 100_000:
+                yield _context_rows(found)
+                found = set()
+        yield _context_rows(found)
+
+
+def _context_rows(found: set[tuple]) -> pa.RecordBatch:
+    forms, before, toxic = zip(*found) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(before, pa.string()), pa.array(toxic, pa.int32())],
+                                      ["form", "before", "toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
