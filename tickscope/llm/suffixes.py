@@ -9,7 +9,7 @@ chunks with what other chunks have told about them. Four rounds of names, each o
    content. A sampled k-gram that occurs once rules out every string around it;
 3. strings: those whose samples all occur again are named by a 64-bit hash of their bytes. Of equal
    ones in a chunk only the first is sent on, so a string in a third of all documents costs one name per chunk;
-4. names whose first chunk is another one go back, and each chunk cuts its texts.
+4. a bit per name tells its chunk whether it starts earlier elsewhere, and each chunk cuts its texts.
 
 Suffixes are not sorted over the whole corpus: see the README for the sizes.
 """
@@ -190,42 +190,58 @@ def _blobs(chunk: int, hashes: np.ndarray, ids: np.ndarray | None, buckets: int)
         yield pa.RecordBatch.from_arrays(
             [pa.array([b for b, _ in parts[s:s + 4096]], pa.int64()), pa.array([chunk] * len(parts[s:s + 4096]), pa.int64()),
              pa.array([hashes[p].tobytes() for _, p in parts[s:s + 4096]], pa.binary()),
-             pa.array([b"" if ids is None else ids[p].tobytes() for _, p in parts[s:s + 4096]], pa.binary())], schema=NAME_FIELDS)
+             pa.array([b"" if ids is None else _packed(ids[p]) for _, p in parts[s:s + 4096]], pa.binary())], schema=NAME_FIELDS)
 
 
-def _bucket(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of a bucket, their chunks and their ids (if sent), in the order of the chunks."""
-    cell = cell.sort_by("chunk")
-    each = [np.frombuffer(b, np.uint64) for b in cell.column("hashes").to_pylist()]
-    ids = np.frombuffer(b"".join(cell.column("ids").to_pylist()), np.int64)
-    return np.concatenate(each), np.repeat(cell.column("chunk").to_numpy(), [len(e) for e in each]), ids
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids as compressed differences; names come in the order of their texts, so most are 0 or small."""
+    return pa.compress(np.diff(ids, prepend=np.int64(0)).tobytes(), codec="zstd", asbytes=True)
 
 
-def _back(hashes: np.ndarray, chunks: np.ndarray, told: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The told hashes, to each chunk its own (chunks ascend)."""
-    hashes, chunks = hashes[told], chunks[told]
-    if len(hashes):
-        parts = np.split(hashes, np.flatnonzero(np.diff(chunks)) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(chunks)), pa.array([p.tobytes() for p in parts], pa.binary())],
-                                         ["chunk", "told"])
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64))
+
+
+ANSWER = "chunk bigint, bucket bigint, told binary"
+
+
+def _answer(cell: pa.Table, sizes: list[int], told: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One bit per name, in the order in which its chunk sent it; blobs without a set bit need no answer."""
+    bits = np.split(told, np.cumsum(sizes)[:-1])
+    some = [k for k, b in enumerate(bits) if b.any()]
+    if some:
+        rows = cell.take(pa.array(some))
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("chunk").combine_chunks(), rows.column("bucket").combine_chunks(),
+             pa.array([np.packbits(bits[k]).tobytes() for k in some], pa.binary())], ["chunk", "bucket", "told"])
+
+
+def _told_of(hashes: np.ndarray, buckets: int, answers: list[dict] | None) -> np.ndarray:
+    """The hashes whose bit is set, from the answers to ``_blobs`` of the same hashes."""
+    parts = dict(_split(hashes, buckets)) if answers else {}
+    told = [p[np.unpackbits(np.frombuffer(a["told"], np.uint8), count=len(p)).astype(bool)]
+            for a in answers or () for p in [parts[a["bucket"]]]]
+    return hashes[np.concatenate(told)] if told else hashes[:0]
 
 
 def _again():
     def work(cell: pa.Table):
-        hashes, chunks, _ = _bucket(cell)
-        values, codes, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        yield from _back(hashes, chunks, counts[codes] > 1)
+        each = [np.frombuffer(b, np.uint64) for b in cell.column("hashes").to_pylist()]
+        _, codes, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        yield from _answer(cell, [len(e) for e in each], counts[codes] > 1)
 
     return work
 
 
 def _later():
     def work(cell: pa.Table):
-        hashes, chunks, ids = _bucket(cell)
-        order = np.lexsort((chunks, ids, hashes))
+        each = [np.frombuffer(b, np.uint64) for b in cell.column("hashes").to_pylist()]
+        sizes, hashes = [len(e) for e in each], np.concatenate(each)
+        ids = np.concatenate([_unpacked(b, n) for b, n in zip(cell.column("ids").to_pylist(), sizes)])
+        order = np.lexsort((np.repeat(cell.column("chunk").to_numpy(), sizes), ids, hashes))
         later = np.zeros(len(hashes), bool)
         later[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
-        yield from _back(hashes, chunks, later)
+        yield from _answer(cell, sizes, later)
 
     return work
 
@@ -262,27 +278,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, fo
 
     def sampled(batches):
         for row in (r for b in batches for r in b.to_pylist()):
-            hashes, counts = np.unique(_load(row, folder, length).samples()[1], return_counts=True)
-            yield from _blobs(row["chunk"], np.concatenate([hashes, hashes[counts > 1]]), None, buckets)
+            yield from _blobs(row["chunk"], _sampled(_load(row, folder, length)), None, buckets)
 
     slim = info.select("chunk", "path", "sizes", "copies")
-    repeated = _told(map_cells(spread(slim).mapInArrow(sampled, NAMES), "bucket", _again, "chunk bigint, told binary"))
+    repeated = _told(map_cells(spread(slim).mapInArrow(sampled, NAMES), "bucket", _again, ANSWER))
 
     def named(batches):
         for row in (r for b in batches for r in b.to_pylist()):
             loaded = _load(row, folder, length)
-            starts, names = loaded.candidates(_of(row["told"]))
-            names, first = np.unique(names, return_index=True)
+            starts, names = loaded.candidates(_told_of(_sampled(loaded), buckets, row["told"]))
+            names, first, _ = _distinct(names)
             ids = np.array([LAST if i is None else i for i in row["ids"]], np.int64)
             owner = np.searchsorted(loaded.ends, starts[first], side="right")
             yield from _blobs(row["chunk"], names, ids[owner], buckets)
 
     told = stored(info.select("chunk", "path", "sizes", "copies", "ids").join(repeated, "chunk", "left"))
-    later = _told(map_cells(spread(told).mapInArrow(named, NAMES), "bucket", _later, "chunk bigint, told binary"))
+    later = _told(map_cells(spread(told).mapInArrow(named, NAMES), "bucket", _later, ANSWER))
 
     def cut(batches):
         for row in (r for b in batches for r in b.to_pylist()):
-            yield from _cut(row, _load(row, folder, length), length)
+            yield from _cut(row, _load(row, folder, length), length, buckets)
 
     whole = told.join(later.withColumnRenamed("told", "later"), "chunk", "left")
     return spread(whole).mapInArrow(
@@ -290,12 +305,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, fo
 
 
 def _told(blobs: DataFrame) -> DataFrame:
-    """What other chunks told a chunk: no more hashes than it has bytes."""
-    return blobs.groupBy("chunk").agg(F.collect_list("told").alias("told"))
+    """All answers to a chunk: no more bits than it has bytes."""
+    return blobs.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told")).alias("told"))
 
 
-def _of(blobs: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs or []), np.uint64)
+def _sampled(chunk: Chunk) -> np.ndarray:
+    """Distinct sampled hashes, those that occur again in the chunk twice."""
+    hashes, counts = np.unique(chunk.samples()[1], return_counts=True)
+    return np.concatenate([hashes, hashes[counts > 1]])
 
 
 def _copies(manifest: DataFrame, length: int) -> DataFrame:
@@ -307,10 +324,19 @@ def _copies(manifest: DataFrame, length: int) -> DataFrame:
     return texts.join(first, "digest").where("rank > first").groupBy("chunk").agg(F.collect_list("number").alias("copies"))
 
 
-def _cut(row: dict, chunk: Chunk, length: int) -> Iterator[pa.RecordBatch]:
-    starts, names = chunk.candidates(_of(row["told"]))
-    _, first, codes = np.unique(names, return_index=True, return_inverse=True)
-    gone = np.isin(names, _of(row["later"])) | (first[codes] != np.arange(len(names)))
+def _distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names in the order of their first places, these places, and whether each name is at its first."""
+    _, first = np.unique(names, return_index=True)
+    first.sort()
+    here = np.zeros(len(names), bool)
+    here[first] = True
+    return names[first], first, here
+
+
+def _cut(row: dict, chunk: Chunk, length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    starts, names = chunk.candidates(_told_of(_sampled(chunk), buckets, row["told"]))
+    distinct, _, first_here = _distinct(names)
+    gone = np.isin(names, _told_of(distinct, buckets, row["later"])) | ~first_here
     edges = np.zeros(len(chunk.data) + 1, np.int32)
     np.add.at(edges, starts[gone], 1)
     np.add.at(edges, starts[gone] + length, -1)
