@@ -13,6 +13,7 @@ from tickscope.operators import baselines as B
 from tickscope.operators import context as C
 from tickscope.operators import dedup as D
 from tickscope.operators.joins import lookup
+from tickscope.plans import catalog
 from tickscope.session import at_most, stored
 
 DATA = "/root/testdata/sf0.001"
@@ -108,8 +109,9 @@ def test_sql_functions_are_inlined(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
-    assert len(entry_points.queries()) > 70
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert len(catalog.QUERIES) > 70
+    assert set(catalog.QUERIES) <= set(entry_points.queries()) and set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables are not here")

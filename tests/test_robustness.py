@@ -62,6 +62,16 @@ def test_numbers_out_of_range_spoil_their_file_only(spark, cells, kept):
     assert {r.file_name for r in load.rejected_files.collect()} == ({"a.csv"} if kept is False else set())
 
 
+def test_columns_are_addressed_by_name(spark, tmp_path):
+    (tmp_path / "usual.csv").write_text("name,unix timestamp,price,quantity\na,1700000000,1.5,2\n")
+    (tmp_path / "moved.csv").write_text("extra,quantity,price,name,unix timestamp\nx,3,2.5,b,1700000060\n")
+    (tmp_path / "lacking.csv").write_text("name,price,quantity\nc,1.0,1\n")
+    load = H.load_history(H.read_history_csv(spark, str(tmp_path)))
+    rows = {r.file_name: (r.median_price_cents, r.volume_sold) for r in load.accepted.collect()}
+    assert rows == {"usual.csv": (150, 2), "moved.csv": (250, 3)}
+    assert [r.file_name for r in load.rejected_files.collect()] == ["lacking.csv"]
+
+
 def test_ticks_out_of_range_are_set_aside(spark):
     raw = spark.createDataFrame([("a", 1e30, 1), ("b", 2.5, 1)], "market_hash_name STRING, price_usd DOUBLE, timestamp BIGINT")
     split = I.validate_ticks(raw, F.lit(5))

@@ -23,9 +23,8 @@ def scratch(v: Views) -> str:
     return f"{v.spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
 
 
-@query("hot_path", f"WITH RECURSIVE {DECIDE} SELECT {DECISION_COLUMNS} FROM decisions")
-def hot_path(v: Views) -> DataFrame:
-    """Live ticks as a stream; the decisions equal those of the batch job."""
+def live_stream(v: Views, deliver: bool = False) -> str:
+    """Runs the hot path over the live ticks to the end; returns the folder of its outputs."""
     events = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.sf_dir}/events*.parquet")
     k = F.get_json_object("props", "$.k").cast("bigint")
     names = F.when(k % 10 == 0, F.array(k, F.floor(k / 2))).when(k % 5 == 0, F.array(k)).otherwise(F.array())
@@ -41,10 +40,27 @@ def hot_path(v: Views) -> DataFrame:
     baselines = published(v)
     root = scratch(v)
     running = start_hot_path(
-        named, lambda: (v.items, baselines, v.sticker_prices), f"{root}/out", f"{root}/checkpoint", available_now=True
+        named, lambda: (v.items, baselines, v.sticker_prices), f"{root}/out", f"{root}/checkpoint", available_now=True,
+        deliver=("live", f"{root}/ingest") if deliver else None,
     )
     running.awaitTermination()
-    return v.spark.read.parquet(f"{root}/out/decisions").select(*DECISION_COLUMNS.split(", "))
+    return root
+
+
+@query("hot_path", f"WITH RECURSIVE {DECIDE} SELECT {DECISION_COLUMNS} FROM decisions")
+def hot_path(v: Views) -> DataFrame:
+    """Live ticks as a stream; the decisions equal those of the batch job."""
+    return v.spark.read.parquet(f"{live_stream(v)}/out/decisions").select(*DECISION_COLUMNS.split(", "))
+
+
+@query("hot_path_ingest", f"""
+    WITH RECURSIVE {DECIDE}
+    SELECT i.id AS item_id, a.price_cents, 'live' AS marketplace_source, make_timestamp(a.timestamp * 1000000) AS inserted_at
+    FROM accepted AS a JOIN fx_items AS i ON i.market_hash_name = a.market_hash_name""")
+def hot_path_ingest(v: Views) -> DataFrame:
+    """What the hot path accepts is chunked and ingested."""
+    ticks = v.spark.read.parquet(f"{live_stream(v, deliver=True)}/ingest/ticks")
+    return ntz(ticks.select("item_id", "price_cents", "marketplace_source", "inserted_at"), "inserted_at")
 
 
 @query("ingest_stream", f"""

@@ -24,6 +24,10 @@ MISSING = [
 LAST_SECOND = 9_223_372_036.0
 
 
+# Columns of a file that are read.
+MOST_COLUMNS = 16
+
+
 class HistoryLoad(NamedTuple):
     accepted: DataFrame
     rejected_files: DataFrame
@@ -38,17 +42,31 @@ def with_identity(files: DataFrame) -> DataFrame:
 def read_history_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of all files in one scan, as text, with the item identity.
 
-    The header is read as a row and marked in ``is_header``: files whose header is not the
-    expected one can then be told apart without a second pass.
+    The header is read as a row and marked in ``is_header``: files without the four names in it
+    can then be told apart without a second pass. Columns are addressed by these names: files with another order
+    or further columns (up to ``MOST_COLUMNS``) are told from their headers, and only their places are joined.
     """
+    cells = [f"c{k}" for k in range(MOST_COLUMNS)]
     raw = (
-        spark.read.schema(schemas.HISTORY_CSV)
+        spark.read.schema(", ".join(f"{c} STRING" for c in cells))
         .option("header", False)
         .option("pathGlobFilter", "*.csv")
         .csv(folder)
-        .select("*", F.expr("url_decode(replace(_metadata.file_name, '+', '%2B'))").alias("file_name"))
+        .select(F.array(*cells).alias("_cells"), F.expr("url_decode(replace(_metadata.file_name, '+', '%2B'))").alias("file_name"))
     )
-    return with_identity(mark_headers(raw))
+    titles = F.transform("_cells", F.trim)
+    places = [F.array_position(titles, c).cast("int") for c in schemas.HISTORY_COLUMNS]
+    usual = range(1, len(places) + 1)
+    # one row per file with an unusual header
+    odd = raw.select("file_name", F.array(*places).alias("_places")).filter(
+        ~F.exists("_places", lambda p: p == 0) & (F.col("_places") != F.array(*map(F.lit, usual)))
+    ).groupBy("file_name").agg(F.min("_places").alias("_places"))
+    placed = raw.join(odd, "file_name", "left")
+    named = [
+        F.get("_cells", F.coalesce(F.get("_places", F.lit(k)), F.lit(k + 1)) - 1).alias(c)
+        for k, c in enumerate(schemas.HISTORY_COLUMNS)
+    ]
+    return with_identity(mark_headers(placed.select(*named, "file_name")))
 
 
 def mark_headers(raw: DataFrame) -> DataFrame:

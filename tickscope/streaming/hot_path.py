@@ -11,8 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tickscope import schemas
 from tickscope.functions.scoring import DEFAULTS, Tuning
 from tickscope.operators.anomaly import append_trades, judge, with_baseline, with_score
+from tickscope.operators.ingest import chunk_batches
 from tickscope.session import scratch_tables
 from tickscope.sources.tables import epochs_before
+from tickscope.streaming.ingest_stream import ingest_epoch
 from tickscope.streaming.processor import OUTPUT, TickProcessor
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,10 +51,14 @@ def start_hot_path(
     checkpoint: str,
     tuning: Tuning = DEFAULTS,
     available_now: bool = False,
+    deliver: tuple[str, str] | None = None,
 ) -> StreamingQuery:
     """Run the hot path into ``out``/ticks, /decisions, /trades and /items (all items after a micro-batch
     whose trades named new ones).
 
+    ``deliver`` is (source, root): the accepted ticks of each micro-batch are also chunked under this source and
+    ingested into the tables below ``root``, once each.
+
     ``lookups`` returns (items, published baselines, sticker prices) and is called for every
     micro-batch, so a refreshed table is used from the next one on. Every output folder is
     keyed by the micro-batch and overwritten when it runs again, so a restart repeats nothing.
@@ -74,6 +80,15 @@ def start_hot_path(
             log = append_trades(spark.read.parquet(f"{out}/decisions/epoch={epoch}"), items)
             write(log.trades, "trades", epoch)
             write(log.items, "items", epoch)
+        if deliver is not None:
+            source, root = deliver
+            accepted = spark.read.schema(OUTPUT).parquet(f"{out}/ticks/epoch={epoch}").filter(~F.col("is_duplicate"))
+            batches = chunk_batches(accepted.withColumn("source", F.lit(source)))
+            records = batches.select(
+                F.lit("hot-path").alias("source_stream"), F.concat(F.lit(f"{epoch}-"), F.col("chunk").cast("string")).alias("record_id"),
+                F.to_json(F.struct("batch_id", "source", "ticks")).alias("payload"),
+            )
+            ingest_epoch(records, epoch, root, items)
 
     writer = windowed_ticks(ticks, tuning).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

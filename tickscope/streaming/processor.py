@@ -22,7 +22,7 @@ class TickProcessor(StatefulProcessor):
 
     The window is a set of (second, price), ordered by second and then by the text
     ``second:price``, and keeps its ``window_size`` highest members. A late tick is placed by
-    its own second, so the newest price need not be the arriving one. State is bounded by the
+    its own second, so the newest price need not be the arriving one. State per item is bounded by the
     window size, so no watermark is needed.
     """
 
