@@ -12,7 +12,7 @@ from tickscope.operators.anomaly import append_trades, detect_anomalies
 from tickscope.session import at_most, ensure_checkpoint_dir, scratch_tables, stored
 from tickscope.sources import history as H
 from tickscope.sources import listings as L
-from tickscope.streaming.hot_path import start_hot_path, windowed_ticks
+from tickscope.streaming.hot_path import windowed_ticks
 from tickscope.streaming.ingest_stream import ingest_epoch
 
 TICKS = f"id BIGINT, market_hash_name STRING, price_cents BIGINT, timestamp BIGINT, float_value DOUBLE, stickers {schemas.STICKERS}"
