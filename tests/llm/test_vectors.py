@@ -102,3 +102,22 @@ def test_ties_and_small_tables(spark):
     assert got == [(0, k, k) for k in range(1, 6)] + [(3, 1, 0), (3, 2, 1), (3, 3, 2), (3, 4, 4), (3, 5, 5)]
     assert ann.nearest(frame(spark, []), frame(spark, [])).collect() == []
     assert ann.nearest(frame(spark, rows[:1]), frame(spark, rows[:1])).collect() == []
+
+
+def test_isolated_queries_get_k_rows(spark):
+    """Tight clusters set the probes to one list; isolated queries and shared ids must still get all their rows."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((60, 16))
+    rows = [(1000 + k, (centres[k % 60] + 0.001 * rng.standard_normal(16)).tolist(), 0) for k in range(5880)]
+    rows += [(k, (5 * rng.standard_normal(16)).tolist(), 0) for k in range(120)]
+    rows += [(500, centres[7].tolist(), 0)] * 300
+    base = frame(spark, rows)
+    sample = np.array([r[1] for r in rows])
+    index = ann.fit_index(sample, len(rows), 5, 0.97)
+    sizes = np.bincount((vectors.unit(sample)[0] @ index.centres.T).argmax(axis=1), minlength=len(index.centres))
+    assert index.probes == 1 and (sizes < 6).any()
+    got = {}
+    for r in ann.nearest(base, base.where("vec_id < 120 or vec_id = 500").dropDuplicates(["vec_id"])).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {*range(120), 500}
+    assert all(len(v) == 5 and q not in v for q, v in got.items())

@@ -71,7 +71,7 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.
     a pair that belongs in the answer.
     """
     d, m = q.shape[1], len(x)
-    seed = min(m, SEED)
+    seed = min(m, max(SEED, k + 1))
     known = 2 - 2 * (q @ x[:seed].T)
     place = min(k, seed - 1)
     beat = np.partition(known, place, axis=1)[:, place] if m > seed else np.full(len(q), np.inf, np.float32)
@@ -109,21 +109,31 @@ TILE_FIELDS = pa.schema([("list", pa.string()), ("tile", pa.string()), ("ids", p
                          ("dims", pa.int32()), ("vectors", pa.binary())])
 
 
-def _assign(index: Index | None, probes: int):
-    """Rows with the keys of the lists they go to, the nearest ``probes``; vectors of another length share one list per length."""
+def _assign(index: Index | None, probes: int, sizes: np.ndarray | None, k: int):
+    """Rows with the keys of the lists they go to; vectors of another length share one list per length.
+
+    The lists are the nearest ``probes``. With ``sizes``, the vectors in each list, a row also goes to as many further
+    ones as it takes to cover ``k`` vectors besides those that share its id (``same`` of them).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column("embedding").value_lengths().to_numpy()
-            for dims in np.unique(sizes):
-                rows = batch.filter(pa.array(sizes == dims))
+            same = batch.column("same").to_numpy()
+            batch = batch.select(["id", "embedding"])
+            lengths = batch.column("embedding").value_lengths().to_numpy()
+            for dims in np.unique(lengths):
+                rows = batch.filter(pa.array(lengths == dims))
                 if index is None or dims != index.dims:
                     take, keys = np.arange(rows.num_rows), [f"{dims}:-"] * rows.num_rows
                 else:
                     x, norm = unit(matrix(rows.column("embedding")))
-                    near = np.argsort(-((x / norm[:, None]) @ index.centres.T), axis=1, kind="stable")[:, :probes]
-                    take = np.repeat(np.arange(rows.num_rows), near.shape[1])
-                    keys = [f"{dims}:{c}" for c in near.ravel().tolist()]
+                    near = np.argsort(-((x / norm[:, None]) @ index.centres.T), axis=1, kind="stable")
+                    asked = np.full(rows.num_rows, min(probes, near.shape[1]))
+                    if sizes is not None:
+                        short = np.cumsum(sizes[near], axis=1) < (k + same[lengths == dims])[:, None]
+                        asked = np.maximum(asked, np.minimum(short.sum(axis=1) + 1, near.shape[1]))
+                    take = np.repeat(np.arange(rows.num_rows), asked)
+                    keys = [f"{dims}:{c}" for c in near[np.arange(near.shape[1]) < asked[:, None]].tolist()]
                     for s in range(0, len(take), 8192):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(keys[s:s + 8192], pa.string()), *rows.take(pa.array(take[s:s + 8192])).columns],
@@ -148,10 +158,11 @@ def _pack(kind: str, limit: int):
     return run
 
 
-def _tiles(rows: DataFrame, index: Index | None, probes: int, kind: str, limit: int) -> DataFrame:
+def _tiles(rows: DataFrame, index: Index | None, probes: int, kind: str, limit: int, sizes: np.ndarray | None = None,
+           k: int = 0) -> DataFrame:
     id_type = rows.schema["id"].dataType.simpleString()
     vector_type = rows.schema["embedding"].dataType.simpleString()
-    listed = rows.mapInArrow(_assign(index, probes), f"list string, id {id_type}, embedding {vector_type}")
+    listed = rows.mapInArrow(_assign(index, probes, sizes, k), f"list string, id {id_type}, embedding {vector_type}")
     # stored first: range partitioning looks at its input twice
     listed = stored(listed)
     return stored(listed.repartitionByRange("list", "id").sortWithinPartitions("list", "id").mapInArrow(
@@ -172,7 +183,9 @@ def _search(index: Index | None, k: int):
         rows = {r["tile"][0]: r for r in cell.to_pylist()}
         q_ids, q, q_norm, q_rot = _read(rows["q"], index)
         ids, x, norm, x_rot = _read(rows["v"], index)
-        i, j = adaptive_scan(q_rot, x_rot, k)
+        # rows that share the query's id are no candidates, so they must not take the places of others
+        same = np.unique(ids[np.isin(ids, q_ids)], return_counts=True)[1].max(initial=1)
+        i, j = adaptive_scan(q_rot, x_rot, k + int(same) - 1)
         step = max(1, (1 << 22) // x.shape[1])
         score = np.concatenate([(q[i[s:s + step]] * x[j[s:s + step]]).sum(axis=1) / (q_norm[i[s:s + step]] * norm[j[s:s + step]])
                                 for s in range(0, len(i), step)])
@@ -194,7 +207,8 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0.9
 
     ``base`` and ``queries`` hold an id and a vector. Lists and a rotation are fitted on at most ``SAMPLE``
     vectors of ``base`` (those with the smallest hashes); the number of probed lists is the least that finds
-    ``recall`` of the sample's own neighbours. Every vector is indexed in its nearest list. Lists are cut into blocks and
+    ``recall`` of the sample's own neighbours; a query whose probed lists hold fewer than ``k`` other vectors probes as
+    many further ones as it takes, so it gets ``k`` rows unless the table has fewer candidates. Every vector is indexed in its nearest list. Lists are cut into blocks and
     so are the queries that probe them, so a list with a third of all vectors is many cells. In a cell,
     ``adaptive_scan`` gives up most pairs early, what is left is scored in double precision on the original
     vectors. At most ``k`` rows per query and cell are merged.
@@ -217,8 +231,17 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0.9
         lengths, counts = np.unique([len(s) for s in sample], return_counts=True)
         dims = lengths[counts.argmax()]
         index = fit_index(np.stack([s for s in sample if len(s) == dims]), n_rows, k, recall)
-    tiles = _tiles(vectors, index, 1, "v", BLOCK).unionByName(
-        _tiles(asked, index, index.probes if index else 1, "q", QUERIES))
+    held = _tiles(vectors.withColumn("same", F.lit(1).cast("long")), index, 1, "v", BLOCK)
+    sizes = None
+    if index is not None:
+        sizes = np.zeros(len(index.centres), np.int64)
+        for r in held.where(F.col("list").isin([f"{index.dims}:{c}" for c in range(len(sizes))])).groupBy("list").agg(
+                F.sum("n").alias("n")).collect():
+            sizes[int(r["list"].split(":")[1])] = r.n
+    # ids that several vectors share are few or none
+    shared = vectors.groupBy("id").agg(F.count("*").alias("same")).where("same > 1")
+    asked = asked.join(shared, "id", "left").select("id", "embedding", F.coalesce("same", F.lit(1)).cast("long").alias("same"))
+    tiles = held.unionByName(_tiles(asked, index, index.probes if index else 1, "q", QUERIES, sizes, k))
     blocks = tiles.where("tile like 'v%'").select("list", F.col("tile").alias("block"))
     probing = tiles.where("tile like 'q%'").select("list", F.col("tile").alias("probe"))
     pairs = blocks.join(probing, "list").withColumn("cell", F.concat_ws("/", "block", "probe"))
