@@ -14,6 +14,7 @@ from tickscope.operators import context as C
 from tickscope.operators import dedup as D
 from tickscope.operators.joins import lookup
 from tickscope.plans import catalog
+from tickscope.plans.fixtures import SPLIT, view
 from tickscope.session import at_most, stored
 
 DATA = "/root/testdata/sf0.001"
@@ -127,3 +128,13 @@ def test_query_equals_its_twin(spark, name):
 @pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables are not here")
 def test_entry(spark):
     assert entry_points.entry(spark).columns[:2] == ["id", "market_hash_name"]
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables are not here")
+def test_sales_are_all_ticks_before_the_live_period(spark):
+    ticks = view(spark, DATA, "fx_named_ticks").filter("price_cents > 0")
+    earlier = ticks.filter(F.col("inserted_at") < F.expr(SPLIT))
+    sold, live = view(spark, DATA, "fx_sales"), view(spark, DATA, "fx_live_ticks")
+    assert earlier.select("marketplace_source").distinct().count() > 1
+    assert sorted(r.id for r in sold.select("id").collect()) == sorted(r.id for r in earlier.select("id").collect())
+    assert sold.count() + live.count() == ticks.count()

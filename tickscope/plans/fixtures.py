@@ -96,10 +96,10 @@ VIEWS = {
         FROM fx_ticks AS t JOIN fx_parts AS p ON p.part_id = t.item_id""",
     "fx_live_ticks": f"""
         SELECT * FROM fx_named_ticks WHERE inserted_at >= {SPLIT} AND price_cents > 0""",
-    # sales before the live period: purchases only, so some items have no baseline
+    # sales before the live period: ticks of every event type
     "fx_sales": f"""
         SELECT item_id, inserted_at AS sale_date, price_cents AS median_price_cents, CAST(1 AS BIGINT) AS volume_sold, id
-        FROM fx_named_ticks WHERE inserted_at < {SPLIT} AND marketplace_source = 'purchase' AND price_cents > 0""",
+        FROM fx_named_ticks WHERE inserted_at < {SPLIT} AND price_cents > 0""",
     "fx_sticker_prices": """
         SELECT 'sticker-' || p_size AS name, CAST(@round(min(p_retailprice) * 100) AS STRING) AS price
         FROM #part GROUP BY p_size""",
