@@ -1,6 +1,8 @@
 import json
 import random
+import weakref
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tickscope.operators import monitoring as M
 from tickscope.operators.anomaly import detect_anomalies
 from tickscope.streaming.hot_path import start_hot_path, windowed_ticks
 from tickscope.streaming.ingest_stream import ingest_epoch, start_ingest
+from tickscope.streaming.processor import TickProcessor, ordered
 from tickscope.sources.tables import epochs_before
 
 TICKS = f"id BIGINT, market_hash_name STRING, price_cents BIGINT, timestamp BIGINT, float_value DOUBLE, stickers {schemas.STICKERS}"
@@ -173,3 +176,61 @@ def test_rates_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     rows = spark.table("rates").orderBy("window_start").collect()
     assert [(r.processed_per_s, r.deduplicated_per_s) for r in rows[:2]] == [(1 / 60, 1 / 60), (1 / 60, 0.0)]
+
+
+class Value:
+    """A value state without a store."""
+
+    def __init__(self):
+        self.kept = None
+
+    def exists(self):
+        return self.kept is not None
+
+    def get(self):
+        return self.kept
+
+    def update(self, kept):
+        self.kept = kept
+
+    def getValueState(self, name, schema):
+        return Value()
+
+
+def hot_item(count, size):
+    rng = random.Random(8)
+    rows = [(i, "i", rng.choice([5, 6, 7]), 40 * rng.randrange(count * size), None, None) for i in range(count * size)]
+    columns = ["id", "market_hash_name", "price_cents", "timestamp", "float_value", "stickers_json"]
+    return [pd.DataFrame(rows[k:k + size], columns=columns) for k in range(0, len(rows), size)]
+
+
+def test_a_hot_item_is_not_held_in_memory():
+    refs, most = [], 0
+
+    def arriving():
+        nonlocal most
+        for frame in hot_item(120, 50):
+            piece = frame.copy()
+            refs.append(weakref.ref(piece))
+            most = max(most, sum(r() is not None for r in refs))
+            yield piece
+            del piece
+
+    processor = TickProcessor()
+    processor.run_rows = 500
+    processor.init(Value())
+    got = pd.concat(processor.handleInputRows(("i",), arriving(), None))
+    assert most <= 12 and len(got) == 6000
+    whole = TickProcessor()
+    whole.init(Value())
+    want = pd.concat(whole.handleInputRows(("i",), iter(hot_item(120, 50)), None))
+    assert got.astype(object).where(got.notna(), None).values.tolist() == want.astype(object).where(want.notna(), None).values.tolist()
+    assert (processor._last.kept, processor._window.kept) == (whole._last.kept, whole._window.kept)
+
+
+def test_runs_merge_in_levels():
+    frames = hot_item(60, 10)
+    want = pd.concat(frames).sort_values(["timestamp", "id"], kind="stable")["id"].tolist()
+    for run_rows, fan in ((1, 2), (10, 3), (25, 2), (10_000, 2)):
+        assert pd.concat(ordered(iter(frames), run_rows, fan))["id"].tolist() == want
+    assert list(ordered(iter([]))) == []
