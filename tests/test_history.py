@@ -131,3 +131,14 @@ def test_table_snapshots(spark, tmp_path):
     second = upsert_items(spark.createDataFrame([("b",)], "market_hash_name STRING"), tables.read_table(spark, root, "market_items"))
     assert tables.write_snapshot(second, root, "market_items") == 2
     assert {r.market_hash_name for r in tables.read_table(spark, root, "market_items").collect()} == {"a", "b"}
+
+
+@pytest.mark.parametrize("further", [12, 13, 40, 3000])
+def test_needed_columns_in_any_place(spark, tmp_path, further):
+    more = ",".join(f'"x, {k}"' if k == 2 else f"x{k}" for k in range(further))
+    (tmp_path / "wide.csv").write_text(f"quantity,{more},price, name ,unix timestamp\n3,{more},10.5,w,1700000000\n")
+    (tmp_path / "usual.csv").write_text(HEADER + "u,1700000000,2.5,4\n")
+    load = H.load_history(H.read_history_csv(spark, str(tmp_path)))
+    assert load.rejected_files.count() == 0
+    assert sorted((r.file_name, r.median_price_cents, r.volume_sold) for r in load.accepted.collect()) == [
+        ("usual.csv", 250, 4), ("wide.csv", 1050, 3)]

@@ -24,10 +24,6 @@ MISSING = [
 LAST_SECOND = 9_223_372_036.0
 
 
-# Columns of a file that are read.
-MOST_COLUMNS = 16
-
-
 class HistoryLoad(NamedTuple):
     accepted: DataFrame
     rejected_files: DataFrame
@@ -39,22 +35,33 @@ def with_identity(files: DataFrame) -> DataFrame:
     return named.withColumn("item_type", item_type(F.col("market_hash_name")))
 
 
+def widest_header(spark: SparkSession, folder: str) -> int:
+    """Cells of the widest header that holds the four names, at most; commas inside quotes count as well."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
+    titles = F.transform(F.split("value", ","), lambda t: F.trim(F.regexp_replace(t, '"', "")))
+    headers = lines.filter(F.forall(F.array(*map(F.lit, schemas.HISTORY_COLUMNS)), lambda c: F.array_contains(titles, c)))
+    return max(len(schemas.HISTORY_COLUMNS), headers.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 0)
+
+
 def read_history_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of all files in one scan, as text, with the item identity.
+    """Rows of all files, as text, with the item identity.
 
     The header is read as a row and marked in ``is_header``: files without the four names in it
     can then be told apart without a second pass. Columns are addressed by these names: files with another order
-    or further columns (up to ``MOST_COLUMNS``) are told from their headers, and only their places are joined.
+    or further columns are told from their headers, and only their places are joined. How many cells
+    are read follows the widest header, which a pass before finds.
     """
-    cells = [f"c{k}" for k in range(MOST_COLUMNS)]
+    widest = widest_header(spark, folder)
+    cells = [f"c{k}" for k in range(widest)]
     raw = (
         spark.read.schema(", ".join(f"{c} STRING" for c in cells))
         .option("header", False)
         .option("pathGlobFilter", "*.csv")
+        .option("maxColumns", max(20_480, widest))
         .csv(folder)
         .select(F.array(*cells).alias("_cells"), F.expr("url_decode(replace(_metadata.file_name, '+', '%2B'))").alias("file_name"))
     )
-    titles = F.transform("_cells", F.trim)
+    titles = F.transform("_cells", lambda t: F.trim(t))  # F.trim itself would take the place as its second argument
     places = [F.array_position(titles, c).cast("int") for c in schemas.HISTORY_COLUMNS]
     usual = range(1, len(places) + 1)
     # one row per file with an unusual header
