@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import ann, bpe_tree, jaccard, mixing, secrets, suffixes, token_files, toxicity, units, vectors
+from tickscope.llm import ann, bpe_tree, decontaminate, jaccard, mixing, secrets, suffixes, token_files, toxicity, units, vectors
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -205,3 +205,38 @@ def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+LEAK_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+grams AS (
+  SELECT DISTINCT item, n, unnest([array_to_string(words[i:i + n - 1], ' ') for i in range(1, len(words) - n + 2)]) AS gram
+  FROM (SELECT item, words, least(len(words), 10) AS n FROM items WHERE len(words) > 0)),
+windows AS (
+  SELECT doc_id, n, unnest([{'pos': i, 'gram': array_to_string(words[i:i + n - 1], ' ')} for i in range(1, len(words) - n + 2)]) AS w
+  FROM docs, (SELECT DISTINCT n FROM grams) WHERE len(words) >= n),
+hits AS (
+  SELECT w.doc_id, w.w.pos AS pos, w.n, g.item FROM windows w JOIN grams g ON g.n = w.n AND g.gram = w.w.gram),
+covered AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS place FROM hits),
+counts AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN counts c ON c.doc_id = d.doc_id LEFT JOIN named i ON i.doc_id = d.doc_id
+"""
+
+
+@query("op11_benchmark_leaks", LEAK_SQL)
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
