@@ -164,15 +164,25 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def _cut(text: str, spans: str) -> Column:
+    def pieces(gaps: Column, tokens: Column) -> Column:
+        # Word k with the gap before it is token k. A span takes its words, and the gaps between them.
+        after = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+        upto = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.size(tokens).cast("long")))
+        return F.zip_with(after, upto, lambda a, b: F.concat(
+            F.array_join(F.transform(_upto(a.cast("int"), (b - 1).cast("int")), lambda k: F.get(tokens, k)), ""),
+            F.get(gaps, b.cast("int"))))
+
+    # Lambdas bind the arrays; a plain column would be computed again for every word.
     words = F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
-    gaps = F.split(text, RAW_WORD, -1)
-    # Word k with the gap before it is token k. A span takes its words, and the gaps between them.
-    tokens = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.concat(g, w))
-    after = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
-    upto = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.size(words).cast("long")))
-    kept = F.zip_with(after, upto, lambda a, b: F.concat(
-        F.array_join(F.slice(tokens, (a + 1).cast("int"), (b - a).cast("int")), ""), F.element_at(gaps, (b + 1).cast("int"))))
-    return F.when(F.size(spans) > 0, F.array_join(kept, "")).otherwise(F.col(text))
+    kept = _bound(F.split(text, RAW_WORD, -1), lambda gaps: _bound(
+        F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), lambda tokens: F.array_join(
+            pieces(gaps, F.filter(tokens, lambda _, k: k < F.size(tokens) - 1)), "")))
+    return F.when(F.size(spans) > 0, kept).otherwise(F.col(text))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _with_spans(docs: DataFrame, benchmark: DataFrame, options: dict, act) -> DataFrame:
