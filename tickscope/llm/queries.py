@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import ann, bpe_tree, decontaminate, jaccard, mixing, secrets, suffixes, token_files, toxicity, units, vectors
+from tickscope.llm import ann, bpe_tree, decontaminate, jaccard, merkle, mixing, secrets, suffixes, token_files, toxicity, units, vectors, whitening
 from tickscope.llm.common import read_table
 from tickscope.session import prepare_session
 
@@ -240,3 +240,62 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+MERKLE_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    xor(4294967295, list_reduce(list_concat([4294967295], [ord(d)::BIGINT for d in string_split(doc_id::VARCHAR, '')]),
+      lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)),
+        lambda bits, k: CASE WHEN bits % 2 = 1 THEN xor(bits // 2, 3988292384) ELSE bits // 2 END))) % 3 = 0 AS picked
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n
+  FROM (SELECT doc_id, coalesce(':' || lang, '-') AS grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN picked THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS changed FROM fields)),
+nodes AS (
+  SELECT grp, 0 AS level, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT grp, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1
+  GROUP BY grp, level, n, i // 8),
+subroots AS (
+  SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, n, i // 8),
+every AS (SELECT grp, level, i, n, h FROM nodes UNION ALL SELECT '', level, i, n, h FROM tops),
+siblings AS (
+  SELECT grp, level, i, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM every WHERE n > 1 WINDOW run AS (PARTITION BY grp, level, i // 8 ORDER BY i)),
+inner_paths AS (
+  SELECT doc_id, leaf, grp, 0 AS level, i, coalesce(changed, leaf) AS node, '' AS proof FROM leaves
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.grp, p.level + 1, p.i // 8, sha256(s.before || p.node || s.after), p.proof || s.before || s.after
+  FROM inner_paths p JOIN siblings s ON s.grp = p.grp AND s.level = p.level AND s.i = p.i),
+outer_paths AS (
+  SELECT p.doc_id, p.leaf, r.subroot, 0 AS level, r.i, p.node, p.proof
+  FROM inner_paths p JOIN subroots r ON r.grp = p.grp
+  WHERE NOT EXISTS (FROM siblings s WHERE s.grp = p.grp AND s.level = p.level AND s.i = p.i)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.subroot, p.level + 1, p.i // 8, sha256(s.before || p.node || s.after), p.proof || s.before || s.after
+  FROM outer_paths p JOIN siblings s ON s.grp = '' AND s.level = p.level AND s.i = p.i)
+SELECT p.doc_id, p.leaf, p.subroot, t.h AS root, sha256(p.proof) AS proof_sha256, p.node AS folded_root, p.node = t.h AS verified
+FROM outer_paths p JOIN tops t ON t.n = 1 AND t.level = p.level
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.build_manifest(read_table(spark, sf_dir, "documents")))
+
+
+@query("op13_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    parts = F.arrays_zip("whitened", "explained")
+    return rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(parts).alias("at", "part")).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error")
