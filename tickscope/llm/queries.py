@@ -137,21 +137,26 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UNIT_SQL = r"""
-WITH units AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit,
-    unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS number
-  FROM documents),
+WITH pieces AS (
+  SELECT doc_id, unnest(parts) AS piece, unnest(range(1, len(parts) + 1)) AS number
+  FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n', chr(10) || chr(57344), 'g'),
+    '([.,;:!?] )', '\1' || chr(57344), 'g'), chr(57344)) AS parts FROM documents)),
 placed AS (
-  SELECT *, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS plain,
-    (sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY number) - length(unit) - 1)::BIGINT AS start
-  FROM units),
+  SELECT *, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS plain,
+    (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY number) - length(piece))::BIGINT AS start
+  FROM pieces),
 ranked AS (
-  SELECT *, plain <> '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, number) > 1 AS gone FROM placed),
+  SELECT *, plain <> '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, number) > 1 AS repeated,
+    CASE WHEN plain = '' THEN 0 ELSE len(string_split(plain, ' ')) END AS words FROM placed),
+runs AS (
+  SELECT *, sum((plain <> '' AND NOT repeated)::INT) OVER (PARTITION BY doc_id ORDER BY number) AS run FROM ranked),
+marked AS (
+  SELECT *, repeated AND sum(words) FILTER (repeated) OVER (PARTITION BY doc_id, run) >= 20 AS gone FROM runs),
 kept AS (
-  SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY number) FILTER (NOT gone), '') AS text,
-    count(*)::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
-    coalesce(string_agg(start || ':' || (start + length(unit)), ',' ORDER BY number) FILTER (gone), '') AS removed
-  FROM ranked GROUP BY doc_id)
+  SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY number) FILTER (NOT gone), '') AS text,
+    count(*) FILTER (plain <> '')::BIGINT AS n_units, count(*) FILTER (gone)::BIGINT AS n_removed,
+    coalesce(string_agg(start || ':' || (start + length(rtrim(piece, ' ' || chr(10)))), ',' ORDER BY number) FILTER (gone), '') AS removed
+  FROM marked GROUP BY doc_id)
 SELECT doc_id, n_units, n_removed, removed, length(text)::BIGINT AS kept_chars, sha256(text) AS kept_sha256 FROM kept
 """
 
