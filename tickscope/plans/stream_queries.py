@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickscope.functions.scoring import DEFAULTS
 from tickscope.operators.ingest import chunk_batches
 from tickscope.plans.fixtures import SPLIT
 from tickscope.plans.ingest_queries import CHUNK, CHUNKS, ntz
 from tickscope.plans.registry import Views, query
-from tickscope.plans.tick_queries import DECIDE, DECISION_COLUMNS, published
+from tickscope.plans.tick_queries import DECIDE, DECISION_COLUMNS, DETECT, published
 from tickscope.session import ensure_checkpoint_dir
+from tickscope.sources.tables import epochs_before
+from tickscope.streaming.carried import no_state, start_carried_path
 from tickscope.streaming.hot_path import start_hot_path
 from tickscope.streaming.ingest_stream import start_ingest
 
@@ -84,3 +88,71 @@ def ingest_stream(v: Views) -> DataFrame:
     arrivals = v.spark.readStream.schema(records.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
     start_ingest(arrivals, v.items, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
     return ntz(v.spark.read.parquet(f"{root}/out/ticks").drop("epoch"), "inserted_at")
+
+
+EXPIRE_S = 2 * 24 * 3600  # longer than the duplicate window, shorter than the live period
+
+
+def carried(v: Views, ticks: DataFrame, chunk: Column, chunks: int, lookups, **options) -> str:
+    """Runs the hot path with carried state over ``ticks``, which arrive chunk by chunk; returns the folder of its outputs.
+
+    Each chunk is written and then taken as one micro-batch, so the order of arrival is fixed whatever the number of files.
+    """
+    root = scratch(v)
+    for number in range(chunks):
+        ticks.filter(chunk == number).write.parquet(f"{root}/in/chunk={number}")
+        arrivals = v.spark.readStream.schema(ticks.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
+        start_carried_path(arrivals, lookups, f"{root}/out", f"{root}/checkpoint", available_now=True, **options).awaitTermination()
+    return f"{root}/out"
+
+
+def live_carried(v: Views, **options) -> str:
+    """The live ticks in three micro-batches by time, with every item beyond the limit for one task."""
+    columns = ["id", "market_hash_name", "price_cents", "timestamp", "float_value", "stickers"]
+    live = v.live_ticks
+    start = F.unix_seconds(F.expr(SPLIT).cast("timestamp"))
+    part = F.floor((F.col("timestamp") - start) / (6 * 24 * 3600))
+    baselines = published(v)
+    return carried(v, live.select(*columns), F.least(F.greatest(part, F.lit(0)), F.lit(2)), 3,
+                   lambda: (v.items, baselines, v.sticker_prices), limit=30, **options)
+
+
+@query("hot_path_carried", f"WITH RECURSIVE {DECIDE} SELECT {DECISION_COLUMNS} FROM decisions")
+def hot_path_carried(v: Views) -> DataFrame:
+    """Micro-batches through the batch kernels, with state in a table; the decisions equal those of the batch job."""
+    return v.spark.read.parquet(f"{live_carried(v)}/decisions").select(*DECISION_COLUMNS.split(", "))
+
+
+@query("live_state", f"""
+    WITH RECURSIVE {DETECT},
+    newest AS (SELECT market_hash_name, max((timestamp, id, price_cents)) AS n FROM (
+      SELECT market_hash_name, timestamp, id, price_cents FROM accepted) GROUP BY market_hash_name)
+    SELECT market_hash_name, n[3] AS last_price, n[1] AS last_second FROM newest
+    WHERE n[1] >= (SELECT max(timestamp) FROM fx_live_ticks) - {EXPIRE_S}""")
+def live_state(v: Views) -> DataFrame:
+    """What the state holds in the end when silent items expire."""
+    out = live_carried(v, expire_s=EXPIRE_S)
+    last = epochs_before(v.spark, f"{out}/state", 1 << 40)[-1]
+    state = v.spark.read.schema(no_state(v.spark).schema).parquet(f"{out}/state/epoch={last}")
+    return state.select("market_hash_name", "last_price", "last_second")
+
+
+@query("late_ticks", """
+    WITH RECURSIVE numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY market_hash_name ORDER BY (id + 1) % 3, timestamp, id) AS rn FROM fx_dedup),
+    walk AS (
+      SELECT id, market_hash_name, rn, price_cents AS last_price, timestamp AS last_second, false AS is_duplicate
+      FROM numbered WHERE rn = 1
+      UNION ALL
+      SELECT n.id, n.market_hash_name, n.rn, n.price_cents,
+             CASE WHEN n.price_cents = w.last_price AND n.timestamp - w.last_second < 3600 THEN w.last_second ELSE n.timestamp END,
+             n.price_cents = w.last_price AND n.timestamp - w.last_second < 3600
+      FROM walk AS w JOIN numbered AS n ON n.market_hash_name = w.market_hash_name AND n.rn = w.rn + 1)
+    SELECT id, is_duplicate FROM walk""")
+def late_ticks(v: Views) -> DataFrame:
+    """Three micro-batches that each hold ticks of the whole period, so two thirds of the ticks come late; a few hot items."""
+    ticks = v.dedup.withColumn("float_value", F.lit(None).cast("double")).withColumn("stickers", F.expr("from_json('[]', 'array<struct<name:string>>')"))
+    baselines = published(v)
+    out = carried(v, ticks, (F.col("id") + 1) % 3, 3, lambda: (v.items, baselines, v.sticker_prices),
+                  tuning=replace(DEFAULTS, dedup_window_s=3600), limit=1000)
+    return v.spark.read.parquet(f"{out}/ticks").select("id", "is_duplicate")

@@ -44,6 +44,14 @@ def epochs_before(spark: SparkSession, folder: str, epoch: int) -> list[int]:
     return sorted(n for n in _committed(spark, folder) if n < epoch)
 
 
+def remove_epochs(spark: SparkSession, folder: str, epoch: int) -> None:
+    """Removes the ``epoch=<n>`` folders below ``epoch``."""
+    jvm = spark.sparkContext._jvm
+    for old in epochs_before(spark, folder, epoch):
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/epoch={old}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _committed(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the ``name=<n>`` folders whose write was committed (Spark leaves ``_SUCCESS``)."""
     jvm = spark.sparkContext._jvm
