@@ -151,8 +151,8 @@ def build_manifest(docs: DataFrame, id_col: str = "doc_id", height: int = HEIGHT
     """The trees of a documents table (``id, source, lang, n_chars, text``); other columns are ignored.
 
     Each row is a leaf. Leaves of a language ascend by id (null first), ties by digest; runs of eight nodes are hashed until
-    one is left, and so are the subroots of the languages. Leaves are numbered by range partitions once a language is
-    large, and cut into aligned blocks, so a language with most rows spreads over tasks like any other. A block is one
+    one is left, and so are the subroots of the languages. Leaves are numbered within range
+    partitions and cut into aligned blocks, so a language with most rows spreads over tasks like any other. A block is one
     row of a stored table; a lost executor costs the blocks it was building.
 
     Null fields hash as ``-``; an empty text is not a null one. Equal rows are leaves of their own. An empty table has no trees.
@@ -160,7 +160,8 @@ def build_manifest(docs: DataFrame, id_col: str = "doc_id", height: int = HEIGHT
     bounded_batches(docs.sparkSession, 64)
     leaves = stored(leaf_digests(docs, id_col))
     kind = leaves.schema["item"].dataType.simpleString()
-    ranked = number_rows(leaves, ["grp"], ["item", "digest"], "rank").withColumn("rank", F.col("rank") - 1)
+    # Always by range partitions: one language may hold most rows.
+    ranked = number_rows(leaves, ["grp"], ["item", "digest"], "rank", limit=0, largest=1).withColumn("rank", F.col("rank") - 1)
     levels = _trees(ranked, kind, height)
     subroots = number_rows(levels[-1].select(F.col("grp").alias("item"), F.col("root").alias("digest")), [], ["item"], "rank")
     groups = _trees(subroots.select(F.lit("").alias("grp"), (F.col("rank") - 1).alias("rank"), "digest", "item",
