@@ -4,7 +4,7 @@ from collections import Counter
 import duckdb
 
 import corpus_pipeline
-from tickscope.llm import queries, secrets, toxicity
+from tickscope.llm import jaccard, mixing, queries, secrets, toxicity
 from tickscope.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -96,3 +96,15 @@ def test_an_empty_corpus_passes_through(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark):
+    names = ["__key", "__h", "__times", "__edge", "__source", "__copy", "of", "of_id", "doc", "blank", "pick", "copy", "copies", "edge",
+             "times", "with_edge", "stays", "key", "h", "size", "cls", "sid", "prefix"]
+    rows = [(k, f"some words of text number {k % 3} that go on for a while", "en", "ab"[k % 2], 10, *range(len(names))) for k in range(9)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long",
+                                                  *(f"{n} long" for n in names)]))
+    kept = jaccard.without_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[:3])
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(rows) and mixed.count() > 0

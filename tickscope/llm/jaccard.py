@@ -251,11 +251,14 @@ def without_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str
     """
     found = jaccard_links(docs, threshold, id_col, text_col)
     gone = stored(found.groupBy("doc_id", "h").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("copies"))).where(
-        "not stays or copies > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "stays")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
-    same = (F.col("__key") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id"))
+        "not stays or copies > 1").select("doc_id", "h", "stays")
+    # The columns of a document travel as one, so none of them can clash with the keys.
+    text = F.col(f"`{text_col}`")
+    blank = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]")) == 0, F.lit(True))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("of_id"), F.xxhash64(text).alias("of"), blank.alias("blank"),
+                        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    same = (F.col("of") == F.col("h")) & F.col("of_id").eqNullSafe(F.col("doc_id"))
     single = keyed.join(gone, same, "left_anti")
     repeated = keyed.join(gone.where("stays"), same, "left_semi")
-    blank = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]")) == 0
-    once = repeated.where(~F.coalesce(blank, F.lit(True))).dropDuplicates([id_col, "__key"])
-    return single.unionByName(once).unionByName(repeated.where(F.coalesce(blank, F.lit(True)))).drop("__key")
+    once = repeated.where(~F.col("blank")).dropDuplicates(["of_id", "of"])
+    return single.unionByName(once).unionByName(repeated.where("blank")).select("doc.*")

@@ -74,11 +74,10 @@ def mix_rules(docs: DataFrame, weights: Sequence[int], share: float, cap: int, i
     return sizes, stored(targets.drop("rest").join(edges, "sid", "left").drop("sid"))
 
 
-def _copies(pick: Column, rule: str = "") -> Column:
+def _copies(pick: Column) -> Column:
     """How often a rule takes a row of this hash."""
-    edge, with_edge = F.col(f"{rule}edge"), F.col(f"{rule}with_edge")
-    more = (pick < edge) | ((pick == edge) & with_edge)
-    return F.col(f"{rule}times") + F.coalesce(more, F.lit(False)).cast("long")
+    more = (pick < F.col("edge")) | ((pick == F.col("edge")) & F.col("with_edge"))
+    return F.col("times") + F.coalesce(more, F.lit(False)).cast("long")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2,
@@ -107,11 +106,11 @@ def mixed_rows(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float
                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: the rows of ``docs`` with their own columns, each as often as it is taken."""
     _, rules = mix_rules(docs, weights, share, cap, id_col, text_col, source_col)
-    rules = rules.select(*(F.col(c).alias(f"__{c}") for c in ("source", "times", "edge", "with_edge")))
-    joined = docs.join(rules, docs[source_col].eqNullSafe(rules["__source"]))
-    copies = _copies(row_hash(docs[id_col], docs[text_col]), "__")
-    repeated = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    # The columns of a document travel as one, so none of them can clash with those of the rules.
+    packed = docs.select(F.col(f"`{source_col}`").alias("of"), row_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("pick"),
+                         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    joined = packed.join(rules, F.col("of").eqNullSafe(F.col("source")))
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(1), _copies(F.col("pick")).cast("int"))).alias("copy")).select("doc.*")
 
 
 def _boundaries(rows: DataFrame, budgets: DataFrame) -> DataFrame:
