@@ -29,6 +29,7 @@ QUALITY_FROM = [
     (0.95, "Exceptional", 1.3, "Extreme high float — potential collector value for certain patterns."),
     (0.90, "Notable", 1.15, "High float Battle-Scarred — may carry a niche premium for specific items."),
 ]
+# Quality of a float in no band, and of one outside 0 to 1.
 STANDARD = ("Standard", 1.0, "Standard float — falls in typical wear corridor, no extra premium.")
 INVALID = ("Standard", 1.0, "Invalid float value.")
 

@@ -50,7 +50,7 @@ def audit_features(trades: DataFrame, items: DataFrame, ticks: DataFrame, contex
 
 def apply_verdicts(features: DataFrame, scores: DataFrame) -> DataFrame:
     """Verdict per trade from an external table (id, score, reasoning); missing scores are errors."""
-    rated = lookup(features, scores.select("id", "score", "reasoning"), "id")
+    rated = lookup(features, scores.select("id", "score", "reasoning"), "id", derived=True)
     failed = verdict(F.col("score")) == "ERROR"
     return rated.select(
         *features.columns,

@@ -121,11 +121,29 @@ def validate_ticks(v: Views) -> DataFrame:
     return split_ticks(raw, F.lit(0)).good.select("event_id", "price_usd", "price_cents", "user_id")
 
 
-@query("rejected_ticks", """
-    SELECT event_id, 'price must be positive' AS error FROM events WHERE value <= 0""")
+# Every reason for a rejection occurs: names go missing, prices become NaN, too large, zero or negative.
+BENT = """
+    bent AS (
+      SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS market_hash_name,
+             CASE WHEN event_id % 13 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 17 = 0 THEN CAST(1e30 AS DOUBLE)
+                  WHEN event_id % 19 = 0 THEN -value WHEN event_id % 23 = 0 THEN CAST(0 AS DOUBLE)
+                  WHEN event_id % 29 = 0 THEN NULL ELSE value END AS price_usd
+      FROM events)"""
+
+
+@query("rejected_ticks", f"""
+    WITH {BENT}
+    SELECT event_id, error FROM (
+      SELECT event_id, CASE WHEN market_hash_name IS NULL THEN 'name is missing'
+        WHEN price_usd IS NULL OR isnan(price_usd) THEN 'price is missing' WHEN price_usd <= 0 THEN 'price must be positive'
+        WHEN price_usd >= 1e29 THEN 'price is out of range' END AS error FROM bent)
+    WHERE error IS NOT NULL""")
 def rejected_ticks(v: Views) -> DataFrame:
+    number = F.col("event_id")
+    price = (F.when(number % 13 == 0, F.lit(float("nan"))).when(number % 17 == 0, F.lit(1e30)).when(number % 19 == 0, -F.col("value"))
+             .when(number % 23 == 0, F.lit(0.0)).when(number % 29 == 0, F.lit(None)).otherwise(F.col("value")))
     raw = v.table("events").select(
-        "event_id", F.col("event_type").alias("market_hash_name"), F.col("value").alias("price_usd"),
+        "event_id", F.when(number % 11 != 0, F.col("event_type")).alias("market_hash_name"), price.alias("price_usd"),
         F.lit(None).cast("bigint").alias("timestamp"),
     )
     return split_ticks(raw, F.lit(0)).bad.select("event_id", "error")
