@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -286,6 +292,58 @@ def load_history(v: Views) -> DataFrame:
     return ntz(accepted.drop("market_hash_name", "item_type"), "sale_date")
 
 
+def written_history(v: Views) -> str:
+    """The history rows as CSV files, one per item, in a new folder: columns in three orders, a third of the files with one more."""
+    ensure_checkpoint_dir(v.spark)
+    folder = f"{v.spark.sparkContext.getCheckpointDir()}/history/{uuid.uuid4().hex}"
+    orders = [["name", "unix timestamp", "price", "quantity"], ["quantity", "price", "unix timestamp", "name"],
+              ["source", "price", "name", "quantity", "unix timestamp"]]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = folder.startswith("file:") or folder.startswith("/")
+        store, path = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        name, out, titles, n = None, None, [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["file_name"] != name:
+                    if out is not None:
+                        out.close()
+                        n += 1
+                    name, titles = row["file_name"], orders[zlib.crc32(row["file_name"].encode()) % 3]
+                    out = io.TextIOWrapper(store.open_output_stream(f"{path}/{name}"), encoding="utf-8", newline="")
+                    writer = csv.writer(out)
+                    writer.writerow(titles)
+                writer.writerow([row.get(t, "csv") for t in titles])
+        if out is not None:
+            out.close()
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    rows = v.raw_history.select("name", F.col("stamp").alias("unix timestamp"), "price", "quantity", "file_name")
+    rows.repartition("file_name").sortWithinPartitions("file_name").mapInArrow(write, "files bigint").agg(F.sum("files")).first()
+    return folder
+
+
+@query("read_history", f"""
+    WITH {CLEANED}
+    SELECT file_name, make_timestamp(seconds * 1000000) AS sale_date,
+           CAST(round_even(CAST(price AS DOUBLE) * 100, 0) AS BIGINT) AS median_price_cents,
+           CAST(trunc(CAST(quantity AS DOUBLE)) AS BIGINT) AS volume_sold
+    FROM cleaned WHERE file_name NOT IN (SELECT file_name FROM rejected)""")
+def read_history(v: Views) -> DataFrame:
+    """Real files through the reader: headers in any order, whole files accepted or rejected."""
+    accepted = H.load_history(H.read_history_csv(v.spark, written_history(v))).accepted
+    return ntz(accepted.select("file_name", "sale_date", "median_price_cents", "volume_sold"), "sale_date")
+
+
+@query("history_files", "SELECT DISTINCT file_name, true AS has_bytes FROM fx_raw_history")
+def history_files(v: Views) -> DataFrame:
+    """The listing of a folder of real files."""
+    files = H.list_history_files(v.spark, written_history(v))
+    return files.select("file_name", (F.col("length") > 0).alias("has_bytes"))
+
+
 @query("rejected_files", f"WITH {CLEANED} SELECT file_name FROM rejected")
 def rejected_files(v: Views) -> DataFrame:
     return H.load_history(raw_history(v)).rejected_files
