@@ -36,6 +36,7 @@ class Ingest(NamedTuple):
     items: DataFrame
     ledger: DataFrame
     statuses: DataFrame
+    changed_items: DataFrame  # the rows of ``items`` that are new or have another type than before
 
 
 class Replay(NamedTuple):
@@ -150,23 +151,33 @@ def classify_batches(batches: DataFrame, ledger: DataFrame) -> DataFrame:
     return known.withColumn("status", status).drop("_invalid", "_first", "_stored")
 
 
-def upsert_items(names: DataFrame, items: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
-    """All items after registering ``names``: known ones keep their id and get the current
-    classification, new ones get the next ids in name order."""
-    wanted = names.select("market_hash_name").filter(F.col("market_hash_name").isNotNull()).distinct()
-    named = F.col("market_hash_name")
-    touched = wanted.withColumn("_touched", F.lit(True))
-    kept = items.join(touched, "market_hash_name", "left").select(
-        "id", "market_hash_name",
-        F.when(F.col("_touched"), item_type(named)).otherwise(F.col("item_type")).alias("item_type"), "rarity",
-    )
+def changed_items(names: DataFrame, items: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+    """The rows that registering ``names`` adds or changes: known items whose classification differs
+    keep their id, new names get the next ids in name order. Stored, since callers use it more than once."""
+    wanted = stored(names.select("market_hash_name").filter(F.col("market_hash_name").isNotNull()).distinct())
+    current = item_type(F.col("market_hash_name"))
+    known = lookup(items, wanted, "market_hash_name", "inner").filter(~current.eqNullSafe(F.col("item_type"))).select(
+        "id", "market_hash_name", current.alias("item_type"), "rarity")
     top = items.agg(F.max("id")).first()[0]
     fresh = stored(wanted.join(items.select("market_hash_name"), "market_hash_name", "left_anti"))
     numbered = number_rows(fresh, [], ["market_hash_name"], "_rn", limit).select(
         (F.col("_rn") + F.lit(0 if top is None else top)).alias("id"), "market_hash_name",
-        item_type(named).alias("item_type"), F.lit(None).cast("string").alias("rarity"),
+        current.alias("item_type"), F.lit(None).cast("string").alias("rarity"),
     )
-    return kept.unionByName(numbered)
+    return stored(known.unionByName(numbered))
+
+
+def with_changes(items: DataFrame, changed: DataFrame) -> DataFrame:
+    """``items`` with the rows of ``changed`` in place of those with the same id and name."""
+    columns = ["id", "market_hash_name", "item_type", "rarity"]
+    kept = items.select(*columns).join(changed.select("id", "market_hash_name"), ["id", "market_hash_name"], "left_anti")
+    return kept.select(*columns).unionByName(changed.select(*columns))
+
+
+def upsert_items(names: DataFrame, items: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+    """All items after registering ``names``: known ones keep their id and get the current
+    classification, new ones get the next ids in name order."""
+    return with_changes(items, changed_items(names, items, limit))
 
 
 def ingest_tick_batches(batches: DataFrame, items: DataFrame, ledger: DataFrame, received_at: Column) -> Ingest:
@@ -179,7 +190,8 @@ def ingest_tick_batches(batches: DataFrame, items: DataFrame, ledger: DataFrame,
         "batch_id", "_t.market_hash_name", "_t.price_cents", "marketplace_source",
         F.timestamp_seconds("_t.timestamp").alias("inserted_at"),
     )
-    items_after = upsert_items(ticks, items)
+    changed = changed_items(ticks, items)
+    items_after = with_changes(items, changed)
     ids = items_after.select("market_hash_name", F.col("id").alias("item_id"))
     rows = lookup(ticks, ids, "market_hash_name").select(
         "batch_id", "item_id", "price_cents", "marketplace_source", "inserted_at"
@@ -190,7 +202,7 @@ def ingest_tick_batches(batches: DataFrame, items: DataFrame, ledger: DataFrame,
     )
     processed = F.when(F.col("status") == "SUCCESS", F.size("ticks")).otherwise(F.lit(0)).cast("bigint")
     statuses = classified.select("pos", "batch_id", "source", "status", processed.alias("records_processed"))
-    return Ingest(rows, items_after, registered, statuses)
+    return Ingest(rows, items_after, registered, statuses, changed)
 
 
 def split_malformed(raw: DataFrame) -> EnvelopeSplit:
