@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tickscope.operators.joins import lookup
 from tickscope.operators.ordering import GROUP_ROWS, latest_rows, with_frames
 from tickscope.operators.quantiles import exact_quantile
 from tickscope.session import stored
+from tickscope.sources.runs import append_run, compact_runs, read_runs
 
 # Windows are row counts, not days.
 SHORT_ROWS, LONG_ROWS = 30, 90
@@ -53,10 +56,22 @@ def macro_baselines(history: DataFrame, ties: list[str] | None = None) -> DataFr
     Only the newest 90 rows per item are shuffled for the averages; the support floor works on
     counts per distinct price.
     """
+    tail = newest_rows(history, ties)
+    floor = exact_quantile(history.select("item_id", "median_price_cents"), ["item_id"],
+                           "median_price_cents", FLOOR_QUANTILE, "_floor")
+    return _analysed(tail, floor)
+
+
+def newest_rows(history: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """The newest 90 rows per item, numbered by ``rn``."""
     ties = ties or []
     newest = [F.col(c).desc() for c in ["sale_date", *ties]]
     columns = dict.fromkeys(["item_id", "sale_date", *ties, "median_price_cents", "volume_sold"])
-    tail = latest_rows(history.select(*columns), "item_id", newest, LONG_ROWS, "rn")
+    return latest_rows(history.select(*columns), "item_id", newest, LONG_ROWS, "rn")
+
+
+def _analysed(tail: DataFrame, floor: DataFrame) -> DataFrame:
+    """Analysis records from the newest rows and the support floor with its number of rows."""
     price, recent = F.col("median_price_cents"), F.col("rn") <= SHORT_ROWS
     recent_price = F.when(recent, price)
     summary = tail.groupBy("item_id").agg(
@@ -68,8 +83,6 @@ def macro_baselines(history: DataFrame, ties: list[str] | None = None) -> DataFr
         F.sum(recent_price * recent_price).alias("_ss"),
         F.avg(F.when(recent, F.col("volume_sold"))).alias("_volume"),
     )
-    floor = exact_quantile(history.select("item_id", "median_price_cents"), ["item_id"],
-                           "median_price_cents", FLOOR_QUANTILE, "_floor")
     r30, r90 = F.col("r30"), F.col("r90")
     volatility = half_even(F.coalesce(F.sqrt(sample_variance(F.col("_n"), F.col("_s"), F.col("_ss"))), F.lit(0.0)))
     latest = F.col("latest_price_cents")
@@ -91,6 +104,49 @@ def macro_baselines(history: DataFrame, ties: list[str] | None = None) -> DataFr
     )
 
 
+class Summary(NamedTuple):
+    """What the baselines of a history need of it, small enough to keep and to merge with that of later rows."""
+
+    tail: DataFrame  # the newest 90 rows per item
+    prices: DataFrame  # item_id, median_price_cents, times: rows per distinct price
+
+
+def summarize(history: DataFrame, ties: list[str] | None = None) -> Summary:
+    """The mergeable summary of some rows of a history."""
+    prices = history.groupBy("item_id", "median_price_cents").agg(F.count(F.lit(1)).alias("times"))
+    return Summary(newest_rows(history, ties).drop("rn"), prices)
+
+
+def merged_prices(prices: DataFrame) -> DataFrame:
+    """One row per item and price from several summaries."""
+    return prices.groupBy("item_id", "median_price_cents").agg(F.sum("times").alias("times"))
+
+
+def baselines_of(parts: Summary, ties: list[str] | None = None) -> DataFrame:
+    """``macro_baselines`` of all rows behind the summaries, merged or not."""
+    floor = exact_quantile(parts.prices, ["item_id"], "median_price_cents", FLOOR_QUANTILE, "_floor", times="times")
+    return _analysed(newest_rows(parts.tail, ties), floor)
+
+
+def fold_history(spark: SparkSession, root: str, epoch: int, new: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """Adds the rows of refresh number ``epoch`` to the summaries below ``root``; returns the baselines of all rows so far.
+
+    Only ``new`` is read of the history. Each refresh appends its own summary as a run; runs are merged by size, so their bytes
+    stay near one summary of each item. A refresh that runs again replaces its run; refreshes are numbered without gaps. ``new`` has
+    the columns ``item_id, sale_date, median_price_cents, volume_sold`` and ``ties``, with the same types in every refresh.
+    """
+    own = summarize(new, ties)
+    ddls = [", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema) for part in own]
+    merges = [lambda rows: newest_rows(rows, ties).drop("rn"), merged_prices]
+    read = []
+    for name, part, ddl, merge in zip(Summary._fields, own, ddls, merges):
+        folder = f"{root}/{name}"
+        compact_runs(spark, folder, epoch, ddl, merge=merge)
+        append_run(part, folder, epoch)
+        read.append(read_runs(spark, folder, epoch + 1, ddl).drop("run_last"))
+    return baselines_of(Summary(*read), ties)
+
+
 def _ratio(volatility: Column, base: Column) -> Column:
     usable = (base > 0) & (volatility > 0)
     return F.when(usable, F.try_divide(volatility.cast("double"), base.cast("double"))).otherwise(F.lit(0.0))

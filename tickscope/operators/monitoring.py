@@ -107,6 +107,41 @@ def alerts(anomalies: DataFrame, confirmations: DataFrame) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
+def held_on_stream(counts: DataFrame, condition: Column, minutes: int, width: int) -> DataFrame:
+    """The minutes at which ``held`` fires, for a stream in append mode.
+
+    ``counts`` is a windowed aggregate with its ``window`` of ``width`` minutes, one row per minute. The hold is a second window over the
+    ends of the first ones: it closes with its last minute, so an alert appears once and is never taken back, and state
+    goes with the watermark. A missing minute breaks the run, as there.
+    """
+    hits = counts.filter(condition).groupBy(F.window(F.window_time("window"), f"{minutes} minutes", MINUTE).alias("_hold")).agg(
+        F.count(F.lit(1)).alias("_hits"))
+    start = F.col("_hold.end") - F.expr(f"INTERVAL {width} MINUTES")
+    return hits.filter(F.col("_hits") == minutes).select(start.alias("window_start"))
+
+
+def alerts_on_stream(decisions: DataFrame, width: int = 15) -> DataFrame:
+    """``alerts`` from a stream of decisions with a watermark on ``event_time``: counts per minute and holds over them, as two
+    windows one behind the other in each branch."""
+    total = decisions.groupBy(F.window("event_time", MINUTE).alias("window")).agg(F.count(F.lit(1)).alias("anomalies"))
+    rates = decisions.groupBy(F.window("event_time", f"{width} minutes", MINUTE).alias("window")).agg(
+        F.count_if("approved").alias("confirmed"), F.count(F.lit(1)).alias("decided"))
+    share = F.try_divide(F.col("confirmed").cast("double"), F.col("decided").cast("double"))
+    high = held_on_stream(total, F.col("anomalies") > ANOMALIES_PER_MINUTE, ANOMALY_HOLD_MIN, 1)
+    low = held_on_stream(rates, share < CONFIRMATION_FLOOR, CONFIRMATION_HOLD_MIN, width)
+    return high.withColumn("alert", F.lit("high_anomaly_rate")).unionByName(low.withColumn("alert", F.lit("low_confirmation_rate")))
+
+
+def activity_rates(flagged: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Ticks and decisions per minute from two streams in one query, each with its own watermark on ``event_time``; a
+    minute closes when both have passed it."""
+    kinds = [flagged.select("event_time", F.when(F.col("is_duplicate"), "deduplicated").otherwise("processed").alias("kind")),
+             decisions.select("event_time", F.when(F.col("approved"), "confirmed").otherwise("rejected").alias("kind"))]
+    counts = [(F.count_if(F.col("kind") == k) / F.lit(60.0)).alias(f"{k}_per_s") for k in ("processed", "deduplicated")]
+    counts += [F.count_if(F.col("kind") == k).alias(k) for k in ("confirmed", "rejected")]
+    return _per_window(kinds[0].unionByName(kinds[1]), [], counts, MINUTE)
+
+
 def pnl_summary(trades: DataFrame) -> DataFrame:
     """Total estimated profit and number of trades."""
     return trades.agg(

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 12
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, times: str | None = None) -> DataFrame:
     """(keys, ``name``, ``n``): linearly interpolated quantile ``q`` of a BIGINT column.
 
-    Nulls in the value or the keys are left out.
+    Nulls in the value or the keys are left out. ``times`` names a column that says how often a row counts.
 
     Rows are first counted per distinct value, which the map side combines. Buckets of 2^12
     neighbouring values then show where the wanted rank lies, and only those buckets are
@@ -24,7 +24,8 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: s
     present = df
     for column in (F.col(value), bucket, *map(F.col, keys)):
         present = present.filter(column.isNotNull())
-    counted = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_bucket", bucket)
+    number = F.count(F.lit(1)) if times is None else F.sum(times)
+    counted = present.groupBy(*keys, value).agg(number.alias("_c")).withColumn("_bucket", bucket)
     per_key = W.partitionBy(*keys)
     running = per_key.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     rank = (F.col("n") - 1) * F.lit(float(q))

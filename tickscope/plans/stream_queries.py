@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickscope.functions.scoring import DEFAULTS
+from tickscope.operators import monitoring as M
+from tickscope.operators.dedup import flag_duplicates
 from tickscope.operators.ingest import chunk_batches
 from tickscope.plans.fixtures import SPLIT
 from tickscope.plans.ingest_queries import CHUNK, CHUNKS, ntz
 from tickscope.plans.registry import Views, query
-from tickscope.plans.tick_queries import DECIDE, DECISION_COLUMNS, DETECT, published
-from tickscope.session import ensure_checkpoint_dir
+from tickscope.plans.tick_queries import DECIDE, DECISION_COLUMNS, DETECT, SLIDING, decisions, published, timed
+from tickscope.session import ensure_checkpoint_dir, stored
 from tickscope.sources.tables import epochs_before
 from tickscope.streaming.carried import no_state, start_carried_path
 from tickscope.streaming.hot_path import start_hot_path
@@ -156,3 +158,66 @@ def late_ticks(v: Views) -> DataFrame:
     out = carried(v, ticks, (F.col("id") + 1) % 3, 3, lambda: (v.items, baselines, v.sticker_prices),
                   tuning=replace(DEFAULTS, dedup_window_s=3600), limit=1000)
     return v.spark.read.parquet(f"{out}/ticks").select("id", "is_duplicate")
+
+
+DELAY_S = 600  # watermark of the monitoring streams
+
+
+def appended(v: Views, tables: dict[str, DataFrame], build) -> DataFrame:
+    """Rows that ``build`` of streams over ``tables`` appends; the tables arrive in two parts by event time.
+
+    The parts are cut at one second for all tables, so no row comes late. Windows that the last watermark has not closed are not there.
+    """
+    root = scratch(v)
+    cut = F.unix_seconds(F.expr(SPLIT).cast("timestamp")) + 10 * 24 * 3600
+    timed_tables = {name: timed(stored(df)) for name, df in tables.items()}
+    for part, rows in enumerate((F.col("timestamp") < cut, F.col("timestamp") >= cut)):
+        for name, df in timed_tables.items():
+            df.filter(rows).write.parquet(f"{root}/in/{name}/part={part}")
+        streams = [
+            v.spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{root}/in/{name}")
+            .withWatermark("event_time", f"{DELAY_S} seconds") for name, df in timed_tables.items()
+        ]
+        found = build(*streams)
+        (found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start(f"{root}/out").awaitTermination())
+    return v.spark.read.schema(found.schema).parquet(f"{root}/out")
+
+
+@query("activity_stream", f"""
+    WITH RECURSIVE {DECIDE},
+    seen AS (
+      SELECT make_timestamp(n.timestamp * 1000000) AS event_time,
+             CASE WHEN w.is_duplicate THEN 'deduplicated' ELSE 'processed' END AS kind
+      FROM numbered AS n JOIN walk AS w ON w.id = n.id
+      UNION ALL SELECT event_time, CASE WHEN approved THEN 'confirmed' ELSE 'rejected' END FROM decisions),
+    closed AS (SELECT make_timestamp((least((SELECT max(timestamp) FROM fx_live_ticks),
+                                            (SELECT max(timestamp) FROM decisions)) - {DELAY_S}) * 1000000) AS until)
+    SELECT time_bucket(INTERVAL 1 MINUTE, event_time) AS window_start,
+           count(*) FILTER (WHERE kind = 'processed') / CAST(60 AS DOUBLE) AS processed_per_s,
+           count(*) FILTER (WHERE kind = 'deduplicated') / CAST(60 AS DOUBLE) AS deduplicated_per_s,
+           count(*) FILTER (WHERE kind = 'confirmed') AS confirmed, count(*) FILTER (WHERE kind = 'rejected') AS rejected
+    FROM seen, closed WHERE time_bucket(INTERVAL 1 MINUTE, event_time) + INTERVAL 1 MINUTE <= until GROUP BY 1""")
+def activity_stream(v: Views) -> DataFrame:
+    """Ticks and decisions as two streams, in append mode: all minutes that both watermarks have closed."""
+    tables = {"ticks": flag_duplicates(v.live_ticks).select("timestamp", "is_duplicate"),
+              "decisions": decisions(v).select("timestamp", "approved")}
+    return ntz(appended(v, tables, M.activity_rates), "window_start")
+
+
+@query("alerts_stream", f"""
+    WITH RECURSIVE {DECIDE}, {SLIDING},
+    minutes AS (SELECT time_bucket(INTERVAL 1 MINUTE, event_time) AS window_start, count(*) AS anomalies
+                FROM decisions GROUP BY ALL),
+    high AS (SELECT window_start, count(CASE WHEN anomalies > 50 THEN 1 END) OVER (ORDER BY window_start
+               RANGE BETWEEN INTERVAL 1 MINUTE PRECEDING AND CURRENT ROW) AS hits FROM minutes),
+    low AS (SELECT window_start, count(CASE WHEN confirmation_rate < 0.1 THEN 1 END) OVER (ORDER BY window_start
+              RANGE BETWEEN INTERVAL 14 MINUTE PRECEDING AND CURRENT ROW) AS hits FROM rates),
+    closed AS (SELECT make_timestamp((max(timestamp) - {DELAY_S}) * 1000000) AS until FROM decisions)
+    SELECT window_start, 'high_anomaly_rate' AS alert FROM high, closed
+    WHERE hits = 2 AND window_start + INTERVAL 1 MINUTE <= until
+    UNION ALL SELECT window_start, 'low_confirmation_rate' FROM low, closed
+    WHERE hits = 15 AND window_start + INTERVAL 15 MINUTE <= until""")
+def alerts_stream(v: Views) -> DataFrame:
+    """Alerts from a stream of decisions, in append mode: rates, and holds over them, each with the watermark."""
+    return ntz(appended(v, {"decisions": decisions(v).select("timestamp", "approved")}, M.alerts_on_stream), "window_start")
