@@ -8,29 +8,82 @@ from tickscope.llm import toxicity
 LABELS = "doc_id long, toxic int, quality int, text string"
 
 
-def score(text):
-    scorer = toxicity.Scorer(toxicity.Model({"idiot": 4.0, "scum": 4.0, "kill": 3.0}, {}, (1.0, 1.0, 0.0, -4.0)))
-    return scorer.evidence(text)[0]
+def score(text, signs=frozenset()):
+    model = toxicity.Model({"idiot": 4.0, "scum": 4.0, "kill": 3.0, "grubl": 4.0}, {}, signs)
+    return toxicity.Scorer(model).evidence(text)[0]
 
 
-def test_grammar_reads_clauses_not_words():
-    assert score("you are an idiot") > score("an idiot") > score("somebody said an idiot") > 0
-    assert score("you are not an idiot") < score("you are an idiot")
-    assert score("it is not true and by the way you are an idiot") == score("x is y true and by the way you are an idiot")
-    assert score("you will be here. kill") < score("i kill you now and then you kill")
+def test_isolated_words_do_not_score():
+    assert score("an idiot") == score("kill") == score("they kill") == score("a calm text") == score("") == 0
+    assert score("grubl") == 0 < score("grubl", frozenset({"grubl"})) == score("an idiot", frozenset({"idiot"}))
+
+
+def test_patterns():
+    assert score("you are an idiot") == score("idiot that you are") > score("he is a piece of scum") - 1e-9 > 0
+    assert score("a piece of scum") > 0 and score("piece by piece it all went to scum") == 0
+    assert score("I will kill you") == score("i will you kill") > score("i kill you") > 0
+    assert score("you are x x x x x idiot") == score("idiot x x x x x you") == 0
+
+
+def test_negation_and_reported_speech():
+    assert 0 < score("you are not an idiot") < score("you are an idiot")
+    assert 0 < score("i will not kill you") < score("i will kill you")
+    assert 0 < score("somebody said you are an idiot") == score("you idiot he said") < score("you idiot")
     assert score("he said it. you idiot") == score("you idiot")  # reported speech ends with the clause
-    assert score("a calm text") == score("") == 0
+    assert score("you will be here. kill") == 0  # so does every pattern
+    assert score("it is not true and by the way you are an idiot") == score("x is y true and by the way you are an idiot")
+
+
+def one_after_another(symbols):
+    """Each transducer over the whole clause before the next one; (symbol, factor) per token."""
+    tape = [(s, 1.0) for s in symbols]
+    for rule, state in toxicity.PARTS:
+        written = []
+        for symbol, weight in tape:
+            state, out, factor = rule(state, symbol)
+            written.append((out, weight * factor))
+        tape = written
+    return tape
 
 
 def test_composition_is_the_same_as_one_after_the_other():
-    machine, rng = toxicity.grammar(), random.Random(0)
-    kinds = [toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER]
-    state, seen = machine.start, set()
-    for _ in range(3000):
-        state, out, factor = machine.step(state, rng.choice(kinds))
-        seen.add(state)
-        assert factor > 0 and out in kinds
-    assert len(seen) <= 4 * 2 * 2
+    kinds = [toxicity.INSULT, toxicity.THREAT, toxicity.SIGN, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.MODAL,
+             toxicity.HEAD, toxicity.OTHER, toxicity.OTHER]
+    machine, rng, seen = toxicity.grammar(), random.Random(0), set()
+    for _ in range(600):
+        clause = [rng.choice(kinds) for _ in range(rng.randint(0, 14))]
+        state, tape = machine.start, []
+        for symbol in clause:
+            state, out, factor = machine.step(state, symbol)
+            tape.append((out, factor))
+        assert tape == one_after_another(clause)
+        seen |= {out for out, _ in tape}
+    assert {toxicity.HIT, toxicity.HELD, toxicity.LATE, toxicity.BACK} <= seen
+
+
+def test_texts_score_as_their_clauses_do():
+    """Whole texts against the transducers one after another, with weights applied by hand."""
+    words = ["you", "idiot", "kill", "will", "not", "said", "piece", "of", "grubl", "x", "."]
+    model, rng = toxicity.Model({"idiot": 4.0, "kill": 3.0, "grubl": 2.0}, {}, frozenset({"grubl"})), random.Random(1)
+    scorer = toxicity.Scorer(model)
+    for _ in range(300):
+        tokens, wanted = [rng.choice(words) for _ in range(30)], []
+        for clause in " ".join(tokens).split("."):
+            total = held = 0.0
+            known = clause.split()
+            kinds = [toxicity.SIGN if w == "grubl" else toxicity.CLASS_OF.get(w, toxicity.OTHER) for w in known]
+            for w, (out, factor) in zip(known, one_after_another(kinds)):
+                if out == toxicity.HIT:
+                    total += model.weights[w] * factor
+                elif out == toxicity.HELD:
+                    held = model.weights[w] * factor
+                elif out == toxicity.LATE:
+                    total += held * factor
+                elif out == toxicity.BACK:
+                    total *= factor
+            if total:
+                wanted.append(total)
+        assert list(scorer.clauses(tokens)) == wanted
 
 
 def corpus(n=400):

@@ -23,12 +23,17 @@ THRESHOLD = 0.3
 
 # Classes of tokens, the tape alphabet of the grammar.
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
+SIGN, MODAL, HEAD = "sign", "modal", "head"  # a word that labels have shown to be hostile; "will"; "piece (of)"
+# Written by the transducers: a hostile word that a target precedes, a match, a word that waits for its target, its match, a damped clause.
+AIMED, HIT, HELD, LATE, BACK = "aimed", "hit", "held", "late", "back"
 WORDS = {
     INSULT: "idiot idiots stupid moron morons loser losers scum trash garbage pathetic worthless disgusting clown imbecile "
             "dumb filth vermin idiote stupide idiota estúpido estúpida basura dumm dummkopf abschaum",
     THREAT: "kill hurt destroy strangle stab töten umbringen tuer matar",
     TARGET: "you your yours yourself they them he him she her these those du dich dir ihr euch sie tu toi te vous ils "
             "elles tú ti usted ustedes ellos ellas",
+    MODAL: "will gonna going shall should must i'll we'll werde werden wirst sollst vais va allons voy vamos debes",
+    HEAD: "piece waste bag bunch pack load stück haufen tas montón",
     NEGATION: "not no never isn't aren't wasn't don't doesn't without nicht kein keine nie ne pas jamais nunca sin",
     REPORT: "said says called calls wrote quoted alleged reported claimed according sagte schrieb nannte laut dit disait "
             "selon dijo llamó según",
@@ -39,59 +44,107 @@ ENDS = frozenset(".!?;\n")
 
 
 class Transducer:
-    """A weighted finite-state transducer: (state, symbol) -> (next state, symbol written, factor)."""
+    """A weighted finite-state transducer, (state, symbol) -> (next state, symbol written, factor), by a rule over few
+    states. Arcs are kept once they were taken."""
 
-    def __init__(self, arcs: dict[tuple, tuple], start, rest: dict | None = None):
-        self.arcs, self.start, self.rest = arcs, start, rest or {}
+    def __init__(self, rule, start):
+        self.rule, self.start, self.arcs = rule, start, {}
 
     def step(self, state, symbol):
-        """Without an arc of its own, a symbol is copied; ``rest`` says where such a step leads."""
         found = self.arcs.get((state, symbol))
-        return found if found else (self.rest.get(state, state), symbol, 1.0)
+        if found is None:
+            found = self.arcs[state, symbol] = self.rule(state, symbol)
+        return found
 
-    def then(self, other: "Transducer") -> "Composition":
-        return Composition(self, other)
+    def then(self, other: "Transducer") -> "Transducer":
+        """The composition: what this one writes is read by the other; factors multiply."""
+        def rule(state, symbol):
+            a, middle, wa = self.step(state[0], symbol)
+            b, out, wb = other.step(state[1], middle)
+            return (a, b), out, wa * wb
 
+        return Transducer(rule, (self.start, other.start))
 
-class Composition(Transducer):
-    """What the first writes is read by the second; factors multiply. Steps are composed when first taken."""
 
-    def __init__(self, first: Transducer, second: Transducer):
-        super().__init__({}, (first.start, second.start))
-        self.first, self.second = first, second
+NEAR = 4  # tokens between the parts of a pattern, at most
 
-    def step(self, state, symbol):
-        found = self.arcs.get((state, symbol))
-        if found is None:
-            a, middle, wa = self.first.step(state[0], symbol)
-            b, out, wb = self.second.step(state[1], middle)
-            found = self.arcs[state, symbol] = ((a, b), out, wa * wb)
-        return found
 
+def target(left: int, symbol):
+    """Marks hostile words with a target in the tokens before them. The state counts the tokens the last target still covers."""
+    if symbol == TARGET:
+        return NEAR, TARGET, 1.0
+    after = max(0, left - 1)
+    return (after, (AIMED, symbol), 1.0) if left and symbol in (INSULT, THREAT, SIGN) else (after, symbol, 1.0)
 
-def grammar() -> Transducer:
-    """Negation, reported speech and target, in this order, over the classes of a clause.
 
-    A negation damps hostile words within the next three tokens. Hostile words behind a verb of reporting
-    belong to somebody else for the rest of the clause. A target before a hostile word makes it
-    directed; a threat without a target counts half.
-    """
-    hostile = (INSULT, THREAT)
-    scope = {(s, h): (s - 1, h, 0.25) for s in (1, 2, 3) for h in hostile}
-    scope |= {(s, NEGATION): (3, NEGATION, 1.0) for s in range(4)}
-    negation = Transducer(scope, 0, {1: 0, 2: 1, 3: 2})
-    reported = Transducer({("own", REPORT): ("other", REPORT, 1.0)} | {("other", h): ("other", h, 0.5) for h in hostile}, "own")
-    target = Transducer({("none", TARGET): ("aimed", TARGET, 1.0), ("none", THREAT): ("none", THREAT, 0.5)}
-                        | {("aimed", h): ("aimed", h, 1.5) for h in hostile}, "none")
-    return negation.then(reported).then(target)
+def insult(state: tuple[int, int], symbol):
+    """Matches "you ... idiot", "idiot ... you" and "piece of filth"; a word that labels have shown to be hostile matches alone.
+
+    The state counts the tokens in which a target or a word may still complete a pattern: (waiting insult, head)."""
+    waiting, head = (max(0, n - 1) for n in state)
+    if symbol in ((AIMED, INSULT), (AIMED, SIGN)):
+        return (0, 0), HIT, 1.5
+    if symbol == SIGN:
+        return (0, 0), HIT, 1.0
+    if symbol == INSULT:
+        return ((0, 0), HIT, 1.0) if state[1] else ((NEAR, 0), HELD, 1.0)
+    if symbol == HEAD:
+        return (waiting, 2), HEAD, 1.0
+    if symbol == TARGET and state[0]:
+        return (0, head), LATE, 1.5
+    return (waiting, head), symbol, 1.0
+
+
+def threat(state: tuple[int, int, bool], symbol):
+    """Matches "will ... kill ... you", "will ... you ... kill" and, with less weight, "kill ... you".
+
+    The state: tokens that a modal still covers, tokens in which a target completes the threat, whether a modal stood before it."""
+    covered, waiting, announced = state
+    after, wait = max(0, covered - 1), max(0, waiting - 1)
+    if symbol == MODAL:
+        return (NEAR, wait, announced), MODAL, 1.0
+    if symbol == (AIMED, THREAT) and covered:
+        return (after, 0, False), HIT, 1.5
+    if symbol in (THREAT, (AIMED, THREAT)):
+        return (after, NEAR, covered > 0), HELD, 1.0
+    if symbol in (TARGET, LATE) and waiting:
+        return (after, 0, False), LATE, 1.0 if symbol == LATE else 1.5 if announced else 0.75
+    return (after, wait, announced), symbol, 1.0
+
+
+def negation(left: int, symbol):
+    """Damps matches and waiting words in the three tokens behind a negation."""
+    if symbol == NEGATION:
+        return 3, NEGATION, 1.0
+    return max(0, left - 1), symbol, 0.25 if left and symbol in (HIT, HELD) else 1.0
+
+
+def reported(other: bool, symbol):
+    """Behind a verb of reporting, matches belong to somebody else for the rest of the clause; so do those before it."""
+    if symbol == REPORT:
+        return True, REPORT if other else BACK, 1.0 if other else 0.5
+    return other, symbol, 0.5 if other and symbol in (HIT, HELD) else 1.0
+
+
+PARTS = ((target, 0), (insult, (0, 0)), (threat, (0, 0, False)), (negation, 0), (reported, False))
+
+
+def grammar() -> Transducer:
+    """Target, insult, threat, negation and reported speech, composed in this order over the classes of a clause."""
+    first, *others = (Transducer(rule, start) for rule, start in PARTS)
+    for other in others:
+        first = first.then(other)
+    return first
 
 
 @dataclass
 class Model:
-    """Weights of words and stems, and of a document's evidence (with an offset) in its log odds."""
+    """Weights of words and stems, the words that labels have shown to be hostile on their own (all stems are), and weights of
+    a document's evidence (with an offset) in its log odds."""
 
     weights: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    signs: frozenset[str] = frozenset()
     line: tuple[float, ...] = (1.0, 1.0, 0.0, -4.0)
 
 
@@ -106,15 +159,18 @@ class Scorer:
     def _entry(self, word: str) -> tuple[str, float] | None:
         """Class and weight of a word that the grammar reads, None for others."""
         kind, weight = CLASS_OF.get(word), self.model.weights.get(word, 0.0)
+        if kind not in (None, INSULT, THREAT):
+            return kind, 0.0
+        shown = word in self.model.signs
         for n in STEMS:
-            if len(word) > n:
-                weight = max(weight, self.model.stems.get(word[:n], 0.0))
-        if kind in (None, INSULT, THREAT):
-            return (kind or INSULT, weight) if weight > 0 else None
-        return kind, 0.0
+            if len(word) > n and (stem := self.model.stems.get(word[:n], 0.0)) > 0:
+                weight, shown = max(weight, stem), True
+        if weight <= 0 or (kind is None and not shown):
+            return None
+        return SIGN if shown else kind, weight
 
     def clauses(self, tokens: list[str]) -> Iterator[float]:
-        """The score of each clause with a hostile word."""
+        """The score of each clause in which a pattern matches."""
         if len(self.known) > self.KNOWN:
             self.known = {}
         known = self.known
@@ -127,16 +183,22 @@ class Scorer:
             entries = [known[t] for t in tokens]
         if not any(e and e[1] for e in entries):
             return
-        state, score = self.machine.start, 0.0
+        state, score, held = self.machine.start, 0.0, 0.0
         for entry in [*entries, False]:
             if entry is False:
                 if score:
                     yield score
                 state, score = self.machine.start, 0.0
                 continue
-            state, _, factor = self.machine.step(state, entry[0] if entry else OTHER)
-            if entry:
+            state, out, factor = self.machine.step(state, entry[0] if entry else OTHER)
+            if out == HIT:
                 score += entry[1] * factor
+            elif out == HELD:
+                held = entry[1] * factor
+            elif out == LATE:  # the target of the last word that waited for one
+                score += held * factor
+            elif out == BACK:
+                score *= factor
 
     def evidence(self, text: str) -> tuple[float, float, float]:
         """The sum of the clause scores, the highest one, and the length of the text, in which words of a
@@ -192,9 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         F.col(id_col).alias("of")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("of"), "of").limit(sample) for k in (0, 1)]
     ids = stored(chosen[0].unionByName(chosen[1]))
-    # At most 2 * sample narrow rows: the bound that allows a broadcast.
+    # At most 2 * sample narrow rows: the bound that allows a broadcast. Of rows with one id the least text counts, so reruns agree.
     texts = stored(docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("text")).join(F.broadcast(ids), "of")
-                   .dropDuplicates(["of"]))
+                   .groupBy("of", "toxic").agg(F.min("text").alias("text")))
     sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     known = {w: PRIOR for w, kind in CLASS_OF.items() if kind in (INSULT, THREAT)}
     if len(sizes) < 2:
@@ -207,8 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     strong = ((F.col("pos") >= LEAST_CONTEXTS) & (F.col("sure") >= LEAST_WEIGHT)) | (
         F.col("form").isin(*known) & (F.col("pos") + F.col("neg") >= LEAST_CONTEXTS))
     rows = weighed.where(strong).collect()  # forms of the bounded sample
+    signs = frozenset(r.form for r in rows if r.pos >= LEAST_CONTEXTS and r.sure >= LEAST_WEIGHT and not r.form.endswith("-"))
     known |= {r.form: max(0.0, r.weight) for r in rows if not r.form.endswith("-")}
-    model = Model(known, {r.form[:-1]: r.weight for r in rows if r.form.endswith("-")})
+    model = Model(known, {r.form[:-1]: r.weight for r in rows if r.form.endswith("-")}, signs)
 
     def evidence(batches):
         scorer = Scorer(model)
