@@ -9,6 +9,7 @@ from tickscope.functions import pricing
 from tickscope.functions.names import base_name, version
 from tickscope.functions.pricing import half_even, to_cents
 from tickscope.operators.joins import lookup
+from tickscope.operators.search import matching_items
 
 LIVE_SOURCE = "skinport"
 
@@ -137,14 +138,15 @@ def sticker_price(
     )
 
 
-def search_baselines(items: DataFrame, baselines: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def search_baselines(items: DataFrame, baselines: DataFrame, query: str, limit: int = 10,
+                     postings: DataFrame | None = None) -> DataFrame:
     """Baselines of the first ``limit`` items (by name) whose name contains ``query``, any case.
 
-    ``%`` and ``_`` in the query act as wildcards. The cut comes before items without a
+    ``%`` and ``_`` in the query act as wildcards. With ``postings`` (``search.name_postings``) only names with the
+    query's trigrams are looked at. The cut comes before items without a
     baseline are left out, and before the join.
     """
     fields = ["drift_percent", "volatility_cents", "avg_volume_30d", "support_floor_cents", "latest_price_cents"]
-    matching = F.lower("market_hash_name").like(f"%{query.lower()}%") if query else F.lit(False)
-    top = items.filter(matching).orderBy("market_hash_name").limit(limit)
+    top = matching_items(items, query, postings).orderBy("market_hash_name").limit(limit)
     chosen = top.select(F.col("id").alias("item_id"), "market_hash_name")
     return baselines.select("item_id", *fields).join(F.broadcast(chosen), "item_id").select("market_hash_name", *fields)

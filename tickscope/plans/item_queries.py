@@ -7,6 +7,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -17,9 +18,10 @@ from tickscope.functions import names, pricing
 from tickscope.operators import baselines as B
 from tickscope.operators import context as C
 from tickscope.operators import quality as Q
+from tickscope.operators import search as S
 from tickscope.operators.ingest import upsert_items as register_names
 from tickscope.plans.registry import Views, query
-from tickscope.session import ensure_checkpoint_dir
+from tickscope.session import ensure_checkpoint_dir, stored
 from tickscope.sources import history as H
 from tickscope.sources.tables import append_table, read_table
 
@@ -446,3 +448,22 @@ def resolve_items(v: Views) -> DataFrame:
     FROM macro JOIN top ON top.id = item_id""")
 def search_baselines(v: Views) -> DataFrame:
     return C.search_baselines(v.items, B.macro_baselines(v.part_history, TIES), "Knife")
+
+
+SEARCHES = ["Knife", "glo%es | b", "phase _) (f", "e_1", "k", "no such name"]
+
+
+@query("search_postings", f"""
+    WITH {PART_MACRO}, found AS (
+      SELECT s.query, i.id, i.market_hash_name,
+             row_number() OVER (PARTITION BY s.query ORDER BY i.market_hash_name) AS place
+      FROM (SELECT unnest({SEARCHES}) AS query) AS s
+      JOIN fx_items AS i ON lower(i.market_hash_name) LIKE '%' || lower(s.query) || '%')
+    SELECT query, market_hash_name, drift_percent, volatility_cents, avg_volume_30d, support_floor_cents, latest_price_cents
+    FROM macro JOIN found ON found.id = item_id WHERE place <= 10""")
+def search_postings(v: Views) -> DataFrame:
+    """Searches over stored trigram postings: wildcards inside, and patterns too short for a trigram."""
+    postings = stored(S.name_postings(v.items))
+    baselines = stored(B.macro_baselines(v.part_history, TIES))
+    found = [C.search_baselines(v.items, baselines, q, postings=postings).withColumn("query", F.lit(q)) for q in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
