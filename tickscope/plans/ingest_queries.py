@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tickscope.operators import ingest as I
 from tickscope.operators import monitoring as M
 from tickscope.plans.item_queries import ntz
 from tickscope.plans.registry import Views, query
-from tickscope.session import stored
+from tickscope.session import ensure_checkpoint_dir, stored
 from tickscope.sources import listings as L
 
 CHUNK = 500
@@ -294,13 +296,15 @@ def replay_dead_letters(v: Views) -> DataFrame:
     return replayed(v).remaining.select("record_id")
 
 
-@query("listing_ticks", """
+LISTED_SQL = """
     SELECT p.market_hash_name, CAST(t.price_cents AS DOUBLE) / 100 AS price_usd, t.price_cents, float_value,
            CAST(len(stickers) AS BIGINT) AS n_stickers
     FROM fx_ticks AS t JOIN fx_parts AS p ON p.part_id = t.item_id
-    WHERE marketplace_source <> 'purchase' AND k <> 0""")
-def listing_ticks(v: Views) -> DataFrame:
-    """Ticks written as listing messages and read back; sales events and unnamed ones drop out."""
+    WHERE marketplace_source <> 'purchase' AND k <> 0"""
+
+
+def listing_messages(v: Views) -> DataFrame:
+    """``value``: the ticks as listing messages; some are of sales, some without a name."""
     sale = F.struct(
         F.when(F.col("k") == 0, F.lit("")).otherwise(F.col("base_name")).alias("marketHashName"),
         F.col("price_cents").alias("salePrice"), F.col("float_value").alias("wear"), "stickers",
@@ -309,18 +313,43 @@ def listing_ticks(v: Views) -> DataFrame:
     event = F.when(F.col("marketplace_source") == "purchase", F.lit("sold")).otherwise(F.lit("listed"))
     parts = v.parts.select(F.col("part_id").alias("item_id"), "base_name", "phase")
     message = F.to_json(F.struct(event.alias("eventType"), F.array(sale).alias("sales")))
-    messages = v.ticks.join(parts, "item_id").select(message.alias("value"))
-    read = L.listing_ticks(messages, F.lit(0))
-    return read.select("market_hash_name", "price_usd", "price_cents", "float_value",
-                       F.size("stickers").cast("bigint").alias("n_stickers"))
+    return v.ticks.join(parts, "item_id").select(message.alias("value"))
 
 
-@query("snapshot_ticks", """
+LISTED_COLUMNS = ["market_hash_name", "price_usd", "price_cents", "float_value"]
+
+
+@query("listing_ticks", LISTED_SQL)
+def listing_ticks(v: Views) -> DataFrame:
+    """Ticks written as listing messages and read back; sales events and unnamed ones drop out."""
+    return L.listing_ticks(listing_messages(v), F.lit(0)).select(
+        *LISTED_COLUMNS, F.size("stickers").cast("bigint").alias("n_stickers"))
+
+
+SNAPSHOT_SQL = """
     SELECT market_hash_name, p_retailprice AS price_usd, CAST(round_even(p_retailprice * 100, 0) AS BIGINT) AS price_cents
-    FROM fx_parts WHERE p_size > 1""")
-def snapshot_ticks(v: Views) -> DataFrame:
-    entries = v.parts.select(
+    FROM fx_parts WHERE p_size > 1"""
+
+
+def snapshot_entries(v: Views) -> DataFrame:
+    return v.parts.select(
+        "part_id",
         F.col("base_name").alias("market_hash_name"), F.col("phase").alias("version"),
         F.when(F.col("p_size") > 1, F.col("p_retailprice")).alias("min_price"),
     )
-    return L.snapshot_ticks(entries, F.lit(0)).select("market_hash_name", "price_usd", "price_cents")
+
+
+@query("snapshot_ticks", SNAPSHOT_SQL)
+def snapshot_ticks(v: Views) -> DataFrame:
+    return L.snapshot_ticks(snapshot_entries(v), F.lit(0)).select("market_hash_name", "price_usd", "price_cents")
+
+
+@query("read_snapshots", SNAPSHOT_SQL)
+def read_snapshots(v: Views) -> DataFrame:
+    """Snapshot files, each a JSON list of at most 500 entries, through the reader."""
+    ensure_checkpoint_dir(v.spark)
+    folder = f"{v.spark.sparkContext.getCheckpointDir()}/snapshots/{uuid.uuid4().hex}"
+    entry = F.struct("market_hash_name", "version", "min_price")
+    lists = snapshot_entries(v).groupBy(F.floor(F.col("part_id") / 500).alias("file")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    lists.write.partitionBy("file").text(folder)
+    return L.read_listing_snapshot(v.spark, folder, F.lit(0)).select("market_hash_name", "price_usd", "price_cents")

@@ -112,6 +112,18 @@ def monthly_seasonality(v: Views) -> DataFrame:
     return B.monthly_seasonality(v.history)
 
 
+@query("seasonality_maps", """
+    SELECT item_id, month, mean_price_cents, count(*) OVER (PARTITION BY item_id) AS months FROM (
+      SELECT item_id, CAST(month(sale_date) AS BIGINT) AS month, avg(median_price_cents) AS mean_price_cents
+      FROM fx_history GROUP BY ALL)""")
+def seasonality_maps(v: Views) -> DataFrame:
+    """The seasonality as one map per item, taken apart again for the comparison."""
+    months = F.col("monthly_seasonality")
+    return B.seasonality_maps(v.history).select(
+        "item_id", F.size(months).cast("bigint").alias("months"), F.explode(months).alias("month", "mean_price_cents")
+    ).withColumn("month", F.col("month").cast("bigint"))
+
+
 @query("top_drift", f"""
     WITH {MACRO} SELECT item_id, drift_percent FROM macro ORDER BY drift_percent DESC, item_id LIMIT 1""")
 def top_drift(v: Views) -> DataFrame:

@@ -13,10 +13,11 @@ from tickscope.operators import monitoring as M
 from tickscope.operators.dedup import flag_duplicates
 from tickscope.operators.ingest import chunk_batches
 from tickscope.plans.fixtures import SPLIT
-from tickscope.plans.ingest_queries import CHUNK, CHUNKS, ntz
+from tickscope.plans.ingest_queries import CHUNK, CHUNKS, LISTED_COLUMNS, LISTED_SQL, listing_messages, ntz
 from tickscope.plans.registry import Views, query
 from tickscope.plans.tick_queries import DECIDE, DECISION_COLUMNS, DETECT, SLIDING, decisions, published, timed
 from tickscope.session import ensure_checkpoint_dir, stored
+from tickscope.sources import listings
 from tickscope.sources.tables import epochs_before
 from tickscope.streaming.carried import no_state, start_carried_path
 from tickscope.streaming.hot_path import start_hot_path
@@ -221,3 +222,17 @@ def activity_stream(v: Views) -> DataFrame:
 def alerts_stream(v: Views) -> DataFrame:
     """Alerts from a stream of decisions, in append mode: rates, and holds over them, each with the watermark."""
     return ntz(appended(v, {"decisions": decisions(v).select("timestamp", "approved")}, M.alerts_on_stream), "window_start")
+
+
+@query("listing_stream", LISTED_SQL)
+def listing_stream(v: Views) -> DataFrame:
+    """Files of listing messages through the stream reader, two files per micro-batch; broken lines are skipped."""
+    root = scratch(v)
+    messages = listing_messages(v)
+    broken = messages.filter("value LIKE '%sold%'").select(F.expr("substring(value, 1, length(value) - 2)").alias("value"))
+    messages.unionByName(broken).write.text(f"{root}/in")
+    read = listings.read_listing_stream(v.spark, f"{root}/in", F.lit(0), files_per_trigger=2)
+    (read.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start(f"{root}/out").awaitTermination())
+    return v.spark.read.schema(read.schema).parquet(f"{root}/out").select(
+        *LISTED_COLUMNS, F.size("stickers").cast("bigint").alias("n_stickers"))
