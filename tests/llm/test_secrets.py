@@ -61,3 +61,32 @@ def test_redaction(documents):
 def test_digest():
     spans = [{"kind": "hex", "start": 1, "end": 3}, {"kind": "more", "start": 2, "end": 4}]
     assert secrets.span_digest(spans, {"hex"}) == hashlib.sha256(b"hex:1:3").hexdigest()
+
+
+def test_postings_equal_a_search_of_every_text(monkeypatch):
+    monkeypatch.setattr(secrets, "SLICE", 16)  # trigrams across slices are not lost
+    texts = [*random_texts()[:200], "", "ab", "abc", "\x00\x00\x00", "éé", "AKİA", "x" * 50]
+    segment = secrets.Segment(texts)
+    wanted = set().union(*(secrets.query_trigrams(secrets.trigram_query(r.pattern))
+                           for r in secrets.BASE_RULES + secrets.MORE_RULES)) | {"abc", "xxx", "\n  ", "zzz"}
+    lowered = [t.translate({c: c + 32 for c in range(65, 91)}) for t in texts]
+    for trigram in wanted:
+        assert segment.posting(trigram) == {i for i, t in enumerate(lowered) if trigram in t}
+    assert segment.posting("aéb") == set(range(len(texts)))
+    assert secrets.Segment([]).posting("abc") == frozenset()
+
+
+def test_added_rules_equal_a_full_scan(documents):
+    rng = random.Random(11)
+    parts = ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "ghx_", "a1B2" * 9, "xoxb-", "xoxq-", "1234567890-", "AIza",
+             "Zz_-9" * 7, "eyJ", "eyJhbGciOiJI", ".", "sig_nature", " ", "é", "AIZA", "Ghp_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    texts += ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1B2" * 9, "xoxb-1234567890-", "AIza" + "Zz_-9" * 7,
+              "eyJhbGciOiJI.eyJhbGciOiJI.sig_nature"]
+    seen = set()
+    for row in secrets.find_secrets(documents(list(enumerate(texts)))).collect():
+        for rule in secrets.MORE_RULES:
+            got = [(s.start, s.end) for s in row.spans if s.kind == rule.kind]
+            assert got == [m.span() for m in re.finditer(rule.pattern, texts[row.doc_id], re.ASCII)]
+            seen |= {rule.kind} if got else set()
+    assert seen == {r.kind for r in secrets.MORE_RULES}

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from re import _constants as op
 from re import _parser as regex_parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,22 +120,50 @@ def query_trigrams(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(query_trigrams, query[1]))
 
 
+# Bytes of a lower-cased text: ASCII letters in lower case, all bytes of other characters as 0.
+LOWERED = bytes(ord(chr(b).lower()) if b < 128 else 0 for b in range(256))
+SLICE = 1 << 20  # bytes whose trigrams are collected at a time
+
+
+def _codes(data: bytes) -> np.ndarray:
+    """Codes of the trigrams of lowered bytes: seven bits a byte."""
+    at = np.frombuffer(data, np.uint8).astype(np.int32)
+    return at[:-2] << 14 | at[1:-1] << 7 | at[2:]
+
+
+def _distinct(text: str) -> np.ndarray:
+    """Codes of the different trigrams of a whole text, collected in slices that overlap by two bytes."""
+    data = text.encode().translate(LOWERED)
+    parts = [np.unique(_codes(data[i:i + SLICE + 2])) for i in range(0, len(data) - 2, SLICE)]
+    if not parts:
+        return np.empty(0, np.int32)
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
 class Segment:
-    """The inverted index of one batch of texts: postings of the trigrams that the rules ask for."""
+    """The inverted index of one batch of texts: for each trigram that occurs, the rows that hold it.
+
+    Each text is passed over once; the pairs (trigram, row) are then sorted by trigram, so a posting is a slice.
+    """
 
     def __init__(self, texts: list[str]):
-        self.lowered = [t.lower() for t in texts]
-        self.postings: dict[str, frozenset[int]] = {}
+        own = [_distinct(t) for t in texts]
+        trigrams = np.concatenate([np.empty(0, np.int32), *own])
+        rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(o) for o in own])
+        order = np.argsort(trigrams, kind="stable")
+        self.size, self.trigrams, self.rows = len(texts), trigrams[order], rows[order]
 
     def posting(self, trigram: str) -> frozenset[int]:
-        if trigram not in self.postings:
-            self.postings[trigram] = frozenset(i for i, t in enumerate(self.lowered) if trigram in t)
-        return self.postings[trigram]
+        if not trigram.isascii():  # no such trigrams are indexed; any text may hold it
+            return frozenset(range(self.size))
+        code = _codes(trigram.encode())[0]
+        first, last = np.searchsorted(self.trigrams, [code, code + 1])
+        return frozenset(self.rows[first:last].tolist())
 
     def candidates(self, query) -> frozenset[int]:
         """Rows that satisfy the query; every row for a rule without mandatory trigrams."""
         if query is None:
-            return frozenset(range(len(self.lowered)))
+            return frozenset(range(self.size))
         if isinstance(query, str):
             return self.posting(query)
         connective, parts = query
@@ -172,8 +201,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     """Every secret of every whole text: ``doc_id, spans: array<struct<kind, start, end>>``, one row per input row.
 
     Spans count code points, end exclusive, ordered by start and then rule. Each Arrow batch is a
-    segment with its own inverted index of the trigrams in the rules' queries; postings are combined
-    and only candidate texts are searched. A rule without mandatory trigrams searches every text. The
+    segment with its own inverted index of all trigrams in its texts; the postings that the rules' queries name
+    are combined and only candidate texts are searched. A rule without mandatory trigrams searches every text. The
     result does not depend on segments: the queries are implied by the patterns.
 
     A null or empty text has no spans; null ids and repeated rows are kept as they are. Nothing is
