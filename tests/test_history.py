@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tickscope.operators import quality as Q
 from tickscope.operators.ingest import upsert_items
+from tickscope.operators.joins import lookup
 from tickscope.sources import history as H
 from tickscope.sources import tables
 
@@ -142,3 +143,35 @@ def test_needed_columns_in_any_place(spark, tmp_path, further):
     assert load.rejected_files.count() == 0
     assert sorted((r.file_name, r.median_price_cents, r.volume_sold) for r in load.accepted.collect()) == [
         ("usual.csv", 250, 4), ("wide.csv", 1050, 3)]
+
+
+def test_lines_are_cut_as_a_csv_reader_does(spark):
+    lines = ['a,b,c', 'a,"b,c",d', '"a ""quoted"" one",2', ',,', '"",x', '"open,2', 'mid"dle,3', '"a"b,4', 'é,"ß,"']
+    expected = [["a", "b", "c"], ["a", "b,c", "d"], ['a "quoted" one', "2"], ["", "", ""], ["", "x"], ['"open', "2"],
+                ['mid"dle', "3"], ['"a"b', "4"], ["é", "ß,"]]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id INT, line STRING").select("id", H.cells_of(F.col("line")).alias("c"))
+    assert [r.c for r in rows.orderBy("id").collect()] == expected
+
+
+def test_headers_in_any_order_and_one_scan_of_the_files(spark, tmp_path):
+    wide = ",".join(f"x{k}" for k in range(40))
+    (tmp_path / "a.csv").write_text(f"{wide},quantity,price,unix timestamp,name\n" + f"{wide},3,10.5,1700000000,n\n\n" * 2)
+    (tmp_path / "b.csv").write_text('price,"name", quantity,unix timestamp\n1,"x, y",2,1700000060\n')
+    # a later line that holds the four names in another order does not move the columns
+    (tmp_path / "c.csv").write_text(HEADER + "c,1700000000,4,1\nprice,name,quantity,unix timestamp\n")
+    raw = H.read_history_csv(spark, str(tmp_path))
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" not in plan  # both passes of load_history read the table of cells
+    assert raw.filter("is_header").groupBy("file_name").count().count() == 3
+    load = H.load_history(raw)
+    rows = load.accepted.select("file_name", "median_price_cents", "volume_sold").collect()
+    assert sorted(map(tuple, rows)) == [("a.csv", 1050, 3), ("a.csv", 1050, 3), ("b.csv", 100, 2)]
+    assert [r.file_name for r in load.rejected_files.collect()] == ["c.csv"]
+
+
+def test_many_unusual_headers_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"f{k}.csv").write_text(f"price,name,quantity,unix timestamp\n{k + 1},n,2,1700000000\n")
+    monkeypatch.setattr(H, "lookup", lambda *a, **b: lookup(*a, **b, rows=2, hot_keys=1))
+    rows = H.clean_history(H.read_history_csv(spark, str(tmp_path))).collect()
+    assert sorted(r.median_price_cents for r in rows) == [100 * (k + 1) for k in range(6)]

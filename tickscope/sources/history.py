@@ -35,40 +35,51 @@ def with_identity(files: DataFrame) -> DataFrame:
     return named.withColumn("item_type", item_type(F.col("market_hash_name")))
 
 
-def widest_header(spark: SparkSession, folder: str) -> int:
-    """Cells of the widest header that holds the four names, at most; commas inside quotes count as well."""
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
-    titles = F.transform(F.split("value", ","), lambda t: F.trim(F.regexp_replace(t, '"', "")))
-    headers = lines.filter(F.forall(F.array(*map(F.lit, schemas.HISTORY_COLUMNS)), lambda c: F.array_contains(titles, c)))
-    return max(len(schemas.HISTORY_COLUMNS), headers.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 0)
+# A cell of a line with quotes, after its comma: quoted up to the next comma or the end, or as it stands.
+CELL = r',("[^"]*+(?:""[^"]*+)*+"(?=,|$)|[^,]*+)'
+
+
+def cells_of(line: Column) -> Column:
+    """The cells of a line of CSV, as many as it has; a doubled quote within quotes stands for one.
+
+    A quote that nothing closes before a comma or the end is a plain character.
+    """
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    plain = F.transform(quoted, lambda c: F.when(c.rlike('(?s)^".*"$'), inner(c)).otherwise(c))
+    return F.when(line.contains('"'), plain).otherwise(F.split(line, ","))
 
 
 def read_history_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of all files, as text, with the item identity.
+    """Rows of all files, as text, with the item identity; the files are scanned once.
 
-    The header is read as a row and marked in ``is_header``: files without the four names in it
-    can then be told apart without a second pass. Columns are addressed by these names: files with another order
-    or further columns are told from their headers, and only their places are joined. How many cells
-    are read follows the widest header, which a pass before finds.
+    That scan cuts each line into its cells and writes them as a table, with the places of the four names where a line
+    holds them all. The header of a file is the first such line of its first block; its places are
+    looked up for the files in which they are unusual. Columns may stand anywhere and lines may have any number of cells.
+    The header stays a row, marked in ``is_header``: files without the four names can then be told apart without
+    a second pass. Blank lines are skipped; a missing cell at the end of a line is null.
     """
-    widest = widest_header(spark, folder)
-    cells = [f"c{k}" for k in range(widest)]
-    raw = (
-        spark.read.schema(", ".join(f"{c} STRING" for c in cells))
-        .option("header", False)
-        .option("pathGlobFilter", "*.csv")
-        .option("maxColumns", max(20_480, widest))
-        .csv(folder)
-        .select(F.array(*cells).alias("_cells"), F.expr("url_decode(replace(_metadata.file_name, '+', '%2B'))").alias("file_name"))
+    value = F.col("value")
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv").text(folder)
+        .filter(value.rlike(r"[^\x00-\x20]"))
+        .select(
+            cells_of(value).alias("_cells"),
+            (F.col("_metadata.file_block_start") == 0).alias("_first_block"),
+            F.expr("url_decode(replace(_metadata.file_name, '+', '%2B'))").alias("file_name"),
+            F.monotonically_increasing_id().alias("_line"),  # ascends within a block
+        )
     )
     titles = F.transform("_cells", lambda t: F.trim(t))  # F.trim itself would take the place as its second argument
-    places = [F.array_position(titles, c).cast("int") for c in schemas.HISTORY_COLUMNS]
-    usual = range(1, len(places) + 1)
+    places = F.array(*[F.array_position(titles, c).cast("int") for c in schemas.HISTORY_COLUMNS])
+    may_be = F.forall(F.array(*map(F.lit, schemas.HISTORY_COLUMNS)), lambda c: F.array_contains(titles, c))
+    table = stored(lines.withColumn("_places", F.when(F.col("_first_block") & may_be, places)))
+    usual = range(1, len(schemas.HISTORY_COLUMNS) + 1)
     # one row per file with an unusual header
-    odd = raw.select("file_name", F.array(*places).alias("_places")).filter(
-        ~F.exists("_places", lambda p: p == 0) & (F.col("_places") != F.array(*map(F.lit, usual)))
-    ).groupBy("file_name").agg(F.min("_places").alias("_places"))
-    placed = raw.join(odd, "file_name", "left")
+    odd = table.filter(F.col("_places").isNotNull()).groupBy("file_name").agg(
+        F.min_by("_places", "_line").alias("_places")
+    ).filter(F.col("_places") != F.array(*map(F.lit, usual)))
+    placed = lookup(table.select("file_name", "_cells"), odd, "file_name", derived=True)
     named = [
         F.get("_cells", F.coalesce(F.get("_places", F.lit(k)), F.lit(k + 1)) - 1).alias(c)
         for k, c in enumerate(schemas.HISTORY_COLUMNS)
