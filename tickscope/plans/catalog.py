@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from tickscope.plans import (  # noqa: F401
+    function_queries,
     ingest_queries,
     item_queries,
     stream_queries,
