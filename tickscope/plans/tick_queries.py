@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickscope.functions import scoring, wear
 from tickscope.operators import anomaly as A
 from tickscope.operators import baselines as B
+from tickscope.operators import colocated as CO
 from tickscope.operators import context as C
 from tickscope.operators import monitoring as M
 from tickscope.operators.dedup import dedup_ticks as accepted_ticks
@@ -345,3 +346,23 @@ def confirmation_rate(v: Views) -> DataFrame:
 def alerts(v: Views) -> DataFrame:
     found = timed(decisions(v))
     return ntz(M.alerts(M.anomaly_rates(found), M.confirmation_rate(found)), "window_start")
+
+
+@query("colocated_lookups", f"""
+    WITH {macro_sql("fx_sales", "id")}
+    SELECT t.id, t.item_id, i.market_hash_name, i.item_type, t.price_cents, m.latest_price_cents, m.support_floor_cents,
+           t.price_cents - m.latest_price_cents AS premium_cents
+    FROM fx_named_ticks AS t LEFT JOIN fx_items AS i ON i.id = t.item_id AND i.item_type <> 'Glove'
+    LEFT JOIN macro AS m ON m.item_id = t.item_id""")
+def colocated_lookups(v: Views) -> DataFrame:
+    """Ticks with their item and baseline, from tables in buckets of the item; gloves are left out of the items."""
+    ticks = v.named_ticks.select("id", "item_id", "price_cents")
+    layout = CO.layout_for(ticks, "item_id")
+    items = v.items.filter("item_type <> 'Glove'").select(F.col("id").alias("item_id"), "market_hash_name", "item_type")
+    macro = B.macro_baselines(v.sales, ["id"]).select("item_id", "latest_price_cents", "support_floor_cents")
+    named = CO.colocated(CO.bucketed_facts(ticks, layout), CO.bucketed_lookup(items, layout), layout)
+    joined = CO.colocated(named, CO.bucketed_lookup(macro, layout), layout)
+    return joined.select(
+        "id", "item_id", "market_hash_name", "item_type", "price_cents", "latest_price_cents", "support_floor_cents",
+        (F.col("price_cents") - F.col("latest_price_cents")).alias("premium_cents"),
+    )
