@@ -90,3 +90,26 @@ def test_sequences_have_equal_length_and_masks(documents):
         assert sum(m for mask in table.column("mask").to_pylist() for m in mask) == row.n_tokens
     empty = token_files.write_token_files(documents([]), tokenizer_path(BYTE), 2)
     assert token_files.read_token_files(empty, "bigint").collect() == []
+
+
+@pytest.mark.parametrize("text_leaf", [1, 7, 64])
+def test_long_texts_are_cut_anywhere_and_joined(documents, messy, text_leaf):
+    rows = [*messy, *((100 + k, t) for k, t in enumerate(odd_texts())), (100, "a repeated id " * 9)]
+    rows = [(i, t if t is None or len(t) < 9000 else t[:9000]) for i, t in rows]
+    tokenizer = library(WORD)
+    wanted = sorted((i is not None, i or 0, tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in rows)
+    docs = documents(rows)
+    encoded = bpe_tree.encode_documents(docs, tokenizer_path(WORD), leaf=400, text_bytes=40, text_leaf=text_leaf)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in encoded.collect()) == wanted
+    whole = bpe_tree.round_trip_digests(docs, tokenizer_path(WORD), text_bytes=1 << 30).collect()
+    cut = bpe_tree.round_trip_digests(docs, tokenizer_path(WORD), text_bytes=40, text_leaf=text_leaf).collect()
+    assert sorted(map(str, cut)) == sorted(map(str, whole))
+
+
+def test_parts_join_in_any_cut():
+    codec, rng, tokenizer = bpe_tree.Codec(tokenizer_path(WORD), 2048), random.Random(6), library(WORD)
+    for text in odd_texts():
+        places = sorted(rng.sample(range(len(text) + 1), min(len(text), rng.randint(0, 12))))
+        pieces = [text[a:b] for a, b in zip([0, *places], [*places, len(text)])]
+        joined = bpe_tree.join_parts(codec, bpe_tree.leaf_parts(codec, pieces))
+        assert np.frombuffer(joined, np.int32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids

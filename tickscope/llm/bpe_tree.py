@@ -1,4 +1,8 @@
-"""BPE encoding and decoding; long unsplit text is encoded in halves that are joined up a tree.
+"""BPE encoding and decoding; long texts and long unsplit text are encoded in parts that are joined up a tree.
+
+Long texts are cut at any character into leaves, which are encoded in parallel. Around each join a window grows, over
+whole leaves if it must, until it ends at a space on both sides; pieces between spaces are encoded alone, so both
+sides agree there exactly. A piece without a space that is itself long is cut into leaves as well:
 
 Joining rests on a property of byte-pair encodings: a token sequence is the encoding of its text if and
 only if each two neighbours are the encoding of theirs. So when a window around a join is encoded
@@ -23,6 +27,8 @@ from tickscope.llm.common import bounded_batches, map_cells, stored
 from tickscope.llm.pieces import PieceCache, load_tokenizer
 
 LEAF = 2048  # characters of a leaf; a pre-token with more is split
+TEXT_BYTES = 16_384  # a text with more is cut into leaves of TEXT_LEAF characters
+TEXT_LEAF = 4096
 WINDOW = 4  # tokens on each side of a join at first
 
 
@@ -125,7 +131,97 @@ def _id_type(docs: DataFrame, id_col: str) -> str:
 
 def _long(text, leaf: int):
     """The text holds more than ``leaf`` characters without a space between them."""
-    return text.rlike(f"(^| )[^ ]{{{leaf + 1}}}")
+    return (F.octet_length(text) > leaf) & text.rlike(f"(^| )[^ ]{{{leaf + 1}}}")
+
+
+def _pick(rows: DataFrame, which: str, leaf: int, text_bytes: int) -> DataFrame:
+    """The rows that take one of three ways: ``whole``, ``cut`` (long texts) or ``deep`` (long unsplit text in them)."""
+    deep, cut = _long(F.col("text"), leaf), F.octet_length("text") > text_bytes
+    return rows.where({"deep": deep, "cut": cut & ~deep, "whole": ~deep & ~cut}[which])
+
+
+# Part of a text: (text before its first space, ids of its pieces, text behind its last space); the
+# last is None where it has no space, and all of it stands in the first.
+Part = tuple[str, list[bytes], str | None]
+
+
+def leaf_parts(codec: Codec, texts: list[str]) -> list[Part]:
+    cuts = []
+    for text in texts:
+        spaced = text.replace("\n", " ")
+        cuts.append((text, spaced.find(" "), spaced.rfind(" ")))
+    encoded = codec.simple([t[a:b] if a >= 0 else "" for t, a, b in cuts])
+    return [(t[:a], [ids], t[b + 1:]) if a >= 0 else (t, [], None) for (t, a, b), (ids, _, _) in zip(cuts, encoded)]
+
+
+def join_parts(codec: Codec, parts: list[Part]) -> bytes:
+    """Ids of a whole text from its parts in order, joined in pairs level by level."""
+    while len(parts) > 1:
+        pairs = list(zip(parts[::2], parts[1::2]))
+        # the text around each join, up to a space on both sides; where a side has none, it grows on the next level
+        closed = [a[2] is not None and b[2] is not None for a, b in pairs]
+        windows = codec.simple([a[2] + b[0] for (a, b), known in zip(pairs, closed) if known])
+        joined: list[Part] = []
+        for (a, b), known in zip(pairs, closed):
+            if known:
+                joined.append((a[0], [*a[1], next(windows)[0], *b[1]], b[2]))
+            elif a[2] is None:
+                joined.append((a[0] + b[0], b[1], b[2]))
+            else:
+                joined.append((a[0], a[1], a[2] + b[0]))
+        parts = joined + parts[2 * len(pairs):]
+    if not parts:
+        return b""
+    head, ids, tail = parts[0]
+    first, last = codec.simple([head, tail or ""])
+    return b"".join([first[0], *ids, last[0]])
+
+
+def encode_cut(rows: DataFrame, tokenizer_path: str, leaf: int = LEAF, text_leaf: int = TEXT_LEAF) -> DataFrame:
+    """``doc_id, ids`` of texts cut at any character into leaves, which are dealt over all tasks and encoded in parallel.
+
+    One row per input row; repeated and null ids are kept apart by their place in the scan. No stretch without a space
+    in the texts may exceed ``leaf`` characters.
+    """
+    kind = _id_type(rows, "doc_id")
+    at = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+    def cut(batches):
+        for batch in batches:
+            source, nodes, texts = [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                for node, start in enumerate(range(0, len(text), text_leaf)):
+                    source.append(k)
+                    nodes.append(node)
+                    texts.append(text[start:start + text_leaf])
+            own = batch.take(pa.array(source, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [own.column("row"), own.column("doc_id"), pa.array(nodes, pa.int32()), pa.array(texts, pa.string())],
+                ["row", "doc_id", "node", "text"])
+
+    def encode(batches):
+        codec = shared_codec(tokenizer_path, leaf)
+        for batch in batches:
+            heads, ids, tails = zip(*leaf_parts(codec, batch.column("text").to_pylist())) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("row", "doc_id", "node")), pa.array(heads, pa.string()),
+                 pa.array([b"".join(i) for i in ids], pa.binary()), pa.array(tails, pa.string())],
+                ["row", "doc_id", "node", "head", "ids", "tail"])
+
+    def join(batches):
+        codec = shared_codec(tokenizer_path, leaf)
+        for batch in batches:
+            ids = [np.frombuffer(join_parts(codec, [(p["head"], [p["ids"]], p["tail"]) for p in parts]), np.int32)
+                   for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    leaves = at.mapInArrow(cut, f"row bigint, doc_id {kind}, node int, text string").repartition("row", "node")
+    encoded = leaves.mapInArrow(encode, f"row bigint, doc_id {kind}, node int, head string, ids binary, tail string")
+    # the leaves of one text, whose ids make one row in the end
+    whole = encoded.groupBy("row").agg(
+        F.any_value("doc_id").alias("doc_id"),
+        F.array_sort(F.collect_list(F.struct("node", "head", "ids", "tail"))).alias("parts"))
+    return whole.select("doc_id", "parts").mapInArrow(join, f"doc_id {kind}, ids array<int>")
 
 
 def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col: str = "doc_id",
@@ -199,12 +295,13 @@ def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", text_bytes: int = TEXT_BYTES, text_leaf: int = TEXT_LEAF) -> DataFrame:
     """``doc_id, ids`` of every whole text, one row per input row, as the tokenizers library encodes.
 
-    Texts whose space-delimited pieces all fit in a leaf are encoded piece by piece where they are read;
-    texts with longer unsplit pieces take the tree of ``encode_long``. A null or empty text has no ids;
-    null ids and repeated rows are kept, other columns are ignored. No key is shuffled but leaves of long texts.
+    Short texts are encoded piece by piece where they are read, texts above ``text_bytes`` through the tree of
+    ``encode_cut``, and texts with a stretch of more than ``leaf`` characters without a space through that of
+    ``encode_long``. A null or empty text has no ids; null ids and repeated rows are kept, other columns are
+    ignored. Only parts of long texts are shuffled.
     """
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -216,8 +313,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_
             ids = [np.frombuffer(i, np.int32) for i, _, _ in codec.simple(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    short = rows.where(~_long(F.col("text"), leaf)).mapInArrow(encode, f"doc_id {_id_type(docs, id_col)}, ids array<int>")
-    return short.unionByName(encode_long(rows.where(_long(F.col("text"), leaf)), tokenizer_path, leaf))
+    whole = _pick(rows, "whole", leaf, text_bytes).mapInArrow(encode, f"doc_id {_id_type(docs, id_col)}, ids array<int>")
+    return whole.unionByName(_trees(rows, tokenizer_path, leaf, text_bytes, text_leaf))
+
+
+def _trees(rows: DataFrame, tokenizer_path: str, leaf: int, text_bytes: int, text_leaf: int) -> DataFrame:
+    cut = encode_cut(_pick(rows, "cut", leaf, text_bytes), tokenizer_path, leaf, text_leaf)
+    return cut.unionByName(encode_long(_pick(rows, "deep", leaf, text_bytes), tokenizer_path, leaf))
 
 
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -246,7 +348,8 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {_id_type(encoded, 'doc_id')}, text string")
 
 
-def round_trip_digests(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> DataFrame:
+def round_trip_digests(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, text_bytes: int = TEXT_BYTES,
+                       text_leaf: int = TEXT_LEAF) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoding and decoding in one pass, so that ids of
     short pieces, which are cached with their decoded texts, need not travel."""
     bounded_batches(docs.sparkSession)
@@ -266,5 +369,5 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -
                                   for i in batch.column("ids").to_pylist()))
 
     schema = f"doc_id {kind}, {DIGEST}"
-    tree = encode_long(rows.where(_long(F.col("text"), leaf)), tokenizer_path, leaf)
-    return rows.where(~_long(F.col("text"), leaf)).mapInArrow(short, schema).unionByName(tree.mapInArrow(long, schema))
+    trees = _trees(rows, tokenizer_path, leaf, text_bytes, text_leaf)
+    return _pick(rows, "whole", leaf, text_bytes).mapInArrow(short, schema).unionByName(trees.mapInArrow(long, schema))
