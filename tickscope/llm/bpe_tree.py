@@ -177,11 +177,11 @@ def join_parts(codec: Codec, parts: list[Part]) -> bytes:
     return b"".join([first[0], *ids, last[0]])
 
 
-def encode_cut(rows: DataFrame, tokenizer_path: str, leaf: int = LEAF, text_leaf: int = TEXT_LEAF) -> DataFrame:
-    """``doc_id, ids`` of texts cut at any character into leaves, which are dealt over all tasks and encoded in parallel.
+def encoded_leaves(rows: DataFrame, tokenizer_path: str, leaf: int = LEAF, text_leaf: int = TEXT_LEAF) -> DataFrame:
+    """``doc_id, parts`` of texts cut at any character into leaves, which are dealt over all tasks and encoded in parallel.
 
-    One row per input row; repeated and null ids are kept apart by their place in the scan. No stretch without a space
-    in the texts may exceed ``leaf`` characters.
+    One row per input row; repeated and null ids are kept apart by their place in the scan. ``join_cut`` makes the ids of
+    the parts. No stretch without a space in the texts may exceed ``leaf`` characters.
     """
     kind = _id_type(rows, "doc_id")
     at = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -208,20 +208,19 @@ def encode_cut(rows: DataFrame, tokenizer_path: str, leaf: int = LEAF, text_leaf
                  pa.array([b"".join(i) for i in ids], pa.binary()), pa.array(tails, pa.string())],
                 ["row", "doc_id", "node", "head", "ids", "tail"])
 
-    def join(batches):
-        codec = shared_codec(tokenizer_path, leaf)
-        for batch in batches:
-            ids = [np.frombuffer(join_parts(codec, [(p["head"], [p["ids"]], p["tail"]) for p in parts]), np.int32)
-                   for parts in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
     leaves = at.mapInArrow(cut, f"row bigint, doc_id {kind}, node int, text string").repartition("row", "node")
     encoded = leaves.mapInArrow(encode, f"row bigint, doc_id {kind}, node int, head string, ids binary, tail string")
     # the leaves of one text, whose ids make one row in the end
     whole = encoded.groupBy("row").agg(
         F.any_value("doc_id").alias("doc_id"),
         F.array_sort(F.collect_list(F.struct("node", "head", "ids", "tail"))).alias("parts"))
-    return whole.select("doc_id", "parts").mapInArrow(join, f"doc_id {kind}, ids array<int>")
+    return whole.select("doc_id", "parts")
+
+
+def join_cut(codec: Codec, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The ids of each text of a batch of ``encoded_leaves``."""
+    for parts in batch.column("parts").to_pylist():
+        yield np.frombuffer(join_parts(codec, [(p["head"], [p["ids"]], p["tail"]) for p in parts]), np.int32)
 
 
 def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col: str = "doc_id",
@@ -299,7 +298,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_
     """``doc_id, ids`` of every whole text, one row per input row, as the tokenizers library encodes.
 
     Short texts are encoded piece by piece where they are read, texts above ``text_bytes`` through the tree of
-    ``encode_cut``, and texts with a stretch of more than ``leaf`` characters without a space through that of
+    ``encoded_leaves``, and texts with a stretch of more than ``leaf`` characters without a space through that of
     ``encode_long``. A null or empty text has no ids; null ids and repeated rows are kept, other columns are
     ignored. Only parts of long texts are shuffled.
     """
@@ -313,13 +312,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_
             ids = [np.frombuffer(i, np.int32) for i, _, _ in codec.simple(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    whole = _pick(rows, "whole", leaf, text_bytes).mapInArrow(encode, f"doc_id {_id_type(docs, id_col)}, ids array<int>")
-    return whole.unionByName(_trees(rows, tokenizer_path, leaf, text_bytes, text_leaf))
-
+    def join(batches):
+        for batch in batches:
+            ids = list(join_cut(shared_codec(tokenizer_path, leaf), batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-def _trees(rows: DataFrame, tokenizer_path: str, leaf: int, text_bytes: int, text_leaf: int) -> DataFrame:
-    cut = encode_cut(_pick(rows, "cut", leaf, text_bytes), tokenizer_path, leaf, text_leaf)
-    return cut.unionByName(encode_long(_pick(rows, "deep", leaf, text_bytes), tokenizer_path, leaf))
+    schema = f"doc_id {_id_type(docs, id_col)}, ids array<int>"
+    cut = encoded_leaves(_pick(rows, "cut", leaf, text_bytes), tokenizer_path, leaf, text_leaf).mapInArrow(join, schema)
+    deep = encode_long(_pick(rows, "deep", leaf, text_bytes), tokenizer_path, leaf)
+    return _pick(rows, "whole", leaf, text_bytes).mapInArrow(encode, schema).unionByName(cut).unionByName(deep)
 
 
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -362,12 +363,21 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, t
             yield _digest(batch, ((len(ids) // 4, decimal, decoded)
                                   for ids, decimal, decoded in codec.simple(batch.column("text").to_pylist())))
 
+    def digested(tokenizer, batch, ids):
+        return _digest(batch, ((len(i), " ".join(map(str, i)), tokenizer.decode(i, skip_special_tokens=False)) for i in ids))
+
+    # joined and digested by one worker: a second one in the same task would hold the tokenizer and its caches again
+    def join(batches):
+        for batch in batches:
+            codec = shared_codec(tokenizer_path, leaf)
+            yield digested(codec.tokenizer, batch, (ids.tolist() for ids in join_cut(codec, batch)))
+
     def long(batches):
-        tokenizer = load_tokenizer(tokenizer_path)
         for batch in batches:
-            yield _digest(batch, ((len(i), " ".join(map(str, i)), tokenizer.decode(i, skip_special_tokens=False))
-                                  for i in batch.column("ids").to_pylist()))
+            yield digested(shared_codec(tokenizer_path, leaf).tokenizer, batch, batch.column("ids").to_pylist())
 
     schema = f"doc_id {kind}, {DIGEST}"
-    trees = _trees(rows, tokenizer_path, leaf, text_bytes, text_leaf)
-    return _pick(rows, "whole", leaf, text_bytes).mapInArrow(short, schema).unionByName(trees.mapInArrow(long, schema))
+    cut = encoded_leaves(_pick(rows, "cut", leaf, text_bytes), tokenizer_path, leaf, text_leaf)
+    deep = encode_long(_pick(rows, "deep", leaf, text_bytes), tokenizer_path, leaf)
+    whole = _pick(rows, "whole", leaf, text_bytes).mapInArrow(short, schema)
+    return whole.unionByName(cut.mapInArrow(join, schema)).unionByName(deep.mapInArrow(long, schema))
