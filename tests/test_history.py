@@ -175,3 +175,22 @@ def test_many_unusual_headers_are_joined_by_shuffle(spark, tmp_path, monkeypatch
     monkeypatch.setattr(H, "lookup", lambda *a, **b: lookup(*a, **b, rows=2, hot_keys=1))
     rows = H.clean_history(H.read_history_csv(spark, str(tmp_path))).collect()
     assert sorted(r.median_price_cents for r in rows) == [100 * (k + 1) for k in range(6)]
+
+
+def many_files(folder):
+    for k in range(40):
+        (folder / f"{k % 4}").mkdir(exist_ok=True)
+        (folder / f"{k % 4}" / f"item%20{k}.csv").write_text(HEADER + f"n,1700000000,{k + 1},2\n" if k else "")
+    (folder / "_hidden.csv").write_text(HEADER)
+
+
+def driver_lists(df, folder):
+    """Whether the plan holds names of files: in a file index or as a local table."""
+    return any(str(folder) in path for path in df.inputFiles()) or "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_list_the_files(spark, tmp_path):
+    many_files(tmp_path)
+    listed = H.list_history_files(spark, str(tmp_path))
+    assert not driver_lists(listed, tmp_path)
+    assert {(r.market_hash_name, r.length > 0) for r in listed.collect()} == {(f"item {k}", k > 0) for k in range(40)}

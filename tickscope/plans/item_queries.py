@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from tickscope.operators.ingest import upsert_items as register_names
 from tickscope.plans.registry import Views, query
 from tickscope.session import ensure_checkpoint_dir, stored
 from tickscope.sources import history as H
+from tickscope.sources.files import store_of
 from tickscope.sources.tables import append_table, read_table
 
 # (order, line) repeats in the larger tables; rows equal in all of these are interchangeable
@@ -319,25 +319,30 @@ def load_history(v: Views) -> DataFrame:
 
 
 def written_history(v: Views) -> str:
-    """The history rows as CSV files, one per item, in a new folder: columns in three orders, a third of the files with one more."""
+    """The history rows as CSV files, one per item, in a new folder: columns in three orders, a third of the files with one more.
+
+    The files are dealt over sub-folders by their names, so that tasks share the listing.
+    """
     ensure_checkpoint_dir(v.spark)
     folder = f"{v.spark.sparkContext.getCheckpointDir()}/history/{uuid.uuid4().hex}"
     orders = [["name", "unix timestamp", "price", "quantity"], ["quantity", "price", "unix timestamp", "name"],
               ["source", "price", "name", "quantity", "unix timestamp"]]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = folder.startswith("file:") or folder.startswith("/")
-        store, path = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
-        name, out, titles, n = None, None, [], 0
+        store, path = store_of(folder)
+        name, out, titles, n, made = None, None, [], 0, set()
         for batch in batches:
             for row in batch.to_pylist():
                 if row["file_name"] != name:
                     if out is not None:
                         out.close()
                         n += 1
-                    name, titles = row["file_name"], orders[zlib.crc32(row["file_name"].encode()) % 3]
-                    out = io.TextIOWrapper(store.open_output_stream(f"{path}/{name}"), encoding="utf-8", newline="")
+                    name, digest = row["file_name"], zlib.crc32(row["file_name"].encode())
+                    titles, below = orders[digest % 3], f"{path}/{digest >> 24:02x}"
+                    if below not in made:
+                        store.create_dir(below, recursive=True)
+                        made.add(below)
+                    out = io.TextIOWrapper(store.open_output_stream(f"{below}/{name}"), encoding="utf-8", newline="")
                     writer = csv.writer(out)
                     writer.writerow(titles)
                 writer.writerow([row.get(t, "csv") for t in titles])

@@ -12,6 +12,7 @@ from tickscope.functions.names import item_name, item_type
 from tickscope.functions.pricing import to_cents
 from tickscope.operators.joins import lookup
 from tickscope.session import stored
+from tickscope.sources.files import list_files, read_lines
 
 # Cell texts that read as missing.
 MISSING = [
@@ -93,19 +94,8 @@ def mark_headers(raw: DataFrame) -> DataFrame:
 
 
 def list_history_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All files with their length; the content is not read.
-
-    Scans leave out files of zero bytes, so the names come from the file index, which the driver
-    holds anyway, and a file that no scan shows has length 0.
-    """
-    scan = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    lengths = scan.select(name.alias("file_name"), "length")
-    listed = spark.createDataFrame([(path,) for path in scan.inputFiles()], "path STRING")
-    # the index shows paths as URIs
-    names = listed.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"))
-    files = names.join(lengths, "file_name", "left").withColumn("length", F.coalesce("length", F.lit(0)))
-    return with_identity(files)
+    """All files with their length, empty ones too; the content is not read, and the driver holds no list of them."""
+    return with_identity(list_files(spark, folder, ".csv").select("file_name", "length"))
 
 
 def _missing(name: str) -> Column:
