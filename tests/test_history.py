@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tickscope.operators import quality as Q
 from tickscope.operators.ingest import upsert_items
 from tickscope.operators.joins import lookup
+from tickscope.sources import files
 from tickscope.sources import history as H
 from tickscope.sources import tables
 
@@ -194,3 +195,39 @@ def test_tasks_list_the_files(spark, tmp_path):
     listed = H.list_history_files(spark, str(tmp_path))
     assert not driver_lists(listed, tmp_path)
     assert {(r.market_hash_name, r.length > 0) for r in listed.collect()} == {(f"item {k}", k > 0) for k in range(40)}
+
+
+def test_tasks_open_the_files(spark, tmp_path, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("Spark's file source lists all files in the driver")
+
+    many_files(tmp_path)
+    monkeypatch.setattr(type(spark.read), "text", refuse)
+    raw = H.read_history_csv(spark, f"file://{tmp_path}")
+    assert sorted(r.median_price_cents for r in H.clean_history(raw).collect()) == [100 * (k + 1) for k in range(1, 40)]
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64, 1 << 20])
+def test_lines_of_cut_files(spark, tmp_path, block):
+    texts = {
+        "a": b"\xef\xbb\xbfone\ntwo\r\nthree\rfour\n\nsix", "b": b"x" * 30 + b"\r\n" + b"y" * 5 + b"\r\n", "c": b"", "d": b"\n",
+        "e": b"no newline", "f": b"cr\ronly\r", "g": "ß\u2028é\x0bz\n\x1cq".encode(),
+    }
+    for name, data in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(data)
+    rows = files.read_lines(spark, str(tmp_path), ".csv", block).orderBy("file_name", "place").collect()
+    assert len({(r.file_name, r.place) for r in rows}) == len(rows)
+    got = {}
+    for r in rows:
+        got.setdefault(r.file_name[0], []).append(r.value)
+    spark_lines = {}
+    for r in spark.read.text(str(tmp_path)).selectExpr("_metadata.file_name AS n", "value AS v").collect():
+        spark_lines.setdefault(r.n[0], []).append(r.v)
+    assert got == spark_lines
+
+
+def test_a_header_far_down_its_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "read_lines", lambda *a: files.read_lines(*a, 16))
+    (tmp_path / "late.csv").write_text("# a note that fills some blocks of the file\n" * 3 + "price,name,quantity,unix timestamp\n4,n,2,1700000000\n")
+    raw = H.read_history_csv(spark, str(tmp_path))
+    assert [r.median_price_cents for r in H.clean_history(raw).collect()] == [400]

@@ -55,26 +55,19 @@ def read_history_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of all files, as text, with the item identity; the files are scanned once.
 
     That scan cuts each line into its cells and writes them as a table, with the places of the four names where a line
-    holds them all. The header of a file is the first such line of its first block; its places are
+    holds them all. The header of a file is the first such line; its places are
     looked up for the files in which they are unusual. Columns may stand anywhere and lines may have any number of cells.
     The header stays a row, marked in ``is_header``: files without the four names can then be told apart without
-    a second pass. Blank lines are skipped; a missing cell at the end of a line is null.
+    a second pass. Blank lines are skipped; a missing cell at the end of a line is null. Tasks list and open the files, in
+    ``folder`` and below, so the driver holds no list of them.
     """
     value = F.col("value")
-    lines = (
-        spark.read.option("pathGlobFilter", "*.csv").text(folder)
-        .filter(value.rlike(r"[^\x00-\x20]"))
-        .select(
-            cells_of(value).alias("_cells"),
-            (F.col("_metadata.file_block_start") == 0).alias("_first_block"),
-            F.expr("url_decode(replace(_metadata.file_name, '+', '%2B'))").alias("file_name"),
-            F.monotonically_increasing_id().alias("_line"),  # ascends within a block
-        )
-    )
+    lines = read_lines(spark, folder, ".csv").filter(value.rlike(r"[^\x00-\x20]")).select(
+        cells_of(value).alias("_cells"), "file_name", F.col("place").alias("_line"))
     titles = F.transform("_cells", lambda t: F.trim(t))  # F.trim itself would take the place as its second argument
     places = F.array(*[F.array_position(titles, c).cast("int") for c in schemas.HISTORY_COLUMNS])
     may_be = F.forall(F.array(*map(F.lit, schemas.HISTORY_COLUMNS)), lambda c: F.array_contains(titles, c))
-    table = stored(lines.withColumn("_places", F.when(F.col("_first_block") & may_be, places)))
+    table = stored(lines.withColumn("_places", F.when(may_be, places)))
     usual = range(1, len(schemas.HISTORY_COLUMNS) + 1)
     # one row per file with an unusual header
     odd = table.filter(F.col("_places").isNotNull()).groupBy("file_name").agg(
