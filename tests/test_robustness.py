@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickscope import schemas
 from tickscope.operators import ingest as I
 from tickscope.operators.anomaly import append_trades, detect_anomalies
-from tickscope.session import at_most, ensure_checkpoint_dir, scratch_tables, stored
+from tickscope.session import at_most, ensure_checkpoint_dir, prepare_session, scratch_tables, stored
 from tickscope.sources import history as H
 from tickscope.sources import listings as L
 from tickscope.streaming.hot_path import windowed_ticks
@@ -142,3 +142,29 @@ def test_record_order_and_size_checks_gather_no_rows(spark):
     assert [r.payload for r in ordered.orderBy("pos").collect()] == ["y", "x", "z"]
     wide = spark.range(10).select("id", F.repeat(F.lit("t"), 1000).alias("text"))
     assert at_most(wide, 10, 20_000) and not at_most(wide, 10, 5_000) and not at_most(wide, 9, 20_000)
+
+
+def test_the_planner_broadcasts_by_measured_sizes(spark):
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, value in zip(keys, ("10m", None)):
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+        names = F.concat(F.lit("★ a name of some length that files compress well | brand-"), F.col("id").cast("string"))
+        table = stored(spark.range(200_000).select(names.alias("name")))
+        few = stored(spark.range(50).select(names.alias("name")))
+        prepare_session(spark)
+        assert spark.conf.get(keys[1]) == str(10 << 20)
+        for found, rows, broadcast in ((table, 0, False), (few, 199_950, True)):
+            joined = table.join(found, "name", "left_anti")
+            assert joined.count() == rows
+            kept = joined.groupBy().count()
+            kept.collect()
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == broadcast
+        spark.conf.set(keys[0], "-1")
+        prepare_session(spark)
+        assert spark.conf.get(keys[0]) == "-1"
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)

@@ -13,11 +13,23 @@ from pyspark.sql import functions as F
 # A lookup table is broadcast only when it has at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
+# A table that is not measured is broadcast only when its files are this small.
+PLANNED_BYTES = 256 << 10
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Timestamps are UTC throughout."""
+    """Timestamps are UTC throughout, and joins are broadcast by measured sizes.
+
+    The planner takes the size of compressed files for that of a table, and names of millions of items fit into a few MB of
+    files. So its own choice is kept to small files. The adaptive planner, which counts the bytes of a shuffle as
+    they are in memory, has the session's limit.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if limit > PLANNED_BYTES:
+        if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(limit))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(PLANNED_BYTES))
     return spark
 
 
