@@ -113,3 +113,33 @@ def test_parts_join_in_any_cut():
         pieces = [text[a:b] for a, b in zip([0, *places], [*places, len(text)])]
         joined = bpe_tree.join_parts(codec, bpe_tree.leaf_parts(codec, pieces))
         assert np.frombuffer(joined, np.int32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_workers_keep_no_pieces_after_a_task(documents, spark):
+    rows = [(k, " ".join(f"word{k}x{j}" for j in range(50))) for k in range(40)]
+    rows += [(100, "a long text " * 3000), (101, "q" * 7000)]
+
+    def held(batches):
+        import gc
+        import os
+
+        import pyarrow as pa
+
+        from tickscope.llm.bpe_tree import Codec
+
+        for _ in batches:
+            pass
+        caches = [c.cache for c in gc.get_objects() if isinstance(c, Codec)]
+        pieces = sum(len(c.young) + len(c.old) for c in caches)
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "caches": [len(caches)], "pieces": [pieces]})
+
+    for job in (bpe_tree.encode_documents, bpe_tree.round_trip_digests):
+        assert job(documents(rows), tokenizer_path(WORD)).count() == 42
+        workers = spark.range(0, 16, 1, 16).mapInArrow(held, "pid long, caches long, pieces long").collect()
+        assert sum(w.caches for w in workers) and not any(w.pieces for w in workers)
+
+
+def test_a_codec_without_texts_gives_the_same_ids():
+    full, narrow = (bpe_tree.Codec(tokenizer_path(WORD), 32, texts) for texts in (True, False))
+    texts = [t.replace("\n", " ") for t in odd_texts()]
+    assert [i for i, *_ in full.simple(texts)] == [i for i, in narrow.simple(texts)]

@@ -15,7 +15,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickscope.llm.common import bounded_batches, map_cells, stored
+from tickscope.llm.common import bounded_batches, give_back_memory, map_cells, stored
 from tickscope.llm.pieces import PieceCache, load_tokenizer
 
 LEAF = 2048  # characters of a leaf; a pre-token with more is split
@@ -35,19 +36,21 @@ WINDOW = 4  # tokens on each side of a join at first
 JOINTS = (b"", " ", " ")  # between the ids, the decimal ids and the decoded texts of neighbours
 
 
-def _add(a: tuple[bytes, str, str], b: tuple[bytes, str, str]) -> tuple[bytes, str, str]:
+def _add(a: tuple, b: tuple) -> tuple:
     return tuple(by.join(parts) for by, parts in zip(JOINTS, zip(a, b))) if a[0] else b
 
 
 class Codec:
     """Encoder of pieces and of fragments of pre-tokens, for one worker.
 
-    It supports tokenizers whose pre-tokens hold no space (a space parts them and is dropped).
+    It supports tokenizers whose pre-tokens hold no space (a space parts them and is dropped). With ``texts`` the
+    decimal ids and the decoded text of each piece are kept beside its ids.
     """
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, texts: bool = True):
         from tokenizers import models
 
+        self.nothing = (b"", "", "") if texts else (b"",)
         self.tokenizer, self.leaf = load_tokenizer(path), leaf
         self.token = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         model = json.loads(self.tokenizer.to_str())["model"]
@@ -60,8 +63,10 @@ class Codec:
         self.suffix = suffix
         self.specials = re.compile("|".join(map(re.escape, self.cache.specials)) or r"(?!)")
 
-    def _values(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[tuple[bytes, str, str]]:
+    def _values(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[tuple]:
         packed, each = ids.astype(np.int32).tobytes(), ids.tolist()
+        if len(self.nothing) == 1:
+            return [(packed[4 * b:4 * e],) for b, e in zip(begins, ends)]
         decimal = list(map(str, each))
         return [(packed[4 * b:4 * e], " ".join(decimal[b:e]), self.decoded(each[b:e])) for b, e in zip(begins, ends)]
 
@@ -71,14 +76,14 @@ class Codec:
             return " ".join([self.token[i] for i in ids])
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
-    def simple(self, texts: list[str]) -> Iterator[tuple[bytes, str, str]]:
-        """Per text without long pieces: its ids as bytes, its decimal ids and its decoded text."""
+    def simple(self, texts: list[str]) -> Iterator[tuple]:
+        """Per text without long pieces: its ids as bytes, and with ``texts`` its decimal ids and its decoded text."""
         split = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
         values, at = self.cache.values([p for pieces in split for p in pieces]), 0
         for pieces in split:
             own = [v for v in values[at:at + len(pieces)] if v[0]]
             at += len(pieces)
-            yield tuple(by.join(parts) for by, parts in zip(JOINTS, zip(*own))) if own else (b"", "", "")
+            yield tuple(by.join(parts) for by, parts in zip(JOINTS, zip(*own))) if own else self.nothing
 
     def units(self, text: str) -> Iterator[tuple[list[int] | None, str]]:
         """The text in order: (ids, "") of what is short, (None, byte-level string) of a long pre-token."""
@@ -119,10 +124,34 @@ class Codec:
             width *= 2
 
 
+_codecs: weakref.WeakSet[Codec] = weakref.WeakSet()
+
+
 @lru_cache(maxsize=2)
-def shared_codec(path: str, leaf: int) -> Codec:
-    """The codec of this worker process, with what it has cached in earlier tasks."""
-    return Codec(path, leaf)
+def shared_codec(path: str, leaf: int, texts: bool) -> Codec:
+    """The codec of this worker process; its pieces stay for one task, see ``forgetting``."""
+    codec = Codec(path, leaf, texts)
+    _codecs.add(codec)
+    return codec
+
+
+def forgetting(encode: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``encode`` of one task; afterwards the worker drops the pieces it met. It idles while the executor runs other
+    stages, which need the memory, and most pieces of a task are new to the worker anyway."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encode(batches)
+        finally:
+            forget_pieces()
+
+    return run
+
+
+def forget_pieces() -> None:
+    """Drops the pieces of the codecs of this process; a function of the module, so that it sees the worker's own."""
+    for codec in _codecs:
+        codec.cache.forget()
+    give_back_memory()
 
 
 def _id_type(docs: DataFrame, id_col: str) -> str:
@@ -151,7 +180,7 @@ def leaf_parts(codec: Codec, texts: list[str]) -> list[Part]:
         spaced = text.replace("\n", " ")
         cuts.append((text, spaced.find(" "), spaced.rfind(" ")))
     encoded = codec.simple([t[a:b] if a >= 0 else "" for t, a, b in cuts])
-    return [(t[:a], [ids], t[b + 1:]) if a >= 0 else (t, [], None) for (t, a, b), (ids, _, _) in zip(cuts, encoded)]
+    return [(t[:a], [ids], t[b + 1:]) if a >= 0 else (t, [], None) for (t, a, b), (ids, *_) in zip(cuts, encoded)]
 
 
 def join_parts(codec: Codec, parts: list[Part]) -> bytes:
@@ -177,30 +206,31 @@ def join_parts(codec: Codec, parts: list[Part]) -> bytes:
     return b"".join([first[0], *ids, last[0]])
 
 
-def encoded_leaves(rows: DataFrame, tokenizer_path: str, leaf: int = LEAF, text_leaf: int = TEXT_LEAF) -> DataFrame:
+def encoded_leaves(rows: DataFrame, tokenizer_path: str, leaf: int = LEAF, text_leaf: int = TEXT_LEAF,
+                   texts: bool = False) -> DataFrame:
     """``doc_id, parts`` of texts cut at any character into leaves, which are dealt over all tasks and encoded in parallel.
 
     One row per input row; repeated and null ids are kept apart by their place in the scan. ``join_cut`` makes the ids of
-    the parts. No stretch without a space in the texts may exceed ``leaf`` characters.
+    the parts. No stretch without a space in the texts may exceed ``leaf`` characters. ``texts``: which codec the workers share.
     """
     kind = _id_type(rows, "doc_id")
     at = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
     def cut(batches):
         for batch in batches:
-            source, nodes, texts = [], [], []
+            source, nodes, pieces = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 for node, start in enumerate(range(0, len(text), text_leaf)):
                     source.append(k)
                     nodes.append(node)
-                    texts.append(text[start:start + text_leaf])
+                    pieces.append(text[start:start + text_leaf])
             own = batch.take(pa.array(source, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [own.column("row"), own.column("doc_id"), pa.array(nodes, pa.int32()), pa.array(texts, pa.string())],
+                [own.column("row"), own.column("doc_id"), pa.array(nodes, pa.int32()), pa.array(pieces, pa.string())],
                 ["row", "doc_id", "node", "text"])
 
     def encode(batches):
-        codec = shared_codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf, texts)
         for batch in batches:
             heads, ids, tails = zip(*leaf_parts(codec, batch.column("text").to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +239,7 @@ def encoded_leaves(rows: DataFrame, tokenizer_path: str, leaf: int = LEAF, text_
                 ["row", "doc_id", "node", "head", "ids", "tail"])
 
     leaves = at.mapInArrow(cut, f"row bigint, doc_id {kind}, node int, text string").repartition("row", "node")
-    encoded = leaves.mapInArrow(encode, f"row bigint, doc_id {kind}, node int, head string, ids binary, tail string")
+    encoded = leaves.mapInArrow(forgetting(encode), f"row bigint, doc_id {kind}, node int, head string, ids binary, tail string")
     # the leaves of one text, whose ids make one row in the end
     whole = encoded.groupBy("row").agg(
         F.any_value("doc_id").alias("doc_id"),
@@ -224,7 +254,7 @@ def join_cut(codec: Codec, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", texts: bool = False) -> DataFrame:
     """``doc_id, ids`` of documents that hold unsplit text longer than a leaf.
 
     Their long pre-tokens are cut into leaves, which are dealt over all tasks and encoded in parallel;
@@ -236,7 +266,7 @@ def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col:
                               F.monotonically_increasing_id().alias("row")))
 
     def cut(batches):
-        codec = shared_codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf, texts)
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 out, held = [], []
@@ -255,10 +285,10 @@ def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col:
 
     cut_schema = pa.schema([("row", pa.int64()), ("unit", pa.int32()), ("node", pa.int64()),
                             ("ids", pa.list_(pa.int32())), ("text", pa.string()), ("ends", pa.bool_())])
-    leaves = rows.mapInArrow(cut, "row bigint, unit int, node bigint, ids array<int>, text string, ends boolean")
+    leaves = rows.mapInArrow(forgetting(cut), "row bigint, unit int, node bigint, ids array<int>, text string, ends boolean")
 
     def encode(batches):
-        codec = shared_codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf, texts)
         for batch in batches:
             ids = [i if i is not None else codec.fragment(t, e) for i, t, e in zip(
                 batch.column("ids").to_pylist(), batch.column("text").to_pylist(), batch.column("ends").to_pylist())]
@@ -267,12 +297,12 @@ def encode_long(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_col:
                 ["row", "unit", "node", "ids", "ends"])
 
     nodes = stored(leaves.repartition("row", "unit", "node").mapInArrow(
-        encode, "row bigint, unit int, node bigint, ids array<int>, ends boolean"))
+        forgetting(encode), "row bigint, unit int, node bigint, ids array<int>, ends boolean"))
     joined_schema = pa.schema([("row", pa.int64()), ("unit", pa.int32()), ("node", pa.int64()),
                                ("ids", pa.list_(pa.int32())), ("ends", pa.bool_())])
 
     def joiner():
-        codec = shared_codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf, texts)
 
         def join_pair(cell: pa.Table):
             first, *others = sorted(cell.to_pylist(), key=lambda r: r["node"])
@@ -307,20 +337,20 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, id_
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
 
     def encode(batches):
-        codec = shared_codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf, False)
         for batch in batches:
-            ids = [np.frombuffer(i, np.int32) for i, _, _ in codec.simple(batch.column("text").to_pylist())]
+            ids = [np.frombuffer(i, np.int32) for i, *_ in codec.simple(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     def join(batches):
         for batch in batches:
-            ids = list(join_cut(shared_codec(tokenizer_path, leaf), batch))
+            ids = list(join_cut(shared_codec(tokenizer_path, leaf, False), batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     schema = f"doc_id {_id_type(docs, id_col)}, ids array<int>"
-    cut = encoded_leaves(_pick(rows, "cut", leaf, text_bytes), tokenizer_path, leaf, text_leaf).mapInArrow(join, schema)
+    cut = encoded_leaves(_pick(rows, "cut", leaf, text_bytes), tokenizer_path, leaf, text_leaf).mapInArrow(forgetting(join), schema)
     deep = encode_long(_pick(rows, "deep", leaf, text_bytes), tokenizer_path, leaf)
-    return _pick(rows, "whole", leaf, text_bytes).mapInArrow(encode, schema).unionByName(cut).unionByName(deep)
+    return _pick(rows, "whole", leaf, text_bytes).mapInArrow(forgetting(encode), schema).unionByName(cut).unionByName(deep)
 
 
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -358,7 +388,7 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, t
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batches):
-        codec = shared_codec(tokenizer_path, leaf)
+        codec = shared_codec(tokenizer_path, leaf, True)
         for batch in batches:
             yield _digest(batch, ((len(ids) // 4, decimal, decoded)
                                   for ids, decimal, decoded in codec.simple(batch.column("text").to_pylist())))
@@ -369,15 +399,15 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, t
     # joined and digested by one worker: a second one in the same task would hold the tokenizer and its caches again
     def join(batches):
         for batch in batches:
-            codec = shared_codec(tokenizer_path, leaf)
+            codec = shared_codec(tokenizer_path, leaf, True)
             yield digested(codec.tokenizer, batch, (ids.tolist() for ids in join_cut(codec, batch)))
 
     def long(batches):
         for batch in batches:
-            yield digested(shared_codec(tokenizer_path, leaf).tokenizer, batch, batch.column("ids").to_pylist())
+            yield digested(shared_codec(tokenizer_path, leaf, True).tokenizer, batch, batch.column("ids").to_pylist())
 
     schema = f"doc_id {kind}, {DIGEST}"
-    cut = encoded_leaves(_pick(rows, "cut", leaf, text_bytes), tokenizer_path, leaf, text_leaf)
-    deep = encode_long(_pick(rows, "deep", leaf, text_bytes), tokenizer_path, leaf)
-    whole = _pick(rows, "whole", leaf, text_bytes).mapInArrow(short, schema)
-    return whole.unionByName(cut.mapInArrow(join, schema)).unionByName(deep.mapInArrow(long, schema))
+    cut = encoded_leaves(_pick(rows, "cut", leaf, text_bytes), tokenizer_path, leaf, text_leaf, texts=True)
+    deep = encode_long(_pick(rows, "deep", leaf, text_bytes), tokenizer_path, leaf, texts=True)
+    whole = _pick(rows, "whole", leaf, text_bytes).mapInArrow(forgetting(short), schema)
+    return whole.unionByName(cut.mapInArrow(forgetting(join), schema)).unionByName(deep.mapInArrow(forgetting(long), schema))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickscope.session import stored
 
-__all__ = ["bounded_batches", "local_roots", "map_cells", "read_table", "runs", "stored"]
+__all__ = ["bounded_batches", "give_back_memory", "local_roots", "map_cells", "read_table", "runs", "stored"]
 
 # Rows of one Arrow batch when whole texts go to Python; a task holds a few such batches at a time.
 BATCH_ROWS = 512
@@ -29,6 +30,14 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def give_back_memory() -> None:
+    """Returns the free memory of a worker process to the system, where the C library and Arrow keep it for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_cells(cells: DataFrame, key: str, make: Callable[[], Callable[[pa.Table], Iterator[pa.RecordBatch]]],
               schema: str, partitions: int | None = None) -> DataFrame:
     """Runs the function that ``make`` gives each task once per value of ``key``, whose rows fit in memory by construction.

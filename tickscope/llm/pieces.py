@@ -67,6 +67,9 @@ class PieceCache:
                 found[i] = fresh[pieces[i]]
         return found
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def _fill(self, pieces: set[str]) -> dict[str, object]:
         before = list(map(self.old.get, pieces)) if self.old else []
         out = {p: v for p, v in zip(pieces, before) if v is not None}
