@@ -17,6 +17,7 @@ from tickscope.session import ensure_checkpoint_dir
 
 SEQUENCE = 1024  # ids of one sequence
 BATCH = 256  # sequences of one record batch; all batches of a file but the last have so many
+GROUP = 8 << 20  # bytes of text that are encoded together, if no text is longer
 MANIFEST = "part int, tokens_path string, index_path string, n_docs bigint, n_tokens bigint, sequence int, batch int"
 
 
@@ -29,6 +30,19 @@ def _open_folder(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Neighbouring batches as tables of about ``size`` bytes."""
+    held, n_held = [], 0
+    for batch in batches:
+        held.append(batch)
+        n_held += batch.nbytes
+        if n_held >= size:
+            yield pa.Table.from_batches(held)
+            held, n_held = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class SequenceWriter:
     """Collects ids and writes them as equal-length sequences with masks; the last one is padded."""
 
@@ -38,10 +52,10 @@ class SequenceWriter:
         self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), sequence))],
                                 metadata={"sequence": str(sequence), "batch": str(batch)})
         self.writer = pa.ipc.new_file(sink, self.schema)
-        self.held: list[bytes] = []
+        self.held: list[bytes | pa.Buffer] = []
         self.n_held = self.n_tokens = 0
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: bytes | pa.Buffer) -> None:
         self.held.append(ids)
         self.n_held += len(ids) // self.dtype.itemsize
         if self.n_held >= self.room:
@@ -101,22 +115,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         end, start, writer, index = np.array([end_id], dtype).tobytes(), 0, None, None
         files = [f"{path}/{kind}-{part:06d}-{name}.arrow" for kind in ("tokens", "index")]
         n_docs = 0
-        for rows in batches:
+        for rows in _groups(batches, GROUP):
             if writer is None:
                 sinks = [store.open_output_stream(f) for f in files]
                 writer = SequenceWriter(sinks[0], dtype, sequence, batch)
                 index = pa.ipc.new_file(sinks[1], pa.schema(
                     [rows.schema.field("doc_id"), ("start", pa.int64()), ("n_tokens", pa.int64())]))
-            counts = []
-            for ids in encoder.encode_many([t or "" for t in rows.column("text").to_pylist()]):
-                ids += end
-                writer.add(ids)
-                counts.append(len(ids) // dtype.itemsize)
-            ends = np.cumsum(counts, dtype=np.int64) + start
-            index.write_batch(pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(ends - np.array(counts, np.int64)), pa.array(counts, pa.int64())],
-                names=["doc_id", "start", "n_tokens"]))
-            n_docs, start = n_docs + rows.num_rows, int(ends[-1]) if counts else start
+            if not rows.num_rows:
+                continue
+            ids, counts = encoder.encode_joined([t or "" for t in rows.column("text").to_pylist()], end)
+            writer.add(ids)
+            ends = np.cumsum(counts) + start
+            index.write_table(pa.table([rows.column("doc_id"), ends - counts, counts], names=["doc_id", "start", "n_tokens"]))
+            n_docs, start = n_docs + rows.num_rows, int(ends[-1])
         if writer is not None:
             n_tokens = writer.close()
             index.close()
