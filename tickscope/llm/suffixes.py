@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +32,21 @@ from tickscope.session import ensure_checkpoint_dir
 
 LENGTH = 100
 CHUNK = 2 << 20  # bytes of text in a chunk, if no text is longer
+BLOCK = 1 << 14  # places that are hashed or compared at a time, so that all steps stay in the processor's cache
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64)
 LAST = np.iinfo(np.int64).max  # the rank of a null id
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _mix(x: np.ndarray) -> None:
+    """Mixes the bits of each number, in place."""
+    shifted = x >> np.uint64(30)
+    for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+        x ^= shifted
+        x *= np.uint64(factor)
+        np.right_shift(x, np.uint64(shift), out=shifted)
+    x ^= shifted
 
 
 def _powers(factor: np.uint64, n: int) -> np.ndarray:
@@ -49,29 +55,67 @@ def _powers(factor: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
+@lru_cache(maxsize=4)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, n), _powers(_INVERSE, n)
+
+
 class Hashes:
-    """Hashes of all strings of a length in ``data``, from one table of prefix sums."""
+    """Hashes of strings of a length in ``data``, from prefix sums of blocks; a hash does not depend on the place."""
 
     def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _powers(_BASE, len(data)), out=self.sums[1:])
-        self.down = _powers(_INVERSE, len(data))
+        self.data = data
 
     def of(self, length: int, starts: np.ndarray | None = None) -> np.ndarray:
-        if starts is None:
-            n = max(0, len(self.sums) - length)
-            return _mixed((self.sums[length:] - self.sums[:n]) * self.down[:n] if n else np.zeros(0, np.uint64))
-        return _mixed((self.sums[starts + length] - self.sums[starts]) * self.down[starts])
+        """Of all strings, or of those at the ascending ``starts``."""
+        n = max(0, len(self.data) - length + 1)
+        up, down = _tables(BLOCK + length)
+        out = np.empty(n if starts is None else len(starts), np.uint64)
+        edges = None if starts is None else np.searchsorted(starts, np.arange(0, n + BLOCK, BLOCK)).tolist()
+        for number, b in enumerate(range(0, n, BLOCK)):
+            e = min(n, b + BLOCK)
+            own = out[b:e] if edges is None else out[edges[number]:edges[number + 1]]
+            if not len(own):
+                continue
+            values = _BYTES[self.data[b:e + length - 1]]
+            values *= up[:len(values)]
+            sums = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(values, out=sums[1:])
+            if edges is None:
+                np.subtract(sums[length:], sums[:-length], out=own)
+                own *= down[:e - b]
+            else:
+                at = starts[edges[number]:edges[number + 1]] - b
+                np.subtract(sums[at + length], sums[at], out=own)
+                own *= down[at]
+            _mix(own)
+        return out
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """``pick`` (minimum or maximum) of each ``width`` neighbours, by doubling."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        values = pick(values[:-step], values[step:])
-        have += step
-    return values
+    n = max(0, len(values) - width + 1)
+    out = np.empty(n, values.dtype)
+    for b in range(0, n, BLOCK):
+        e = min(n, b + BLOCK)
+        part, have = values[b:e + width - 1], 1
+        while have < width:
+            step = min(have, width - have)
+            part = pick(part[:-step], part[step:])
+            have += step
+        out[b:e] = part
+    return out
+
+
+def _around(places: np.ndarray, window: int) -> np.ndarray:
+    """All starts, ascending, whose next ``window`` places hold one of the ascending ``places``."""
+    if not len(places):
+        return np.zeros(0, np.int64)
+    low, high = np.maximum(0, places - window + 1), places + 1
+    first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+    low, high = low[first], high[np.append(first[1:] - 1, len(high) - 1)]
+    sizes = high - low
+    return np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class Chunk:
@@ -88,45 +132,42 @@ class Chunk:
         self.k = max(1, length // 3)
         self.window = length - self.k + 1
 
+    @cached_property
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the sampled k-grams."""
         if not self.valid.any():
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         grams = self.hashes.of(self.k)
-        order = (grams >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        least = np.where(self.valid, _sliding(order, self.window, np.minimum), np.uint32(0))
+        self.order = (grams >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         pad = np.zeros(self.window - 1, np.uint32)
-        sampled = _sliding(np.concatenate([pad, least, pad]), self.window, np.maximum) == order
-        places = np.flatnonzero(sampled)
+        padded = np.concatenate([pad, _sliding(self.order, self.window, np.minimum), pad])
+        self.least = padded[len(pad):len(padded) - len(pad)]
+        self.least *= self.valid
+        places = np.flatnonzero(_sliding(padded, self.window, np.maximum) == self.order)
         return places, grams[places]
 
     def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and names of the strings that hold no sampled k-gram that occurs once."""
-        places, grams = self.samples()
+        places, grams = self.samples
         again = np.isin(grams, repeated)
-        near = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(near, np.maximum(0, places[again] - self.window + 1), 1)
-        np.add.at(near, places[again] + 1, -1)
-        ruled_out = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(ruled_out, np.maximum(0, places[~again] - self.window + 1), 1)
-        np.add.at(ruled_out, places[~again] + 1, -1)
-        n = len(self.valid)
-        starts = np.flatnonzero(self.valid & (np.cumsum(near)[:n] > 0))
+        starts = _around(places[again], self.window)
+        starts = starts[starts < len(self.valid)]
+        starts = starts[self.valid[starts]]
         # a string that also holds a single sample is no repeat if that sample is its least k-gram
-        mixed = starts[np.cumsum(ruled_out)[:n][starts] > 0]
-        if len(mixed):
-            order = (self.hashes.of(self.k) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            least = _sliding(order, self.window, np.minimum)
-            single = np.full(len(order), np.iinfo(np.uint32).max, np.uint32)
-            single[places[~again]] = order[places[~again]]
-            beaten = _sliding(single, self.window, np.minimum)[mixed] == least[mixed]
-            starts = np.setdiff1d(starts, mixed[beaten], assume_unique=True)
+        once = places[~again]
+        if len(once) and len(starts):
+            single = np.full(len(self.order), np.iinfo(np.uint32).max, np.uint32)
+            single[once] = self.order[once]
+            following = np.append(once, len(self.data) + self.window)[np.searchsorted(once, starts)]
+            beaten = (following < starts + self.window) & (
+                _sliding(single, self.window, np.minimum)[starts] == self.least[starts])
+            starts = starts[~beaten]
         return starts, self.hashes.of(self.length, starts)
 
 
 def _split(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions) of the hashes, positions ascending."""
-    of = (hashes % np.uint64(buckets)).astype(np.int64)
+    of = (hashes % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # small ones sort by radix
     order = np.argsort(of, kind="stable")
     cuts = np.flatnonzero(np.diff(of[order])) + 1
     for part in np.split(order, cuts) if len(order) else []:
@@ -217,11 +258,13 @@ def _answer(cell: pa.Table, sizes: list[int], told: np.ndarray) -> Iterator[pa.R
 
 
 def _told_of(hashes: np.ndarray, buckets: int, answers: list[dict] | None) -> np.ndarray:
-    """The hashes whose bit is set, from the answers to ``_blobs`` of the same hashes."""
+    """Which hashes have their bit set, from the answers to ``_blobs`` of the same hashes."""
     parts = dict(_split(hashes, buckets)) if answers else {}
-    told = [p[np.unpackbits(np.frombuffer(a["told"], np.uint8), count=len(p)).astype(bool)]
-            for a in answers or () for p in [parts[a["bucket"]]]]
-    return hashes[np.concatenate(told)] if told else hashes[:0]
+    told = np.zeros(len(hashes), bool)
+    for a in answers or ():
+        own = parts[a["bucket"]]
+        told[own] = np.unpackbits(np.frombuffer(a["told"], np.uint8), count=len(own)).astype(bool)
+    return told
 
 
 def _again():
@@ -270,7 +313,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, fo
     n_chunks = manifest.count()
     if not n_chunks:
         return spark.createDataFrame([], "doc_id bigint, kept binary, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>")
-    buckets = min(1 << 20, max(64, 2 * n_chunks))
+    # a chunk sends a row to each bucket, so there are no more buckets than keep a cell to some chunks' names
+    buckets = min(1 << 20, max(64, min(2 * n_chunks, 256), n_chunks // 2))
     info = manifest.join(_copies(manifest, length), "chunk", "left")
 
     def spread(df: DataFrame) -> DataFrame:
@@ -286,10 +330,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, fo
     def named(batches):
         for row in (r for b in batches for r in b.to_pylist()):
             loaded = _load(row, folder, length)
-            starts, names = loaded.candidates(_told_of(_sampled(loaded), buckets, row["told"]))
-            names, first, _ = _distinct(names)
+            starts, names = loaded.candidates(_repeated(loaded, buckets, row["told"]))
+            names, _, first = _distinct(names)
             ids = np.array([LAST if i is None else i for i in row["ids"]], np.int64)
-            owner = np.searchsorted(loaded.ends, starts[first], side="right")
+            owner = np.searchsorted(loaded.ends, starts[np.flatnonzero(first)], side="right")
             yield from _blobs(row["chunk"], names, ids[owner], buckets)
 
     told = stored(info.select("chunk", "path", "sizes", "copies", "ids").join(repeated, "chunk", "left"))
@@ -311,10 +355,16 @@ def _told(blobs: DataFrame) -> DataFrame:
 
 def _sampled(chunk: Chunk) -> np.ndarray:
     """Distinct sampled hashes, those that occur again in the chunk twice."""
-    hashes, counts = np.unique(chunk.samples()[1], return_counts=True)
+    hashes, counts = np.unique(chunk.samples[1], return_counts=True)
     return np.concatenate([hashes, hashes[counts > 1]])
 
 
+def _repeated(chunk: Chunk, buckets: int, answers: list[dict] | None) -> np.ndarray:
+    """The sampled hashes that occur again anywhere."""
+    hashes = _sampled(chunk)
+    return hashes[_told_of(hashes, buckets, answers)]
+
+
 def _copies(manifest: DataFrame, length: int) -> DataFrame:
     """Per chunk, the numbers of the texts that equal an earlier one and are long enough to go."""
     texts = manifest.select("chunk", F.posexplode(F.arrays_zip("ids", "sizes", "digests")).alias("number", "t")).select(
@@ -325,27 +375,29 @@ def _copies(manifest: DataFrame, length: int) -> DataFrame:
 
 
 def _distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct names in the order of their first places, these places, and whether each name is at its first."""
-    _, first = np.unique(names, return_index=True)
-    first.sort()
-    here = np.zeros(len(names), bool)
-    here[first] = True
-    return names[first], first, here
+    """The distinct names in the order of their first places, the number of each name among them, and whether it is at its first place."""
+    numbered = pa.array(names).dictionary_encode()  # numbers rise in the order of first places
+    codes = numbered.indices.to_numpy()
+    upto = np.maximum.accumulate(codes)
+    return numbered.dictionary.to_numpy(), codes, np.diff(upto, prepend=-1) > 0
 
 
 def _cut(row: dict, chunk: Chunk, length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    starts, names = chunk.candidates(_told_of(_sampled(chunk), buckets, row["told"]))
-    distinct, _, first_here = _distinct(names)
-    gone = np.isin(names, _told_of(distinct, buckets, row["later"])) | ~first_here
+    starts, names = chunk.candidates(_repeated(chunk, buckets, row["told"]))
+    distinct, codes, first_here = _distinct(names)
+    gone = starts[_told_of(distinct, buckets, row["later"])[codes] | ~first_here]
     edges = np.zeros(len(chunk.data) + 1, np.int32)
-    np.add.at(edges, starts[gone], 1)
-    np.add.at(edges, starts[gone] + length, -1)
-    removed = np.cumsum(edges[:-1]) > 0
+    edges[gone] += 1  # each start is there once
+    edges[gone + length] -= 1
+    removed = np.cumsum(edges[:-1], out=edges[:-1]) > 0
     for number in row["copies"] or []:
         removed[chunk.begins[number]:chunk.ends[number]] = True
     out = []
     for doc_id, b, e in zip(row["ids"], chunk.begins.tolist(), chunk.ends.tolist()):
         own = removed[b:e]
+        if not own.any():
+            out.append({"doc_id": doc_id, "kept": chunk.data[b:e].tobytes(), "n_bytes": e - b, "spans": []})
+            continue
         turns = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
         out.append({"doc_id": doc_id, "kept": chunk.data[b:e][~own].tobytes(), "n_bytes": e - b,
                     "spans": [{"start": s, "end": t} for s, t in zip(turns[::2].tolist(), turns[1::2].tolist())]})
